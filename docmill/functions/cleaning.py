@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docmill.functions.dates import iso_date, month_first_in_place, month_first_only
+from docmill.functions.dates import IsoDate, month_first_in_place, month_first_only
 from docmill.functions.text import blank_to_null, drop, has, rx, strip
 
 _SEP = r"\s*[:\.]?\s*"
 _WIDE_SEP = r"\s*[:：.]?\s*"
 
 
+def _unlabelled(c: Column, label: str, replacement: str, sep: str) -> Column:
+    return strip(drop(strip(c), rf"^(?:{label}){sep}", replacement))
+
+
 def clean_prefix(c: Column, label: str, replacement: str = "", sep: str = _SEP) -> Column:
     """Strip, remove a leading label, strip; blank is null (FN8)."""
-    return blank_to_null(strip(drop(strip(c), rf"^(?:{label}){sep}", replacement)))
+    return blank_to_null(_unlabelled(c, label, replacement, sep))
 
 
 def clean(c: Column, label: str | None = None, sep: str = _SEP) -> Column:
     """As FN8, and a lone dash is null too (FN7)."""
-    value = clean_prefix(c, label, sep=sep) if label else blank_to_null(strip(c))
-    return F.when(~value.isin("-", "–", "—"), value)
+    value = _unlabelled(c, label, "", sep) if label else strip(c)
+    return blank_to_null(F.regexp_replace(value, r"^[-–—]\z", ""))
 
 
 def wide(c: Column, label: str) -> Column:
@@ -28,26 +32,25 @@ def wide(c: Column, label: str) -> Column:
     return clean(c, label, _WIDE_SEP)
 
 
-def clean_date(c: Column, label: str) -> Column:
+def clean_date(c: Column, label: str) -> IsoDate:
     """ISO date or null (FN6)."""
-    return iso_date(clean(c, label))
+    return IsoDate(clean(c, label))
 
 
-def wide_date(c: Column, label: str) -> Column:
+def wide_date(c: Column, label: str) -> IsoDate:
     """FN6 where a ``Month d, yyyy`` value is cut down to its date first."""
-    return iso_date(month_first_only(wide(c, label)))
+    return IsoDate(month_first_only(wide(c, label)))
 
 
-def swapped_date(c: Column, label: str) -> Column:
+def swapped_date(c: Column, label: str) -> IsoDate:
     """FN6 where ``Month d, yyyy`` is swapped in place first."""
-    return iso_date(month_first_in_place(clean(c, label)))
+    return IsoDate(month_first_in_place(clean(c, label)))
 
 
 def number(c: Column, label: str, sep: str = _WIDE_SEP) -> Column:
     """``digits[.,digits]`` with an optional ``(...)`` suffix as a finite double (FN9)."""
     digits = rx(clean(c, label, sep), r"^(\d+(?:[.,]\d+)?)(?:\s*\([^)]*\))?\z")
-    value = F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(value < F.lit(float("inf")), value)
+    return F.nullif(F.replace(digits, F.lit(","), F.lit(".")).try_cast("double"), F.lit(float("inf")))
 
 
 def percent(c: Column, label: str) -> Column:
@@ -88,9 +91,8 @@ def tax_id(c: Column, label: str) -> Column:
 
 def gender(c: Column) -> Column:
     """Canonical gender words, otherwise the upper-cased text (FN17)."""
-    word = F.upper(blank_to_null(strip(c)))
     return (
-        F.when(has(word, "LAKI|PRIA", ""), F.lit("LAKI-LAKI"))
-        .when(has(word, "PEREMPUAN|WANITA", ""), F.lit("PEREMPUAN"))
-        .otherwise(word)
+        F.when(has(c, "LAKI|PRIA"), F.lit("LAKI-LAKI"))
+        .when(has(c, "PEREMPUAN|WANITA"), F.lit("PEREMPUAN"))
+        .otherwise(F.upper(blank_to_null(strip(c))))
     )

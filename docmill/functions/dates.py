@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,36 +25,62 @@ _TEXTUAL = r"\b\d{1,2}\s+(?:\S*/)?[A-Za-z]{3,9}\.?\s+\d{4}\b"
 MONTH_FIRST = r"\b([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{4})\b"
 
 
+_MONTH_OF = {name: number for name, number in _MONTHS}
+
+
 def _two(c: Column) -> Column:
     return F.lpad(c, 2, "0")
 
 
-def iso_date(c: Column) -> Column:
-    """First ISO, then first numeric day-first, then first textual date anywhere in ``c`` (FN3)."""
-    iso = rx(c, r"\b\d{4}-\d{2}-\d{2}\b", 0)
+@dataclass(frozen=True)
+class IsoDate:
+    """A date to be normalised from ``source``.
 
-    numeric = F.split(rx(c, _NUMERIC, 0), "[-/.]")
-    day_first = F.concat_ws("-", F.get(numeric, 2), _two(F.get(numeric, 1)), _two(F.get(numeric, 0)))
+    The three candidate matches are used several times each, so they are columns of their own step
+    (``candidates``) and the ISO text is put together from them (``combine``).
+    """
+
+    KINDS = ("iso", "numeric", "textual")
+
+    source: Column
+    keep_text: bool = False
+
+    def candidates(self, text: Column) -> dict[str, Column]:
+        return {
+            "iso": rx(text, r"\b\d{4}-\d{2}-\d{2}\b", 0),
+            "numeric": rx(text, _NUMERIC, 0),
+            "textual": rx(text, _TEXTUAL, 0),
+        }
+
+    def combine(self, text: Column, found: dict[str, Column]) -> Column:
+        """First ISO, then first numeric day-first, then first textual date anywhere (FN3)."""
+        numeric = F.split(found["numeric"], "[-/.]")
+        day_first = F.concat(
+            F.get(numeric, 2), F.lit("-"), _two(F.get(numeric, 1)), F.lit("-"), _two(F.get(numeric, 0))
+        )
+        month_name = F.lower(rx(found["textual"], r"([A-Za-z]{3,9})\.?\s+\d{4}$"))
+        months = F.create_map(*[F.lit(v) for pair in _MONTH_OF.items() for v in pair])
+        named = F.concat(
+            F.right(found["textual"], F.lit(4)), F.lit("-"), F.try_element_at(months, month_name), F.lit("-"),
+            _two(rx(found["textual"], r"^\d{1,2}", 0)),
+        )
+        return F.coalesce(found["iso"], day_first, named, *([text] if self.keep_text else []))
 
-    textual = rx(c, _TEXTUAL, 0)
-    month_name = F.lower(rx(textual, r"([A-Za-z]{3,9})\.?\s+\d{4}$"))
-    months = F.create_map(*[F.lit(v) for pair in _MONTHS for v in pair])
-    month = F.try_element_at(months, month_name)
-    named = F.concat(F.right(textual, F.lit(4)), F.lit("-"), month, F.lit("-"), _two(rx(textual, r"^\d{1,2}", 0)))
 
-    return F.coalesce(iso, blank_to_null(day_first), named)
+def iso_date(c: Column) -> Column:
+    """FN3 as one expression, for a column that is cheap to read more than once."""
+    date = IsoDate(c)
+    return date.combine(c, date.candidates(c))
 
 
-def iso_or_text(c: Column) -> Column:
+def iso_or_text(c: Column) -> IsoDate:
     """ISO date, else the stripped text itself (FN5)."""
-    text = blank_to_null(strip(c))
-    return F.coalesce(iso_date(text), text)
+    return IsoDate(blank_to_null(strip(c)), keep_text=True)
 
 
 def month_first_only(c: Column) -> Column:
     """Replace the whole value by its first ``Month d, yyyy`` date written day first (FN4)."""
-    found = rx(c, MONTH_FIRST, 0)
-    return F.coalesce(drop(found, MONTH_FIRST, "$2 $1 $3"), c)
+    return drop(c, rf"^.*?{MONTH_FIRST}.*$", "$2 $1 $3", flags="s")
 
 
 def month_first_in_place(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.dates import IsoDate
 from docmill.functions.text import body, head, strip, tail
 
 Fields = dict[str, Column]
@@ -17,6 +18,7 @@ Fields = dict[str, Column]
 _TEXT = "__text"
 _BODY = "__body"
 _PREFIX = "__f_"
+_CLEAN = "__c_"
 
 
 class TextView:
@@ -51,7 +53,7 @@ class DocSpec:
     name: str
     description: str
     schema: T.StructType
-    normalize: Callable[[Fields], Fields]
+    normalize: Callable[[Fields], dict[str, Column | IsoDate]]
     parse: Callable[[TextView], list[Fields]] | None = None
     defaults: dict[str, str] = field(default_factory=dict)
     prompt_subject: str = ""
@@ -64,12 +66,34 @@ def strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
-def build_record(spec: DocSpec, raw: Fields) -> Column:
-    """Normalise raw values and shape them into the type's struct."""
+def with_record(df: DataFrame, spec: DocSpec, raw: Fields, out: str) -> DataFrame:
+    """Normalise raw values and shape them into the type's struct column.
+
+    Three narrow steps (clean text, date candidates, record) keep each generated method small and
+    each cleaned text computed once.
+    """
     cleaned = spec.normalize(raw)
-    return F.struct(
-        *[cleaned.get(f.name, raw[f.name]).cast(f.dataType).alias(f.name) for f in spec.schema.fields]
-    )
+    dates = {n: c for n, c in cleaned.items() if isinstance(c, IsoDate)}
+    values = {f.name: cleaned.get(f.name, raw[f.name]) for f in spec.schema.fields}
+    df = df.withColumns({_CLEAN + n: dates[n].source if n in dates else c for n, c in values.items()})
+    if dates:
+        df = df.withColumns(
+            {
+                f"{_CLEAN}{n}.{kind}": c
+                for n, date in dates.items()
+                for kind, c in date.candidates(F.col(_CLEAN + n)).items()
+            }
+        )
+
+    def value(name):
+        text = F.col(_CLEAN + name)
+        if name not in dates:
+            return text
+        return dates[name].combine(text, {k: F.col(f"`{_CLEAN}{name}.{k}`") for k in IsoDate.KINDS})
+
+    record = F.struct(*[value(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields])
+    extra = [f"{_CLEAN}{n}.{k}" for n in dates for k in IsoDate.KINDS]
+    return df.withColumn(out, record).drop(*[_CLEAN + n for n in values], *extra)
 
 
 def extract(
@@ -93,4 +117,4 @@ def extract(
     }
     for name, default in spec.defaults.items():
         raw[name] = F.coalesce(raw[name], F.lit(default))
-    return df.withColumn(out, build_record(spec, raw)).drop(_TEXT, _BODY, *[_PREFIX + n for n in names])
+    return with_record(df, spec, raw, out).drop(_TEXT, _BODY, *[_PREFIX + n for n in names])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.cleaning import clean_prefix, gender, id_digits, repair_digits
-from docmill.functions.dates import iso_date, iso_or_text
+from docmill.functions.dates import iso_or_text
 from docmill.functions.labels import strip_label
 from docmill.functions.text import (
     blank_to_null,
@@ -150,9 +150,9 @@ def normalize(raw: Fields) -> Fields:
         "holder_gender": gender(raw["holder_gender"]),
         "holder_blood_type": clean_prefix(F.upper(raw["holder_blood_type"]), r"GOL(?:ONGAN)?\.?\s*DARAH"),
         "holder_neighborhood_unit": F.when(has(unit, r"\d"), drop(unit, r"\s*/\s*", "/")),
-        "document_expiry_date": F.when(
-            F.contains(F.upper(expiry), F.lit("SEUMUR")), F.lit(LIFELONG)
-        ).otherwise(F.coalesce(iso_date(expiry), blank_to_null(expiry))),
+        "document_expiry_date": iso_or_text(
+            F.when(has(raw["document_expiry_date"], "SEUMUR"), F.lit(LIFELONG)).otherwise(expiry)
+        ),
     }
 
 
