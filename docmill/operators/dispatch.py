@@ -21,6 +21,10 @@ def extract_type(df: DataFrame, slug: str, text_col: str = "text", as_of: Column
     return extract(df.filter(F.col("document_type") == slug), registry.get(slug), text_col, as_of=as_of)
 
 
+def _only_if(test: Column):
+    return lambda _: test
+
+
 def extract_mixed(df: DataFrame, text_col: str = "text", as_of: Column | None = None) -> DataFrame:
     """Records of all types as JSON in one pass over the input.
 
@@ -33,8 +37,10 @@ def extract_mixed(df: DataFrame, text_col: str = "text", as_of: Column | None =
     blank = is_blank(F.col(text_col))
     data, out = F.lit(None).cast("string"), df
     for spec in parsed:
+        # An array function ends a generated method, so the rules of each type compile on their own.
         mine = (F.col("document_type") == spec.slug) & ~blank
-        out = out.withColumn("__own", F.when(mine, F.col(text_col)))
+        own = F.get(F.filter(F.array(F.col(text_col)), _only_if(mine)), 0)
+        out = out.withColumn("__own", own)
         out = extract(out, spec, "__own", "__record", as_of)
         data = F.when(F.col("__own").isNotNull(), F.to_json("__record", _KEEP_NULLS))
         out = out.withColumn(f"__d_{spec.slug}", data).drop("__own", "__record")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.rounding import round3
+from docmill.functions.rounding import round_exact
 from docmill.functions.text import blank_to_null, strip
 
 ACCESS_LOGGER = "docmill.access"
@@ -27,7 +27,7 @@ def access_rows(requests: DataFrame) -> DataFrame:
     )
     ip = client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("host"))
     status = F.when(F.col("failed"), F.lit(500)).otherwise(F.col("status_code"))
-    duration = (round3(F.col("duration_seconds") * 100) * 10).cast("decimal(18,2)").cast("double")
+    duration = round_exact(F.col("duration_seconds") * 1000.0, 2)
     out = requests.withColumns({"client_ip": ip, "status_code": status, "duration_ms": duration})
     message = F.format_string(
         '%s - "%s %s" %s %sms', "client_ip", "method", path, F.col("status_code").cast("string"),
