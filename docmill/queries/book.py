@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.queries import common, records  # noqa: F401
+from docmill.queries import common, costs, masking, pages, records, service  # noqa: F401
 
 
 def queries() -> dict[str, common.Query]:
