@@ -25,7 +25,7 @@ _TEXTUAL = r"\b\d{1,2}\s+(?:\S*/)?[A-Za-z]{3,9}\.?\s+\d{4}\b"
 MONTH_FIRST = r"\b([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{4})\b"
 
 
-_MONTH_OF = {name: number for name, number in _MONTHS}
+_MONTH_MAP = "map(" + ", ".join(f"'{name}', '{number}'" for name, number in _MONTHS) + ")"
 
 
 def _two(c: Column) -> Column:
@@ -59,9 +59,8 @@ class IsoDate:
             F.get(numeric, 2), F.lit("-"), _two(F.get(numeric, 1)), F.lit("-"), _two(F.get(numeric, 0))
         )
         month_name = F.lower(rx(found["textual"], r"([A-Za-z]{3,9})\.?\s+\d{4}$"))
-        months = F.create_map(*[F.lit(v) for pair in _MONTH_OF.items() for v in pair])
         named = F.concat(
-            F.right(found["textual"], F.lit(4)), F.lit("-"), F.try_element_at(months, month_name), F.lit("-"),
+            F.right(found["textual"], F.lit(4)), F.lit("-"), F.try_element_at(F.expr(_MONTH_MAP), month_name), F.lit("-"),
             _two(rx(found["textual"], r"^\d{1,2}", 0)),
         )
         return F.coalesce(found["iso"], day_first, named, *([text] if self.keep_text else []))

@@ -20,30 +20,41 @@ HEADINGS = {"digital": ("--- Page ", " ---\n"), "ocr": ("--- Page ", " (OCR) ---
 SCORE = "decimal(28,20)"
 
 
-def join_in_order(
+def _joined(order: str, text: str, separator: str) -> Column:
+    """Non-null texts of a group in order."""
+    pieces = F.array_sort(
+        F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(order), F.col(text))))
+    )
+    return F.array_join(F.transform(pieces, lambda p: p[text]), separator)
+
+
+def text_runs(
     df: DataFrame, keys: list[str], order: str, text: str, separator: str, sums: dict[str, Column] | None = None
 ) -> DataFrame:
-    """One row per key: non-null ``text`` joined in ``order``, and the given sums."""
-    sums = sums or {}
-
-    def joined(order_col, text_col):
-        pieces = F.array_sort(
-            F.collect_list(F.when(F.col(text_col).isNotNull(), F.struct(F.col(order_col), F.col(text_col))))
-        )
-        return F.array_join(F.transform(pieces, lambda p: p[text_col]), separator)
+    """Neighbouring pieces joined to runs: one row per key and run of ``RUN`` order numbers.
 
-    runs = (
-        df.withColumn("__run", F.floor(F.col(order) / RUN))
-        .groupBy(*keys, "__run")
+    This is the form to keep for documents too large for one text cell.
+    """
+    return (
+        df.withColumn("run", F.floor(F.col(order) / RUN))
+        .groupBy(*keys, "run")
         .agg(
-            joined(order, text).alias("__part"),
+            _joined(order, text, separator).alias("__part"),
             F.count(text).alias("__filled"),
-            *[F.sum(c).alias(n) for n, c in sums.items()],
+            *[F.sum(c).alias(n) for n, c in (sums or {}).items()],
         )
-        .withColumn("__part", F.when(F.col("__filled") > 0, F.col("__part")))
+        .withColumn(text, F.when(F.col("__filled") > 0, F.col("__part")))
+        .drop("__part", "__filled")
     )
+
+
+def join_in_order(
+    df: DataFrame, keys: list[str], order: str, text: str, separator: str, sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """One row per key: non-null ``text`` joined in ``order``, and the given sums."""
+    runs = text_runs(df, keys, order, text, separator, sums)
     return runs.groupBy(*keys).agg(
-        joined("__run", "__part").alias(text), *[F.sum(n).alias(n) for n in sums]
+        _joined("run", text, separator).alias(text), *[F.sum(n).alias(n) for n in (sums or {})]
     )
 
 

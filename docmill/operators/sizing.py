@@ -17,3 +17,13 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan all cores before costly per-row work.
+
+    A file with few row groups is read by few tasks.  Only a scan with fewer partitions than cores is
+    redistributed; a large table has more partitions than cores and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.operators.sizing import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table for costly per-row work: only the named columns, on all cores."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 # Names without digits: the letters A-J stand for 0-9.  The same text works in both SQL dialects.
 def code(expr: str, width: int = 9) -> str:
     return f"translate(lpad(cast({expr} as varchar(20)), {width}, '0'), '0123456789', 'ABCDEFGHIJ')"

@@ -184,12 +184,15 @@ def tier_lookup(spark, sf_dir):
     return priced.select("event_id", "input_tokens", plain_decimal(F.col("estimate_cost")).alias("input_rate"))
 
 
+_LIST = "p_partkey div 5"  # five neighbouring parts stand for the tiers of one model
+
+
 @query(
     "rate_list_check",
     """
 with t as (
-  select p_brand as service, p_type as model, row_number() over (partition by p_brand, p_type order by p_partkey) - 1 as tier,
-    (p_size - 3) * 1000 as max_input_tokens, p_partkey % 50 - 2 as rate, p_partkey from part),
+  select 's' || p_partkey // 5 % 7 as service, 'm' || p_partkey // 5 as model, p_partkey % 5 as tier,
+    (p_size - 3) * 1000 as max_input_tokens, p_partkey % 50 - 2 as rate from part),
 l as (select *, lag(max_input_tokens) over (partition by service, model order by tier) as low from t)
 select service, model, tier, case when max_input_tokens <= 0 then 'limit_not_positive'
     when low is not null and not (max_input_tokens > low) then 'limits_not_increasing'
@@ -204,11 +207,11 @@ def rate_list_check(spark, sf_dir):
     )
     listed = (
         table(spark, sf_dir, "part")
-        .groupBy("p_brand", "p_type")
+        .groupBy(F.expr(_LIST).alias("n"))
         .agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr(tier).alias("tier")))).alias("tiers"))
         .selectExpr(
             "'2026-01-15' as effective_date",
-            "map(p_brand, map(p_type, named_struct('input_usd_per_million_tokens', cast(null as string), "
+            "map(concat('s', n % 7), map(concat('m', n), named_struct('input_usd_per_million_tokens', cast(null as string), "
             "'output_usd_per_million_tokens', cast(null as string), 'cached_input_usd_per_million_tokens', cast(null as string), "
             "'tiers', transform(tiers, t -> t.tier)))) as llm_rates",
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docmill.functions import masking as M
 from docmill.functions.text import text_pattern
 from docmill.operators.masking import mask_frame, mask_logs
-from docmill.queries.common import code, padded, query, table
+from docmill.queries.common import code, padded, query, spread_table, table
 
 # The masks in the other SQL dialect; the account and permit labels do not occur in these tables.
 _STEPS = [
@@ -39,12 +39,12 @@ def masked_sql(column: str) -> str:
 
 @query("pi_mask_documents", f"select doc_id, {masked_sql('text')} as text from documents")
 def pi_mask_documents(spark, sf_dir):
-    return M.mask_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return M.mask_columns(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "text")
 
 
 @query("pi_mask_conversations", f"select conv_id, turn, role, {masked_sql('text')} as text from conversations")
 def pi_mask_conversations(spark, sf_dir):
-    return M.mask_columns(table(spark, sf_dir, "conversations"), "text")
+    return M.mask_columns(spread_table(spark, sf_dir, "conversations"), "text")
 
 
 _COUNTED = [
@@ -70,7 +70,7 @@ def pi_hit_counts(spark, sf_dir):
         F.sum(F.regexp_count("text", F.lit(text_pattern(p, flag.strip("(?)"))))).cast("bigint").alias(name)
         for name, p, flag in _COUNTED
     ]
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), *counts)
+    return spread_table(spark, sf_dir, "documents", "lang", "text").groupBy("lang").agg(F.count("*").alias("documents"), *counts)
 
 
 _K = "c_custkey"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators import assembly as A
 from docmill.operators.cascade import choose_text, choose_two_stage, unresolved
-from docmill.queries.common import query, table
+from docmill.queries.common import query, spread_table, table
 
 
 def round_sql(x: str, digits: int = 3) -> str:
@@ -27,7 +27,7 @@ def strip_sql(x: str) -> str:
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document stands for a page."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")
     ).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
@@ -102,7 +102,7 @@ select doc_id, page, text, line_count, least(1.0::double, greatest(0.0::double,
 """,
 )
 def ocr_lines_conf(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    rows = spread_table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey as doc_id", "l_suppkey % 3 as page", "l_partkey * 10 + l_linenumber as line_no",
         f"{_LINE} as text", f"{_SCORE} as score",
     )

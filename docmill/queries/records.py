@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docmill.operators.dispatch import extract_mixed, fill_rate
 from docmill.plans import registry
 from docmill.plans.base import extract
-from docmill.queries.common import code, day, dmy, iso, lines, padded, query, table, with_line_ends, worded
+from docmill.queries.common import code, day, dmy, iso, lines, padded, query, spread_table, with_line_ends, worded
 
 AS_OF = dt.date(2026, 1, 1)
 
@@ -29,7 +29,7 @@ def _fields(df: DataFrame, slug: str) -> DataFrame:
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return table(spark, sf_dir, name)
+    return spread_table(spark, sf_dir, name)
 
 
 # --- identity card -------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from docmill.operators.dispatch import type_payloads
 from docmill.operators.prompts import render_prompts, request_rows, visual_prompt
 from docmill.operators.results import envelope, ordered_results, with_status
 from docmill.plans import registry
-from docmill.queries.common import code, query, table, worded
+from docmill.queries.common import code, query, spread_table, table, worded
 from docmill.queries.pages import _ATTEMPTS_SQL, attempts, strip_sql
 from docmill.operators.cascade import PIPELINE, choose_text, choose_two_stage
 from docmill.sources.files import LOG_LINES, zip_manifest
@@ -39,7 +39,7 @@ def iso_dates(spark, sf_dir):
         f"when 4 then {worded(_DAY)} when 5 then concat(day({_DAY}), ' xx/', upper(date_format({_DAY}, 'MMM')), ' ', year({_DAY})) "
         f"when 6 then date_format({_DAY}, 'd MMMM yyyy') when 7 then date_format({_DAY}, 'MMMM d, yyyy') else ' SEUMUR HIDUP' end"
     )
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{shapes} as raw")
+    rows = spread_table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{shapes} as raw")
     text = rows.withColumn("value", D.month_first_only(F.trim("raw")))
     date = D.iso_or_text(F.col("value"))
     found = {k: c.alias(k) for k, c in date.candidates(F.col("value")).items()}
@@ -170,7 +170,7 @@ from documents
 """,
 )
 def prompt_render(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "source", f"{_DOC_SLUG} as document_type")
+    docs = spread_table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "source", f"{_DOC_SLUG} as document_type")
     requests = request_rows(render_prompts(docs))
     return requests.select(
         "doc_id",
@@ -197,7 +197,7 @@ def payload_repair(spark, sf_dir):
         "when 5 then replace(props, '}', '') when 6 then ' ' "
         "else concat('\\n ', replace(props, '}', ', \"note\": \"x\"}'), '  ') end"
     )
-    found = table(spark, sf_dir, "events").selectExpr("event_id", f"{shapes} as payload")
+    found = spread_table(spark, sf_dir, "events").selectExpr("event_id", f"{shapes} as payload")
     v = found.select("event_id", repair_object(F.col("payload")).alias("v"))
     return v.select(
         "event_id",

@@ -14,6 +14,8 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # call-site capture costs several round trips per Column; the plans have thousands of them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
