@@ -38,10 +38,11 @@ PHONE_MASK = "$1$2****$3"
 REDACTED = "[REDACTED]"
 
 # E-mail: user part of two or more characters, first and last kept.  A user part is entered only at
-# the first word boundary of its run, which keeps long runs of address characters linear.
+# the first word boundary of its run (or of what the last match left of it), which keeps long runs of
+# address characters linear.
 _USER = r"a-zA-Z0-9_.+-"
 EMAIL = (
-    rf"(?<![{_USER}])((?:(?<=\w)[a-zA-Z0-9_]++|(?<!\w)[.+-]++)?+)([{_USER}])[{_USER}]*([{_USER}])"
+    rf"(?:(?<![{_USER}])|\G)((?:(?<=\w)[a-zA-Z0-9_]++|(?<!\w)[.+-]++)?+)([{_USER}])[{_USER}]*([{_USER}])"
     r"@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)\b"
 )
 EMAIL_MASK = "$1$2***$3@$4"

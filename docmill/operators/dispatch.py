@@ -25,27 +25,37 @@ def _only_if(test: Column):
     return lambda _: test
 
 
-def extract_mixed(df: DataFrame, text_col: str = "text", as_of: Column | None = None) -> DataFrame:
-    """Records of all types as JSON in one pass over the input.
+def _one_pass(df: DataFrame, value_col: str, specs: list[DocSpec], build) -> DataFrame:
+    """Run ``build`` of every type over one scan and keep the record of the row's own type as JSON.
 
-    The text is handed to the rules of its own type only; for every other type it is null, and null
-    text costs no matching.  No shuffle, and the input is read once however many types there are.
+    A value is handed to the rules of its own type only; for every other type it is null, and a null
+    costs no matching.  No shuffle, and the input is read once however many types there are.
     """
-    kept = df.columns
-    parsed = [s for s in registry.specs() if s.parse is not None]
-    names = [s.slug for s in registry.specs()]
-    blank = is_blank(F.col(text_col))
-    data, out = F.lit(None).cast("string"), df
-    for spec in parsed:
+    out = df
+    for spec in specs:
         # An array function ends a generated method, so the rules of each type compile on their own.
-        mine = (F.col("document_type") == spec.slug) & ~blank
-        own = F.get(F.filter(F.array(F.col(text_col)), _only_if(mine)), 0)
-        out = out.withColumn("__own", own)
-        out = extract(out, spec, "__own", "__record", as_of)
+        mine = F.col("document_type") == spec.slug
+        own = F.get(F.filter(F.array(F.col(value_col)), _only_if(mine)), 0)
+        out = build(out.withColumn("__own", own), spec)
         data = F.when(F.col("__own").isNotNull(), F.to_json("__record", _KEEP_NULLS))
         out = out.withColumn(f"__d_{spec.slug}", data).drop("__own", "__record")
+    return out
+
+
+def _unknown_type() -> Column:
+    names = [s.slug for s in registry.specs()]
+    return ~F.coalesce(F.col("document_type").isin(*names), F.lit(False))
+
+
+def extract_mixed(df: DataFrame, text_col: str = "text", as_of: Column | None = None) -> DataFrame:
+    """Records of all types as JSON in one pass over the input (EX12)."""
+    kept = df.columns
+    parsed = [s for s in registry.specs() if s.parse is not None]
+    blank = is_blank(F.col(text_col))
+    work = df.withColumn("__filled", F.when(~blank, F.col(text_col)))
+    out = _one_pass(work, "__filled", parsed, lambda d, spec: extract(d, spec, "__own", "__record", as_of))
     error = (
-        F.when(~F.col("document_type").isin(*names) | F.col("document_type").isNull(), F.lit("Unknown document type"))
+        F.when(_unknown_type(), F.lit("Unknown document type"))
         .when(blank, F.lit(EMPTY_TEXT))
         .when(
             ~F.col("document_type").isin(*[s.slug for s in parsed]),
@@ -57,7 +67,25 @@ def extract_mixed(df: DataFrame, text_col: str = "text", as_of: Column | None =
     )
 
 
-def type_payloads(df: DataFrame, spec: DocSpec, payload_col: str = "payload", out: str = "record") -> DataFrame:
+def payloads_mixed(df: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """Model responses of all types to records as JSON, in one pass (LLM8)."""
+    kept = df.columns
+    specs = registry.specs()
+
+    def build(d, spec):
+        typed = type_payloads(d, spec, "__own", "__record", "__error")
+        return typed.withColumnRenamed("__error", f"__e_{spec.slug}")
+
+    out = _one_pass(df, payload_col, specs, build)
+    own_error = F.coalesce(*[F.when(F.col("document_type") == s.slug, F.col(f"__e_{s.slug}")) for s in specs])
+    error = F.when(_unknown_type(), F.lit("Unknown document type")).otherwise(own_error)
+    data = F.coalesce(*[F.col(f"__d_{s.slug}") for s in specs])
+    return out.select(*kept, F.when(error.isNull(), data).alias("data"), error.alias("error"))
+
+
+def type_payloads(
+    df: DataFrame, spec: DocSpec, payload_col: str = "payload", out: str = "record", error_col: str = "error"
+) -> DataFrame:
     """Model responses of one type to typed records, with the reason when a row has none (LLM8).
 
     A missing member takes the declared default, an explicit null stays null.  A field that no rule
@@ -80,8 +108,8 @@ def type_payloads(df: DataFrame, spec: DocSpec, payload_col: str = "payload", ou
         .when(F.size("__wrong") > 0, F.concat(F.lit("Invalid fields: "), F.array_join("__wrong", ", ")))
     )
     return (
-        df.withColumn("error", error)
-        .withColumn(out, F.when(F.col("error").isNull(), F.col(out)))
+        df.withColumn(error_col, error)
+        .withColumn(out, F.when(F.col(error_col).isNull(), F.col(out)))
         .drop("__v", "__wrong", *raw_cols)
     )
 

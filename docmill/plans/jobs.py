@@ -7,22 +7,49 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.operators.cascade import MIN_CONFIDENCE, PIPELINE, choose_text
+from docmill.operators.cascade import MIN_CONFIDENCE, PIPELINE, choose_text, unresolved
 from docmill.operators.cost import price_events, summarize_requests
-from docmill.operators.dispatch import extract_mixed
+from docmill.operators.dispatch import extract_mixed, payloads_mixed
 from docmill.operators.gates import gate_files
 from docmill.operators.results import with_status
 from docmill.plans.registry import document_types
 
 Extractor = Callable[[DataFrame], DataFrame]
-Analyzer = Callable[[DataFrame], DataFrame]
+Analyzer = Callable[..., DataFrame]
 
-# Analysis modes by name (EXT3): a function from chosen texts to the same rows with data and error.
-ANALYZERS: dict[str, Analyzer] = {"string": extract_mixed}
-# Text sources by stage name (EXT2): a function from documents to attempt rows.
+ATTEMPT = "doc_id bigint, is_pdf boolean, stage string, text string, confidence double, error string"
+
+# Analysis modes by name (EXT3): chosen texts to the same rows with ``data`` and ``error``.
+ANALYZERS: dict[str, Analyzer] = {
+    "string": extract_mixed,
+    "text_llm": lambda df, as_of=None: payloads_mixed(df),
+}
+# Text sources by stage name (EXT2): documents to attempt rows.
 EXTRACTORS: dict[str, Extractor] = {}
 
 
+def register_analyzer(mode: str, analyzer: Analyzer) -> None:
+    ANALYZERS[mode] = analyzer
+
+
+def register_extractor(stage: str, extractor: Extractor) -> None:
+    EXTRACTORS[stage] = extractor
+
+
+def batch_extractor(fn, schema: str = ATTEMPT, prepare: Callable[[Column], Column] | None = None) -> Extractor:
+    """A text source from a function over batches of (doc_id, is_pdf, content), for ``mapInPandas``.
+
+    ``fn`` gets an iterator of pandas batches and may set up its model before the first one.
+    ``prepare`` is an optional Column function on the content, such as a ``pandas_udf`` (EXT4).
+    """
+
+    def run(documents: DataFrame) -> DataFrame:
+        content = prepare(F.col("content")) if prepare else F.col("content")
+        return documents.select("doc_id", "is_pdf", content.alias("content")).mapInPandas(fn, schema)
+
+    return run
+
+
 def run_stages(
     documents: DataFrame, stages: Sequence[str], save: Callable[[DataFrame, str], DataFrame],
     min_confidence: float = MIN_CONFIDENCE,
@@ -32,8 +59,6 @@ def run_stages(
     ``save`` writes the attempts of a stage to a table and reads them back, so a costly source runs
     once and a lost executor does not make it run again.
     """
-    from docmill.operators.cascade import unresolved
-
     done: DataFrame | None = None
     for stage in stages:
         todo = documents if done is None else unresolved(documents, done, min_confidence)
@@ -61,10 +86,7 @@ def extract_corpus(
     gated = gate_files(manifest, document_types(manifest.sparkSession))
     chosen = choose_text(attempts, pipeline, min_confidence).withColumnRenamed("error", "text_error")
     passed = gated.filter(F.col("status_code").isNull()).join(chosen, "doc_id", "left")
-    analyse = ANALYZERS[mode]
-    analysed = (analyse(passed, as_of=as_of) if mode == "string" else analyse(passed)).withColumnRenamed(
-        "error", "analysis_error"
-    )
+    analysed = ANALYZERS[mode](passed, as_of=as_of).withColumnRenamed("error", "analysis_error")
     done = analysed.withColumn(
         "error", F.coalesce("text_error", "analysis_error", F.when(F.col("attempts").isNull(), F.lit("No attempts")))
     )
