@@ -51,9 +51,12 @@ SINCE = r"TERHITUNG\s*SEJAK\s*(\d{1,2}\s+\w+\s+\d{4}|\d{2}[-/.]\d{2}[-/.]\d{4})"
 SIGNER = r"A\.?N\.?\s*KEPALA\s*KANTOR"
 NIP = r"NIP\s*[:\.]?\s*(?=\d{9})"
 
-# ``Place, d Month yyyy``: a run of letters and blanks before the comma.  The run is entered only
-# at its start (after the rest of a word it may hang on), so the scan stays linear.
-_ISSUED = r"(?<![A-Za-z\s])(?:(?<=\w)[A-Za-z]++)?+([A-Za-z\s]++),\s*(\d{1,2}\s+\w+\s+\d{4})"
+# ``Place, d Month yyyy``: a run of letters and blanks that starts at a word boundary.  Every run is
+# entered once, at its first boundary (past the rest of a word it hangs on, or past leading blanks),
+# so the scan stays linear.
+_ISSUED = (
+    r"(?<![A-Za-z\s])(?:(?<=\w)[A-Za-z]*+|(?<!\w)\s*+(?=[A-Za-z]))([A-Za-z\s]++),\s*(\d{1,2}\s+\w+\s+\d{4})"
+)
 
 
 def _grouped_fields(block):
