@@ -81,6 +81,16 @@ def rx(c: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     return blank_to_null(F.regexp_extract(c, text_pattern(pattern, flags), group))
 
 
+def after_first(marker: str, rest: str) -> str:
+    """A whole-text pattern for ``rest`` behind the first ``marker``.
+
+    When ``rest`` is found by scanning on, a later marker cannot succeed where the first one failed;
+    the atomic prefix rules the later ones out, so a text full of markers is still scanned only once.
+    Use with the flags ``is``.
+    """
+    return rf"\A(?>.*?{marker}){rest}"
+
+
 def has(c: Column, pattern: str, flags: str = "i") -> Column:
     return F.rlike(c, F.lit(text_pattern(pattern, flags)))
 

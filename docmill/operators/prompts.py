@@ -91,6 +91,21 @@ def visual_prompt(name: Column) -> Column:
     )
 
 
+def visual_requests(df: DataFrame, images: str) -> DataFrame:
+    """Request rows for page images (LLM3, LLM4); a row without an image is an error row (LLM9)."""
+    templates = F.broadcast(prompt_templates(df.sparkSession))
+    none = F.coalesce(F.size(images), F.lit(0)) <= 0
+    rows = df.join(templates, "document_type", "left").withColumns(
+        {
+            "user_prompt": F.when(~none, visual_prompt(F.col("name"))),
+            "error": F.when(F.col("name").isNull(), F.lit("Unknown document type")).when(
+                none, F.lit("No valid image data provided")
+            ),
+        }
+    )
+    return request_rows(rows, images).drop("opening", "name")
+
+
 def request_rows(df: DataFrame, images: str | None = None) -> DataFrame:
     """One JSON request per prompt row (LLM4); ``images`` is an array of binary page images."""
     pages = F.transform(F.col(images), F.base64) if images else F.array().cast("array<string>")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from docmill.functions.cleaning import clean_prefix
 from docmill.functions.dates import iso_or_text
 from docmill.functions.labels import strip_label
-from docmill.functions.text import blank_to_null, drop, rx, strip
+from docmill.functions.text import after_first, blank_to_null, drop, rx, strip
 from docmill.plans.base import DocSpec, Fields, TextView, strings
 
 # Field names, in record order.
@@ -38,8 +38,9 @@ ISSUED_LABEL = r"DITERBITKAN\s*DI"
 ANY_DATE = r"\d{1,2}\s+\w+\s+\d{4}|\d{2}[-/.]\d{2}[-/.]\d{4}"
 SEP = r"\s*[:\.]?\s*"
 
-_ISSUED = rf"{ISSUED_LABEL}{SEP}([A-Za-z\s]+?)[,\n].*?TANGGAL{SEP}({ANY_DATE})"
-_AMENDED = rf"PERUBAHAN\s*KE[-\s]*(\d+).*?TANGGAL{SEP}({ANY_DATE})"
+_DATED = rf".*?TANGGAL{SEP}({ANY_DATE})"
+_ISSUED = after_first(rf"{ISSUED_LABEL}{SEP}([A-Za-z\s]+?)[,\n]", _DATED)
+_AMENDED = after_first(r"PERUBAHAN\s*KE[-\s]*(\d+)", _DATED)
 
 
 def parse(t: TextView) -> list[Fields]:

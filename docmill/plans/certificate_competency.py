@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.cleaning import clean, swapped_date
 from docmill.functions.labels import after_marker, find_wide_colon
-from docmill.functions.text import has, line_last, line_rx, rx, strip
+from docmill.functions.text import after_first, has, line_last, line_rx, rx, strip
 from docmill.plans.base import DocSpec, Fields, TextView, strings
 
 # Field names, in record order.
@@ -46,8 +46,8 @@ BODY_LINE = r"^Lembaga\s+Sertifikasi\s+Profesi\b.*$"
 PROVIDER_LINE = r"^Dicoding(?:\s+Indonesia)?$"
 AUTHORITY = r"\bBadan\s+Nasional\s+Sertifikasi\s+Profesi\b"
 AUTHORITY_NAME = "Badan Nasional Sertifikasi Profesi"
-UNIT_BLOCK = (
-    r"Telah\s+memenuhi\s+persyaratan\s+dan\s+kompeten\s+pada\s+kualifikasi\s*:(.*?)Pada\s+bidang\s+pekerjaan"
+UNIT_BLOCK = after_first(
+    r"Telah\s+memenuhi\s+persyaratan\s+dan\s+kompeten\s+pada\s+kualifikasi\s*:", r"(.*?)Pada\s+bidang\s+pekerjaan"
 )
 UNIT_LINE = r"^[^\S\n]*\d+\.\s*([A-Z][A-Z0-9]*(?:[./-][A-Z0-9]+){2,}+)\s*$"
 SIGNATURE = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.cascade import MIN_CONFIDENCE, PIPELINE, choose_text, unresolved
@@ -13,6 +13,7 @@ from docmill.operators.dispatch import extract_mixed, payloads_mixed
 from docmill.operators.gates import gate_files
 from docmill.operators.results import with_status
 from docmill.plans.registry import document_types
+from docmill.session import shared_root
 
 Extractor = Callable[[DataFrame], DataFrame]
 Analyzer = Callable[..., DataFrame]
@@ -50,6 +51,17 @@ def batch_extractor(fn, schema: str = ATTEMPT, prepare: Callable[[Column], Colum
     return run
 
 
+def stage_tables(spark: SparkSession, run: str, fallback_root: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """A ``save`` for ``run_stages``: one parquet table per stage of a run in the shared folder."""
+    base = f"{shared_root(spark, fallback_root)}/{run}"
+
+    def save(attempts: DataFrame, stage: str) -> DataFrame:
+        attempts.write.mode("overwrite").parquet(f"{base}/{stage}")
+        return spark.read.schema(attempts.schema).parquet(f"{base}/{stage}")
+
+    return save
+
+
 def run_stages(
     documents: DataFrame, stages: Sequence[str], save: Callable[[DataFrame, str], DataFrame],
     min_confidence: float = MIN_CONFIDENCE,

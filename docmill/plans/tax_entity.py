@@ -9,6 +9,7 @@ from docmill.functions.cleaning import clean_prefix, tax_id
 from docmill.functions.dates import iso_or_text
 from docmill.functions.labels import strip_label
 from docmill.functions.text import (
+    after_first,
     blank_to_null,
     body,
     drop,
@@ -43,9 +44,9 @@ REGION = r"KANTOR\s*WILAYAH\s*DJP"
 OFFICE_LINE = rf"(?!.*{REGION})(?:.*KPP\s*PRATAMA.*|KPP\b.*)"
 CONTACT = r"TELEPON|LAYANAN|EMAIL|SURAT"
 TAX_LABEL = r"NOMOR\s*POKOK\s*WAJIB\s*PAJAK"
-CLASS_BLOCK = r"KLASIFIKASI\s*LAPANGAN\s*USAHA\s*[:\.]?\s*(.+?)(?=\n\s*4\.\s*ALAMAT)"
+CLASS_BLOCK = after_first(r"KLASIFIKASI\s*LAPANGAN\s*USAHA", r"\s*[:\.]?\s*(.+?)(?=\n\s*4\.\s*ALAMAT)")
 CLASS_LINE = r"\d{4,5}\s*-\s*\S"
-ADDRESS_BLOCK = r"4\.?\s*ALAMAT\s*[:\.]?\s*(.+?)(?=\n\s*5\.)"
+ADDRESS_BLOCK = after_first(r"4\.?\s*ALAMAT", r"\s*[:\.]?\s*(.+?)(?=\n\s*5\.)")
 TRADE_LABEL = r"MERK\s*DAGANG(?:/USAHA)?"
 SINCE = r"TERHITUNG\s*SEJAK\s*(\d{1,2}\s+\w+\s+\d{4}|\d{2}[-/.]\d{2}[-/.]\d{4})"
 SIGNER = r"A\.?N\.?\s*KEPALA\s*KANTOR"

@@ -232,7 +232,7 @@ s as (select * from k where not failed or google or status is null or status >=
 select event_id as request_id, 'llm' as kind, case when google then 'g' else 'o' end as service,
   case when failed or event_id % 9 = 0 then null when google then event_id % 1000 + 5 else event_id % 1000 end as input_tokens,
   case when failed or event_id % 9 = 0 then null when google then event_id % 300 + 2 else event_id % 300 end as output_tokens,
-  case when failed or event_id % 9 = 0 then 0 when event_id % 6 in (0, 1) then 7 else 0 end as cached_input_tokens,
+  cast(case when failed or event_id % 9 = 0 then 0 when event_id % 6 in (0, 1) then 7 else 0 end as bigint) as cached_input_tokens,
   cast(null as bigint) as units from s
 union all
 select event_id, 'ocr', 'google_vision', null, null, null, case when event_id % 5 <> 0 then 1 end from events where event_id % 4 = 3

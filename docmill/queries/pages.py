@@ -71,7 +71,7 @@ def digital_confidence(spark, sf_dir):
     "page_route",
     f"""
 with {_PAGES_SQL}
-select doc_id, page, length(body) as character_count, length(body) > 0 as has_text,
+select doc_id, cast(page as int) as page, cast(length(body) as int) as character_count, length(body) > 0 as has_text,
   case when length(body) >= 30 then 'digital' else 'scanned' end as route from p
 """,
 )

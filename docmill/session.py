@@ -21,3 +21,14 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_root(spark: SparkSession, fallback: str | None = None) -> str:
+    """Folder all executors share, for checkpoints and saved stages.
+
+    The session's own ``spark.checkpoint.dir`` comes first; the fallback is for sessions without it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return root.rstrip("/")

@@ -25,9 +25,18 @@ MONEY = "decimal(12,6)"
 
 
 def read_price_file(spark: SparkSession, path: str) -> DataFrame:
+    """The price list of a file; an empty path means no prices, so that every event stays unpriced."""
+    if not path:
+        return spark.createDataFrame([], PRICE_FILE)
     return spark.read.schema(PRICE_FILE).option("multiLine", True).json(path)
 
 
+def price_date(prices: DataFrame) -> str | None:
+    """Effective date of a price list, which is one row."""
+    row = prices.select("effective_date").first()
+    return row["effective_date"] if row else None
+
+
 def _per_key(prices: DataFrame, column: str, key: str) -> DataFrame:
     return prices.select("effective_date", F.explode(column).alias("service", "__by_key")).select(
         "effective_date", "service", F.explode("__by_key").alias(key, "rate")

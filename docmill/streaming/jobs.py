@@ -8,20 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from docmill.functions.masking import mask_columns
 from docmill.operators.dispatch import extract_mixed, extract_type
 from docmill.operators.masking import mask_logs
-
-
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for stream checkpoints: the cluster's own setting, else the caller's."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return root.rstrip("/")
+from docmill.session import shared_root
 
 
 def extract_stream(texts: DataFrame, slug: str | None = None) -> DataFrame:
@@ -44,7 +37,7 @@ def start(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append a stream to parquet with its own checkpoint folder."""
-    root = checkpoint_root(stream.sparkSession, fallback_checkpoints)
+    root = shared_root(stream.sparkSession, fallback_checkpoints)
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{root}/{name}")
     return (writer.trigger(availableNow=True) if available_now else writer).queryName(name).start()
 
@@ -53,7 +46,7 @@ def start_per_batch(
     stream: DataFrame, name: str, job: Callable[[DataFrame, int], None], fallback_checkpoints: str | None = None
 ) -> StreamingQuery:
     """Run a batch job on each micro-batch, for summaries over closed groups."""
-    root = checkpoint_root(stream.sparkSession, fallback_checkpoints)
+    root = shared_root(stream.sparkSession, fallback_checkpoints)
     return (
         stream.writeStream.foreachBatch(job)
         .option("checkpointLocation", f"{root}/{name}")

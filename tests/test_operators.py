@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import random
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -13,12 +14,12 @@ from docmill.operators import gates as G
 from docmill.operators.cascade import choose_text, choose_two_stage
 from docmill.operators.cost import plain_decimal, price_events, summarize_requests
 from docmill.operators.dispatch import extract_mixed, payloads_mixed, type_payloads
-from docmill.operators.prompts import prompt_templates, render_prompts, request_rows, retry_prompts
+from docmill.operators.prompts import prompt_templates, render_prompts, request_rows, retry_prompts, visual_requests
 from docmill.plans import jobs, registry
 from docmill.plans.base import DocSpec, strings
 from docmill.queries.costs import prices
 from docmill.sources import files as S
-from docmill.sources.pricing import model_rates, rate_violations, read_price_file, unit_rates
+from docmill.sources.pricing import model_rates, price_date, rate_violations, read_price_file, unit_rates
 from docmill.functions import dates as D
 from pyspark.sql import types as T
 
@@ -114,6 +115,9 @@ def test_prices_and_summaries(spark, tmp_path):
             [(1, "0.0036", None), (1, "0.003", None), (2, "0", None), (2, None, "rate_unavailable"), (3, None, "invalid_usage"), (4, None, "usage_unavailable")],
             key=str,
         )
+    free = price_events(events, model_rates(read_price_file(spark, "")), unit_rates(read_price_file(spark, "")))
+    assert {r.unpriced_reason for r in free.collect()} == {"usage_unavailable", "rate_unavailable"}
+    assert (price_date(book), price_date(read_price_file(spark, ""))) == ("2026-01-01", None)
     requests = spark.createDataFrame([(1,), (2,), (9,)], "request_id int")
     out = {r.request_id: r for r in summarize_requests(priced, requests).collect()}
     assert (out[1].estimate_cost, out[1].complete) == (Decimal("0.006600000000"), True)
@@ -191,10 +195,7 @@ def test_stages_run_on_unsettled_documents_only(spark, tmp_path):
     jobs.register_extractor("visual_llm", jobs.batch_extractor(source("visual_llm", lambda d: d * 0 + 0.9), prepare=lambda c: c))
     docs = spark.createDataFrame([(i, False, f"t{i}".encode()) for i in range(6)], "doc_id bigint, is_pdf boolean, content binary")
 
-    def save(df, stage):
-        df.write.parquet(str(tmp_path / stage))
-        return spark.read.parquet(str(tmp_path / stage))
-
+    save = jobs.stage_tables(spark, f"run_{uuid.uuid4().hex}", str(tmp_path))
     done = jobs.run_stages(docs, ["ocr", "visual_llm"], save)
     assert {(r.doc_id, r.stage) for r in done.filter("stage = 'visual_llm'").collect()} == {(i, "visual_llm") for i in (0, 2, 4)}
     jobs.EXTRACTORS.clear()
@@ -251,6 +252,8 @@ def test_prompts(spark):
     assert '"images":["aW1n"]' in row.request
     retry = retry_prompts(render_prompts(df).withColumn("parsed", F.lit(None).cast("string")), "parsed").first()
     assert "JSON Schema" in retry.user_prompt and "holder_name" in retry.user_prompt
+    seen = visual_requests(df.unionByName(df.withColumn("pages", F.array().cast("array<binary>"))), "pages")
+    assert sorted(str(r.error) for r in seen.collect()) == ["No valid image data provided", "None"]
     for t in prompt_templates(spark).collect():
         assert all(f in t.system_prompt for f in registry.get(t.document_type).schema.fieldNames())
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docmill.operators.trace import printable
 from docmill.sinks.writers import write_log_tiers, write_results, write_traces
 from docmill.sources.files import read_logs
+from docmill.session import shared_root
 from docmill.streaming import jobs as ST
 
 TEXTS = [
@@ -47,11 +48,11 @@ def test_per_batch_jobs(spark, tmp_path, texts):
 def test_checkpoint_folder_comes_from_the_session_first(spark):
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
-        assert ST.checkpoint_root(spark, "/elsewhere") == own.rstrip("/")
+        assert shared_root(spark, "/elsewhere") == own.rstrip("/")
     else:
-        assert ST.checkpoint_root(spark, "/elsewhere/") == "/elsewhere"
+        assert shared_root(spark, "/elsewhere/") == "/elsewhere"
         with pytest.raises(ValueError):
-            ST.checkpoint_root(spark)
+            shared_root(spark)
 
 
 def test_log_tiers(spark, tmp_path):
