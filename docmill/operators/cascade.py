@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import is_blank
 
+# Stage names, acceptance threshold and failure texts.
 DIGITAL, OCR, VISION = "digital_pdf", "ocr", "visual_llm"
 PIPELINE = (DIGITAL, OCR, VISION)
 MIN_CONFIDENCE = 0.5
@@ -83,6 +84,10 @@ def choose_two_stage(attempts: DataFrame, min_confidence: float = MIN_CONFIDENCE
     use_digital = F.coalesce(F.col("d.ok"), F.lit(False))
     failed = ~use_digital & (F.col("o.error").isNotNull() | F.col("o").isNull())
     text = F.when(use_digital, F.col("d.text")).when(~failed, F.col("o.text"))
+    seen = F.coalesce(F.when(F.col("d.error").isNull(), F.col("d.confidence")), F.lit(0.0))
+    too_low = F.format_string(
+        "confidence (%s) < threshold (%s)", seen.cast("string"), F.lit(min_confidence).cast("string")
+    )
     return sides.select(
         "doc_id",
         F.when(use_digital, F.lit(DIGITAL)).when(~failed, F.lit(OCR)).alias("stage"),
@@ -90,7 +95,7 @@ def choose_two_stage(attempts: DataFrame, min_confidence: float = MIN_CONFIDENCE
         F.coalesce(text, F.lit("")).alias("text"),
         F.when(
             ~use_digital,
-            F.when(F.col("is_pdf"), F.lit("confidence below threshold")).otherwise(F.lit("file is not digital pdf")),
+            F.when(F.col("is_pdf"), too_low).otherwise(F.lit("file is not digital pdf")),
         ).alias("fallback_reason"),
         F.when(failed, F.concat(F.lit("OCR extraction failed: "), F.coalesce("o.error", F.lit("no result"))))
         .when(is_blank(text), F.lit(NO_TEXT_TWO_STAGE))

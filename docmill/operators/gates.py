@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Default limits and the empty-file text.
 MAX_FILE_MB = 15
 MAX_BATCH_FILES = 5
 EMPTY_FILE = "Empty file provided for extraction"

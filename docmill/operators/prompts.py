@@ -48,6 +48,7 @@ def system_prompt(spec: DocSpec) -> str:
     )
 
 
+# Wording and layout of the user, image and retry prompts.
 def user_opening(spec: DocSpec) -> str:
     return f"Extract {spec.prompt_subject} from this OCR text into the requested JSON schema:\n\n```text\n"
 

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.cleaning import clean_prefix
 from docmill.functions.dates import iso_or_text
-from docmill.functions.text import blank_to_null, drop, rx, strip, text_pattern
+from docmill.functions.text import drop, rx, strip, text_pattern
 from docmill.plans.base import DocSpec, Fields, TextView, strings
 
 # Field names, in record order.

@@ -14,7 +14,6 @@ from docmill.functions.text import (
     first_contained,
     first_hit,
     has,
-    head,
     line_last,
     line_rx,
     rx,

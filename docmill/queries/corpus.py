@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators.cost import plain_decimal
 from docmill.plans.jobs import extract_corpus
-from docmill.queries.common import code, query, table
+from docmill.queries.common import code, query
 from docmill.queries.costs import _EVENTS_SQL, PRICE_DATE, decimal_sql, prices, usage_events
 from docmill.queries.records import AS_OF, mixed_texts
 from docmill.sources.pricing import model_rates, unit_rates

@@ -295,7 +295,7 @@ s as (select *, pdf and doc_id % 13 <> 1 and doc_id % 7 <> 1 and c1 >= 0.5 as ok
 select doc_id, case when ok then 'digital_pdf' when not broken then 'ocr' end as stage,
   case when ok then c1 when not broken then c2 end as confidence,
   case when ok then 'text 1 of ' || doc_id when broken then '' when empty then ' ' else 'text 2 of ' || doc_id end as text,
-  case when not ok then case when pdf then 'confidence below threshold' else 'file is not digital pdf' end end as fallback_reason,
+  case when not ok then case when pdf then 'confidence (' || case when doc_id % 13 = 1 then 0.0::double else c1 end || ') < threshold (0.5)' else 'file is not digital pdf' end end as fallback_reason,
   case when not ok and broken then 'OCR extraction failed: failed'
        when not ok and empty then 'No readable text could be extracted from the document' end as error
 from s

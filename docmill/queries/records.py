@@ -283,7 +283,6 @@ def passport_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ONE = f"rpad('P<IDN' || {code(_K)} || '<<' || {code(_K + ' % 23', 3)} || '<' || {code(_K + ' % 19', 2)}, 44, '<')"
 # A two-digit year stands for the 2000s unless that day is after the reference day.
-_PSHORT = f"cast('20' || strftime({_PBIRTH}, '%y-%m-%d') as date)"
 _PSEEN = (
     f"case when {_K} % 10 = 2 then null when try_cast('20' || strftime({_PBIRTH}, '%y-%m-%d') as date) is null then null "
     f"when try_cast('20' || strftime({_PBIRTH}, '%y-%m-%d') as date) > date '{AS_OF}' "
