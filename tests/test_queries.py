@@ -5,11 +5,12 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from docmill.queries import book
 from oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = book.queries(), book.oracles()
 
 
 @pytest.fixture(scope="module")
