@@ -6,18 +6,21 @@ one row per word, so the shuffle moves few, dense rows; a bucket is a range of h
 
 from __future__ import annotations
 
+import sys
+import tempfile
+import types
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-STEP = np.uint64(0xD6E8FEB86659FD93)
+STEP = np.array([0xD6E8FEB86659FD93], np.uint64)  # an array, since scalars warn when they wrap
 SLICE_BYTES = 4 << 20
 
 
@@ -145,3 +148,17 @@ def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, li
     at = heads(bucket)
     for s, e in zip(at, [*at[1:], len(bucket)]):  # noqa: B905
         yield int(bucket[s]), [a[s:e] for a in arrays]
+
+
+def task_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker, shared by the tasks it runs one after the other."""
+    home = sys.modules.setdefault("_corpus_task_cache", types.ModuleType("_corpus_task_cache"))
+    return home.__dict__.setdefault(name, {})
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder of spark.checkpoint.dir; where that is unset, as in tests, in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
