@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,13 +52,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of whole rows with about ``limit`` bytes of text each: the rows, their bytes and offsets."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, most_rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of whole rows with about ``limit`` bytes of text and at most ``most_rows`` rows each: rows, bytes, offsets."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(text))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            end = min(end, at + most_rows)
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
 
@@ -118,6 +120,41 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def characters(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, mapped by ``table`` where it reaches, and the number of the text of each."""
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    low = chars < len(table)
+    chars = np.where(low, table[np.where(low, chars, 0)], chars)
+    return chars, np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(at))
+
+
+def character_table(letters_only: bool) -> np.ndarray:
+    """Lower case for the first 65,536 code points; white space (and, if asked for, all but letters) becomes a space."""
+    table = np.arange(1 << 16, dtype=np.uint32)
+    for i in range(1 << 16):
+        c = chr(i)
+        low = c.lower()
+        if c.isspace() or (letters_only and not c.isalpha()):
+            table[i] = 32
+        elif len(low) == 1:
+            table[i] = ord(low)
+    return table
+
+
+def ngrams(chars: np.ndarray, doc: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams that lie within one text, and the number of the text of each."""
+    m = len(chars) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), doc[:0]
+    h = np.full(m, n, np.uint32)
+    for k in range(n):
+        h = (h ^ chars[k : k + m]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    inside = doc[:m] == doc[n - 1 :]
+    return (h >> np.uint32(32 - bits))[inside].astype(np.int64), doc[:m][inside]
+
+
 def heads(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal values start in sorted values."""
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -162,3 +199,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: like a checkpoint, but columnar and compressed."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

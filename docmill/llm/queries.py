@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docmill.llm import exact, packing, repeats, token_counts
+from docmill.llm import exact, html, jaccard, language, packing, repeats, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.fit(docs.where(~fold), _table(spark, sf_dir, "labels").where(~fold))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), 1024)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 4, 2)
+    found = language.predict(docs, language.fit(docs.where(~fold)))
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), n=5)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main(_table(spark, sf_dir, "pages"))
+
+
 OP3 = """
 with d as (select doc_id, coalesce(text, '') as text from documents),
 g as (select text, max(doc_id) as keep_id, count(*) as group_size from d group by text)

@@ -82,7 +82,7 @@ def find_repeats(docs: DataFrame, window: int = 50, block: int = 25) -> DataFram
             low, high = np.minimum.reduceat(ids[of], head), np.maximum.reduceat(ids[of], head)
             settled = (low != high) & (np.logical_or.reduceat(is_block, head) | (sizes >= MANY))
             known = np.repeat(settled, sizes)
-            out = [(int(d) % buckets, 1, int(ids[d]), A.pack(np.sort(x[0]))) for d, x in _by_doc(of[known], sign[known])]
+            out = [(int(ids[d]) * 2_654_435_761 % buckets, 1, int(ids[d]), A.pack(np.sort(x[0]))) for d, x in _by_doc(of[known], sign[known])]
             send = ~known
             send[head] = True
             flag = is_block[send].astype(np.uint8) | (known[send].astype(np.uint8) << 1)
@@ -152,7 +152,7 @@ def find_repeats(docs: DataFrame, window: int = 50, block: int = 25) -> DataFram
             head = A.heads(full)
             least_id = np.repeat(np.minimum.reduceat(ids[of], head), np.diff(np.append(head, len(full))))
             cut = ids[of] > least_id
-            out = [(int(d) % buckets, 1, int(ids[d]), A.pack(x[0])) for d, x in _by_doc(of[cut], pos[cut])]
+            out = [(int(ids[d]) * 2_654_435_761 % buckets, 1, int(ids[d]), A.pack(x[0])) for d, x in _by_doc(of[cut], pos[cut])]
             order = np.argsort(bucket[~cut], kind="stable")
             rest = [a[~cut][order] for a in (bucket, full, of, pos)]
             for b, (f, d, p) in A.by_bucket(rest[0], *rest[1:]):
