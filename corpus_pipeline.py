@@ -1,23 +1,62 @@
-"""The corpus pipeline: documents to packed sequences, stage by stage."""
+"""The corpus pipeline: documents to packed sequences, stage by stage.
+
+Each stage takes and returns a table with the columns of ``documents``; the last one returns the packing.  Stages
+only drop rows, and each works on all rows that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docmill.llm import arrays, decontaminate, exact, jaccard, language, packing
+
 
-from docmill.llm import exact
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that lie too far from all languages, or hold no letter, go."""
+    return language.accepted(docs, language.fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.exact_groups(docs).where("kept").select("doc_id")
+    """Of equal texts the document with the largest id stays."""
+    kept = exact.exact_groups(docs).where("kept").select("doc_id", "text_sha256")
+    same = (docs["doc_id"] == kept["doc_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == kept["text_sha256"])
+    return docs.join(kept, same, "left_semi")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shared shingles the one with the smallest id stays."""
+    kept = jaccard.jaccard_classes(docs, n=5).where("doc_id = component_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi")
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a leaked benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = decontaminate.find_leaks(docs, items).where("contaminated").select("doc_id")
+    return docs.join(leaked, "doc_id", "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, 4096)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: Models, tokenizers and templates are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if (name, stage) != STAGES[-1]:
+            docs = arrays.stored(docs)
     return docs

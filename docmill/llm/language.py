@@ -126,24 +126,48 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 300) -> Centroids:
     return Centroids(idf, names, np.concatenate(centroids), np.array(of), np.array(least))
 
 
+def nearest(model: Centroids, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language, score and rejection of each text; texts that are not ``known`` to hold a letter are rejected."""
+    n = len(offsets) - 1
+    known = known & (len(model.names) > 0)
+    if not known.any():
+        return np.zeros(n, int), np.zeros(n), np.ones(n, bool)
+    found = counts(data, offsets, table)
+    cosine = vectors(found, model.idf) @ model.centroids.T
+    size = np.minimum(1, np.sqrt((found > 0).sum(axis=1) / FEW))
+    of = model.of[cosine.argmax(axis=1)]
+    score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0)
+    return of, score, ~known | (score < model.least[of] * size / 4)
+
+
+LETTER = r"\p{L}"
+
+
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """Language, score and whether the text lies too far from all centroids; other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = A.character_table(True)
         for rows, data, offsets in A.slices(batches, limit=1 << 20, most_rows=512):
             known = np.array(rows.column("has_letter").to_pylist(), bool) & (len(model.names) > 0)
-            score, of, size = np.zeros(rows.num_rows), np.zeros(rows.num_rows, int), np.ones(rows.num_rows)
-            if known.any():
-                found = counts(data, offsets, table)
-                cosine = vectors(found, model.idf) @ model.centroids.T
-                size = np.minimum(1, np.sqrt((found > 0).sum(axis=1) / FEW))
-                best = cosine.argmax(axis=1)
-                score, of = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0), model.of[best]
-            far = [not k or s < model.least[i] * z / 4 for k, s, i, z in zip(known, score, of, size, strict=True)]
+            of, score, far = nearest(model, data, offsets, known, table)
             lang = [model.names[i] if k else UNKNOWN for k, i in zip(known, of, strict=True)]
             yield pa.record_batch([rows.column("doc_id"), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(far, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(nearest, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(named, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
+    """The rows, with all their columns, whose text is in one of the languages."""
+    flag = "_has_letter"
+    marked = docs.withColumn(flag, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = A.character_table(True)
+        for rows, data, offsets in A.slices(batches, limit=1 << 20, most_rows=512):
+            _, _, far = nearest(model, data, offsets, np.array(rows.column(flag).to_pylist(), bool), table)
+            yield rows.drop_columns([flag]).filter(pa.array(~far))
+
+    return marked.mapInArrow(kept, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import exact, html, jaccard, language, packing, repeats, token_counts, toxicity
+from docmill.llm import decontaminate, exact, html, jaccard, language, lm, packing, repeats, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), 1024)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = _table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 4, 2)
     found = language.predict(docs, language.fit(docs.where(~fold)))
     return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = _table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 5, 1)
+    return lm.score_texts(docs, docs.where(~fold), fold)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), n=5)
     return found.select("doc_id", "n_shingles", "component_id")
