@@ -14,12 +14,15 @@ _FENCE_LINE = r"(?m)^[^\S\n]*```[^\n]*(?:\n|\z)"
 def json_object(c: Column) -> Column:
     """The text as a VARIANT when all of it is one JSON object, else null.
 
-    Parsing inside brackets makes trailing content visible as a second element.
+    Parsing inside brackets makes trailing content visible as a second element.  Text that closes the
+    added bracket itself would hide what follows, so it must parse inside braces as well: one that ends the
+    bracket breaks the braces, and the other way round.
     """
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     first = F.try_variant_get(wrapped, "$[0]", "variant")
     alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone & F.schema_of_variant(first).startswith("OBJECT"), first)
+    return F.when(alone & braced.isNotNull() & F.schema_of_variant(first).startswith("OBJECT"), first)
 
 
 def fenced_text(c: Column) -> Column:

@@ -24,6 +24,11 @@ def is_accepted(min_confidence: float = MIN_CONFIDENCE) -> Column:
     )
 
 
+def is_skipped() -> Column:
+    """Digital text is read from PDFs only; for other files that stage is no attempt."""
+    return (F.col("stage") == DIGITAL) & ~F.coalesce(F.col("is_pdf"), F.lit(False))
+
+
 def choose_text(
     attempts: DataFrame, stages: Sequence[str] = PIPELINE, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
@@ -34,10 +39,9 @@ def choose_text(
     """
     order = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")).cast("int")
     usable = F.col("error").isNull() & ~is_blank(F.col("text"))
-    skipped = (F.col("stage") == DIGITAL) & ~F.coalesce(F.col("is_pdf"), F.lit(False))
     tried = attempts.withColumns({"__ord": order, "__ok": is_accepted(min_confidence), "__usable": usable})
     # a stage that is not in the list, or digital text of a non-PDF, keeps its document but is no attempt
-    slot = F.when((F.col("__ord") > 0) & ~skipped, F.col("__ord"))
+    slot = F.when((F.col("__ord") > 0) & ~is_skipped(), F.col("__ord"))
     tried = tried.withColumn("__ord", slot)
     attempt = F.struct(
         "stage",
@@ -105,5 +109,5 @@ def choose_two_stage(attempts: DataFrame, min_confidence: float = MIN_CONFIDENCE
 
 def unresolved(documents: DataFrame, attempts: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Documents no earlier stage has settled: the only input of the next, costlier stage (JN8)."""
-    settled = attempts.filter(is_accepted(min_confidence)).select("doc_id")
+    settled = attempts.filter(is_accepted(min_confidence) & ~is_skipped()).select("doc_id")
     return documents.join(settled, "doc_id", "left_anti")

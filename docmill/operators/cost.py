@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.operators.gates import MAX_BATCH_FILES, batch_detail
 from docmill.operators.sizing import MAX_BROADCAST_ROWS, small_side
 
 MODEL_CALL, UNIT_CALL = "llm", "ocr"
 CURRENCY = "USD"
-COST = "decimal(38,12)"
+COST = "decimal(38,18)"
+# A count times a price per token or unit has 36 digits at most, and the sum of three such products 38: all exact.
+COUNT, PRICE = "decimal(11,0)", "decimal(24,18)"
 
 
-def _count(name: str) -> Column:
-    return F.col(name).cast("decimal(15,0)")
+def _count(c: Column) -> Column:
+    return c.try_cast(COUNT)
+
+
+def _per(rate: str, shift: str) -> Column:
+    """A list price per million or thousand as the price of one."""
+    return (F.col(rate) * F.lit(shift).cast(f"decimal({len(shift) - 2},{len(shift) - 2})")).cast(PRICE)
 
 
 def price_events(
@@ -51,13 +59,13 @@ def price_events(
         .when(is_model & (cached != 0) & F.col("cached_rate").isNull(), F.lit("cached_rate_unavailable"))
         .when(is_model & (F.col("input_tokens") < cached), F.lit("invalid_usage"))
     )
-    regular = _count("input_tokens") - cached.cast("decimal(15,0)")
+    million, thousand = "0.000001", "0.001"
     token_cost = (
-        regular * F.col("input_rate")
-        + cached.cast("decimal(15,0)") * F.coalesce(F.col("cached_rate"), F.lit(0).cast("decimal(12,6)"))
-        + _count("output_tokens") * F.col("output_rate")
-    ) * F.lit("0.000001").cast("decimal(6,6)")
-    unit_cost = _count("units") * F.col("rate_per_thousand") * F.lit("0.001").cast("decimal(3,3)")
+        _count(tokens - cached) * _per("input_rate", million)
+        + _count(cached) * F.coalesce(_per("cached_rate", million), F.lit(0).cast(PRICE))
+        + _count(F.col("output_tokens")) * _per("output_rate", million)
+    )
+    unit_cost = _count(F.col("units")) * _per("rate_per_thousand", thousand)
     cost = F.when(is_model, token_cost.cast(COST)).otherwise(unit_cost.cast(COST))
     return joined.select(
         *events.columns,
@@ -90,21 +98,29 @@ def summarize_requests(
     return totals.select("request_id", *_summary(known, complete, price_date))
 
 
-def summarize_batches(results: DataFrame, price_date: str | None = None) -> DataFrame:
-    """Counts and combined cost per batch (AGG13, CST6) from result rows with their cost columns."""
+def summarize_batches(results: DataFrame, price_date: str | None = None, max_files: int = MAX_BATCH_FILES) -> DataFrame:
+    """Counts and combined cost per batch (AGG13, CST6) from result rows with their cost columns.
+
+    A batch over the file limit is rejected as a whole: status 413 with its number of files, nothing done and
+    nothing charged.
+    """
     totals = results.groupBy("batch_id").agg(
         F.count("*").alias("total_files"),
         F.count_if("success").alias("succeeded"),
         F.coalesce(F.sum("known_cost"), F.lit(0).cast(COST)).cast(COST).alias("__known"),
         F.bool_and("complete").alias("__complete"),
     )
+    over = F.col("total_files") > max_files
+    known = F.when(over, F.lit(0).cast(COST)).otherwise(F.col("__known"))
     return totals.select(
         "batch_id",
-        (F.col("succeeded") == F.col("total_files")).alias("success"),
+        F.when(over, F.lit(413)).otherwise(F.lit(200)).alias("status_code"),
+        F.when(over, batch_detail(max_files)).alias("detail"),
+        (~over & (F.col("succeeded") == F.col("total_files"))).alias("success"),
         "total_files",
-        "succeeded",
-        (F.col("total_files") - F.col("succeeded")).alias("failed"),
-        *_summary(F.col("__known"), F.col("__complete"), price_date),
+        F.when(over, F.lit(0)).otherwise(F.col("succeeded")).cast("long").alias("succeeded"),
+        F.when(over, F.lit(0)).otherwise(F.col("total_files") - F.col("succeeded")).cast("long").alias("failed"),
+        *_summary(known, over | F.col("__complete"), price_date),
     )
 
 

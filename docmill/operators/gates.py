@@ -75,6 +75,10 @@ def gate_files(
     )
 
 
+def batch_detail(max_files: int = MAX_BATCH_FILES) -> Column:
+    return F.lit(f"Batch exceeds {max_files} files")
+
+
 def oversized_batches(manifest: DataFrame, max_files: int = MAX_BATCH_FILES) -> DataFrame:
     """Batches over the file limit with their status (FLT3): counted with partial sums, no window."""
     return (
@@ -85,11 +89,20 @@ def oversized_batches(manifest: DataFrame, max_files: int = MAX_BATCH_FILES) ->
             "batch_id",
             "total_files",
             F.lit(413).alias("status_code"),
-            F.lit(f"Batch exceeds {max_files} files").alias("detail"),
+            batch_detail(max_files).alias("detail"),
         )
     )
 
 
-def within_limit(manifest: DataFrame, max_files: int = MAX_BATCH_FILES) -> DataFrame:
-    """Manifest rows of the batches that are not rejected as a whole."""
-    return manifest.join(oversized_batches(manifest, max_files).select("batch_id"), "batch_id", "left_anti")
+def gate_batches(gated: DataFrame, max_files: int = MAX_BATCH_FILES) -> DataFrame:
+    """Gated files, with the files of a batch over the limit stopped by it (FLT3): 413 comes before a file's own status."""
+    over = oversized_batches(gated, max_files).select(
+        "batch_id", F.col("status_code").alias("__status"), F.col("detail").alias("__detail")
+    )
+    joined = gated.join(over, "batch_id", "left")
+    return joined.withColumns(
+        {
+            "status_code": F.coalesce("__status", "status_code"),
+            "detail": F.when(F.col("__status").isNotNull(), F.col("__detail")).otherwise(F.col("detail")),
+        }
+    ).drop("__status", "__detail")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.masking import (
     REDACTED,
+    bound,
     mask_account,
     mask_columns,
     mask_expression,
@@ -47,23 +48,27 @@ def _generic(c: Column) -> Column:
     return F.concat(F.left(c, F.lit(6)), stars, F.right(c, F.lit(4)))
 
 
+def _own_mask(c: Column, permit: Column, account: Column) -> Column:
+    """The full chain once; a value that it leaves alone gets the mask of its kind."""
+
+    def chosen(masked: Column) -> Column:
+        own = F.when(permit, mask_permit(c)).when(account, mask_account(c)).otherwise(_generic(c))
+        return F.when((masked == c) & (F.length(c) > 6), own).otherwise(masked)
+
+    return F.when(c.isNull(), F.lit(REDACTED)).otherwise(bound(mask_expression(c), chosen))
+
+
+def _number_mask(c: Column) -> Column:
+    """First six and last four of a number with 16 digits, else nothing of it."""
+    text = c.cast("string")
+    edges = F.concat(F.left(text, F.lit(6)), F.lit("******"), F.right(text, F.lit(4)))
+    return F.when(F.length(text) == 16, edges).otherwise(F.lit(REDACTED))
+
+
 def _identifier(c: Column, key: str, t: T.DataType, strict: bool) -> Column:
     if isinstance(t, T.StringType):
-        masked = mask_expression(c)
-        if _names(key, PERMIT_NAMES, strict):
-            own = mask_permit(c)
-        elif _names(key, ACCOUNT_NAMES, strict):
-            own = mask_account(c)
-        else:
-            own = _generic(c)
-        return F.when(c.isNull(), F.lit(REDACTED)).otherwise(
-            F.when((masked == c) & (F.length(c) > 6), own).otherwise(masked)
-        )
-    if isinstance(t, T.NumericType):
-        text = c.cast("string")
-        edges = F.concat(F.left(text, F.lit(6)), F.lit("******"), F.right(text, F.lit(4)))
-        return F.when(F.length(text) == 16, edges).otherwise(F.lit(REDACTED))
-    return F.lit(REDACTED)
+        return _own_mask(c, F.lit(_names(key, PERMIT_NAMES, strict)), F.lit(_names(key, ACCOUNT_NAMES, strict)))
+    return _number_mask(c) if isinstance(t, T.NumericType) else F.lit(REDACTED)
 
 
 def mask_value(c: Column, t: T.DataType, strict: bool = False) -> Column:
@@ -75,29 +80,29 @@ def mask_value(c: Column, t: T.DataType, strict: bool = False) -> Column:
         return F.when(c.isNotNull(), F.struct(*fields))
     if isinstance(t, T.ArrayType):
         return F.transform(c, lambda x: mask_value(x, t.elementType, strict))
-    if isinstance(t, T.MapType) and isinstance(t.valueType, T.StringType):
-        return F.transform_values(c, lambda k, v: _by_key(k, v))
     if isinstance(t, T.MapType):
-        return F.transform_values(c, lambda _, v: mask_value(v, t.valueType, strict))
+        return F.transform_values(c, lambda k, v: _by_key(k.cast("string"), v, t.valueType, strict))
     return c
 
 
-def _by_key(k: Column, v: Column) -> Column:
-    """Map entries: the key is only known at run time."""
+def _as_text(c: Column, t: T.DataType) -> Column:
+    """A masked value as text: JSON for nested ones."""
+    return F.to_json(c) if isinstance(t, T.StructType | T.ArrayType | T.MapType) else c.cast("string")
+
+
+def _by_key(k: Column, v: Column, t: T.DataType, strict: bool) -> Column:
+    """Map entries: the key is only known at run time, so all values become text, nested ones JSON."""
 
     def holds(parts):
-        return F.rlike(F.lower(k), F.lit("|".join(parts)))
-
-    masked = mask_expression(v)
-    own = F.when(holds(PERMIT_NAMES), mask_permit(v)).when(holds(ACCOUNT_NAMES), mask_account(v)).otherwise(_generic(v))
-    return (
-        F.when(holds(CREDENTIALS), F.lit(REDACTED))
-        .when(
-            holds(IDENTIFIERS),
-            F.when(v.isNull(), F.lit(REDACTED)).when((masked == v) & (F.length(v) > 6), own).otherwise(masked),
-        )
-        .otherwise(masked)
-    )
+        names = "|".join(map(re.escape, parts))
+        return F.rlike(F.lower(k), F.lit(rf"(?:^|_)(?:{names})(?:$|_)" if strict else names))
+
+    if isinstance(t, T.StringType):
+        own = _own_mask(v, holds(PERMIT_NAMES), holds(ACCOUNT_NAMES))
+    else:
+        own = _number_mask(v) if isinstance(t, T.NumericType) else F.lit(REDACTED)
+    masked = _as_text(mask_value(v, t, strict), t)
+    return F.when(holds(CREDENTIALS), F.lit(REDACTED)).when(holds(IDENTIFIERS), own).otherwise(masked)
 
 
 def _member(c: Column, key: str, t: T.DataType, strict: bool) -> Column:

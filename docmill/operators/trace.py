@@ -18,6 +18,12 @@ def _stage(n: int, name: str, ok: Column, details: Column) -> Column:
     )
 
 
+def _with_null_stage(stage: Column) -> Column:
+    """The cascade stage prints its selected stage even when there is none."""
+    head = r'^(\{"pipeline":\[[^\]]*\],"min_confidence_threshold":[^,]*,)(?="selected_confidence")'
+    return stage.withField("details", F.regexp_replace(stage["details"], head, '$1"selected_stage":null,'))
+
+
 def _trace(engine: str, stages: list[Column]) -> Column:
     return F.struct(F.lit(engine).alias("engine"), F.array_compact(F.array(*stages)).alias("stages"))
 
@@ -47,7 +53,7 @@ def hybrid_trace(df: DataFrame, pipeline: list[str], min_confidence: float, mode
         ),
     )
     analysis = _analysis("text_analysis", F.lit(mode))
-    stages = [_empty_file(size), F.when(size != 0, cascade), F.when((size != 0) & picked, analysis)]
+    stages = [_empty_file(size), F.when(size != 0, _with_null_stage(cascade)), F.when((size != 0) & picked, analysis)]
     return df.withColumn("trace", _trace(HYBRID, stages))
 
 

@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators.cascade import MIN_CONFIDENCE, PIPELINE, choose_text, unresolved
+from docmill.operators.cascade import DIGITAL, MIN_CONFIDENCE, PIPELINE, choose_text, unresolved
 from docmill.operators.cost import price_events, summarize_requests
 from docmill.operators.dispatch import extract_mixed, payloads_mixed
-from docmill.operators.gates import gate_files
+from docmill.operators.gates import MAX_BATCH_FILES, gate_batches, gate_files
 from docmill.operators.results import with_status
 from docmill.plans.registry import document_types
 from docmill.session import shared_root
+from docmill.sources.pricing import rate_violations, unit_violations
 
 Extractor = Callable[[DataFrame], DataFrame]
 Analyzer = Callable[..., DataFrame]
@@ -68,12 +69,14 @@ def run_stages(
 ) -> DataFrame:
     """Run registered text sources in order, each only on documents that none before has settled.
 
+    ``documents`` carries doc_id and is_pdf; digital text is read from PDFs only.
     ``save`` writes the attempts of a stage to a table and reads them back, so a costly source runs
     once and a lost executor does not make it run again.
     """
     done: DataFrame | None = None
     for stage in stages:
         todo = documents if done is None else unresolved(documents, done, min_confidence)
+        todo = todo.filter("is_pdf") if stage == DIGITAL else todo
         attempts = save(EXTRACTORS[stage](todo), stage)
         done = attempts if done is None else done.unionByName(attempts)
     return done
@@ -90,12 +93,17 @@ def extract_corpus(
     min_confidence: float = MIN_CONFIDENCE,
     mode: str = "string",
     as_of: Column | None = None,
+    max_files: int = MAX_BATCH_FILES,
 ) -> DataFrame:
     """Gates, choice of text, extraction, cost: one result row per manifest row.
 
-    ``manifest`` carries doc_id and request_id.  Rows stopped by a gate skip the costly part.
+    ``manifest`` carries doc_id and request_id, and batch_id where files come in batches.  Rows stopped
+    by a gate, by the batch limit or by an invalid price list skip the costly part.
     """
-    gated = gate_files(manifest, document_types(manifest.sparkSession))
+    valid = rate_violations(model_rates).isEmpty() and unit_violations(unit_rates).isEmpty()
+    gated = gate_files(manifest, document_types(manifest.sparkSession), valid_pricing=valid)
+    if "batch_id" in manifest.columns:
+        gated = gate_batches(gated, max_files)
     chosen = choose_text(attempts, pipeline, min_confidence).withColumnRenamed("error", "text_error")
     passed = gated.filter(F.col("status_code").isNull()).join(chosen, "doc_id", "left")
     analysed = ANALYZERS[mode](passed, as_of=as_of).withColumnRenamed("error", "analysis_error")

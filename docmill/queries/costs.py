@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.operators.cost import plain_decimal, price_events, summarize_batches, summarize_requests
 from docmill.operators.usage import model_usage, unit_usage
 from docmill.queries.common import query, table
-from docmill.sources.pricing import PRICE_FILE, model_rates, rate_violations, unit_rates
+from docmill.sources.pricing import PRICE_FILE, model_rates, rate_violations, unit_rates, unit_violations
 
 PRICE_DATE = "2026-01-15"
 # A small price list of our own: one flat rate, one without cached price, one in three tiers.
@@ -110,8 +110,8 @@ _REQUESTS_SQL = f"""
 {_EVENTS_SQL},
 q as (
   select s.request_id, s.batch_id, coalesce(sum(pico), 0) as known, coalesce(bool_and(pico is not null) filter (where x.event_id is not null), true) as complete
-  from (select distinct user_id as request_id, user_id % 200 as batch_id from events) s
-  left join (select * from x where request_id % 11 <> 0) x using (request_id) group by 1, 2)
+  from (select c_custkey as request_id, case when c_custkey % 3 = 0 then c_custkey // 21 else 1000000 + c_custkey // 4 end as batch_id from customer) s
+  left join x on x.request_id = s.request_id group by 1, 2)
 """
 
 
@@ -126,9 +126,8 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def _request_costs(spark, sf_dir):
-    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id")).distinct()
-    priced = _priced(spark, sf_dir).filter("request_id % 11 <> 0")
-    return summarize_requests(priced, requests, PRICE_DATE)
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
+    return summarize_requests(_priced(spark, sf_dir), requests, PRICE_DATE)
 
 
 @query(
@@ -148,16 +147,22 @@ def request_costs(spark, sf_dir):
     f"""
 with {_REQUESTS_SQL},
 b as (
-  select batch_id, count(*) as total_files, count(*) filter (where request_id % 7 <> 0) as succeeded, sum(known) as known, bool_and(complete) as complete
-  from q group by batch_id)
-select batch_id, succeeded = total_files as success, total_files, succeeded, total_files - succeeded as failed,
+  select batch_id, count(*) > 5 as over, count(*) as total_files, count(*) filter (where request_id % 9 <> 0) as good, sum(known) as sum_known, bool_and(complete) as all_complete
+  from q group by batch_id),
+c as (
+  select *, case when over then 0 else good end as succeeded, case when over then 0 else total_files - good end as failed,
+    case when over then 0 else sum_known end as known, over or all_complete as complete from b)
+select batch_id, cast(case when over then 413 else 200 end as int) as status_code, case when over then 'Batch exceeds 5 files' end as detail,
+  not over and succeeded = total_files as success, total_files, succeeded, failed,
   'USD' as currency, '{PRICE_DATE}' as price_date, case when complete then {decimal_sql('known')} end as estimate_cost,
-  {decimal_sql('known')} as known_cost, complete from b
+  {decimal_sql('known')} as known_cost, complete from c
 """,
 )
 def batch_cost(spark, sf_dir):
     results = _request_costs(spark, sf_dir).selectExpr(
-        "*", "request_id % 200 as batch_id", "request_id % 7 <> 0 as success"
+        "*",
+        "case when request_id % 3 = 0 then request_id div 21 else 1000000 + request_id div 4 end as batch_id",
+        "request_id % 9 <> 0 as success",
     )
     return _shown(summarize_batches(results, PRICE_DATE))
 
@@ -178,7 +183,7 @@ def tier_lookup(spark, sf_dir):
     )
     # a rate list with output price 0 and input price per token shows the chosen tier as the cost
     rates = model_rates(prices(spark)).withColumns(
-        {"output_rate": F.col("input_rate"), "input_rate": F.lit(0).cast("decimal(12,6)")}
+        {"output_rate": F.col("input_rate"), "input_rate": F.lit(0).cast("decimal(20,12)")}
     )
     priced = price_events(events, rates, unit_rates(prices(spark)))
     return priced.select("event_id", "input_tokens", plain_decimal(F.col("estimate_cost")).alias("input_rate"))
@@ -192,17 +197,19 @@ _LIST = "p_partkey div 5"  # five neighbouring parts stand for the tiers of one
     """
 with t as (
   select 's' || p_partkey // 5 % 7 as service, 'm' || p_partkey // 5 as model, p_partkey % 5 as tier,
-    (p_size - 3) * 1000 as max_input_tokens, p_partkey % 50 - 2 as rate from part),
+    (p_size - 3) * 1000 as max_input_tokens, p_partkey % 50 - 2 as rate,
+    case p_partkey % 17 when 3 then 'rate_invalid' when 4 then 'rate_invalid' when 5 then 'rate_missing' when 6 then 'rate_invalid' end as odd from part),
 l as (select *, lag(max_input_tokens) over (partition by service, model order by tier) as low from t)
 select service, model, tier, case when max_input_tokens <= 0 then 'limit_not_positive'
     when low is not null and not (max_input_tokens > low) then 'limits_not_increasing'
-    when rate < 0 then 'rate_negative' end as problem
-from l where max_input_tokens <= 0 or (low is not null and not (max_input_tokens > low)) or rate < 0
+    when odd is not null then odd when rate < 0 then 'rate_negative' end as problem
+from l where max_input_tokens <= 0 or (low is not null and not (max_input_tokens > low)) or odd is not null or rate < 0
 """,
 )
 def rate_list_check(spark, sf_dir):
     tier = (
-        "named_struct('max_input_tokens', cast((p_size - 3) * 1000 as bigint), 'input_usd_per_million_tokens', cast(p_partkey % 50 - 2 as string), "
+        "named_struct('max_input_tokens', cast((p_size - 3) * 1000 as bigint), 'input_usd_per_million_tokens', "
+        "case p_partkey % 17 when 3 then 'NaN' when 4 then 'abc' when 5 then null when 6 then '0.0000000000001' else cast(p_partkey % 50 - 2 as string) end, "
         "'output_usd_per_million_tokens', '1', 'cached_input_usd_per_million_tokens', cast(null as string))"
     )
     listed = (
@@ -219,6 +226,39 @@ def rate_list_check(spark, sf_dir):
     return rate_violations(model_rates(listed)).selectExpr("service", "model", "cast(tier as bigint) as tier", "problem")
 
 
+@query(
+    "unit_rate_check",
+    """
+select s, f, case when p_partkey % 13 = 1 then 'rate_invalid' when p_partkey % 13 = 2 then 'rate_missing' when p_partkey % 13 = 3 then 'rate_negative' end as problem
+from (select p_partkey, 's' || p_partkey % 7 as s, 'f' || p_partkey as f from part) where p_partkey % 13 in (1, 2, 3)
+""",
+)
+def unit_rate_check(spark, sf_dir):
+    listed = table(spark, sf_dir, "part").selectExpr(
+        "'2026-01-15' as effective_date",
+        "map(concat('s', p_partkey % 7), map(concat('f', p_partkey), named_struct('usd_per_thousand_units', "
+        "case p_partkey % 13 when 1 then 'free' when 2 then null when 3 then '-1' else '0.0000001' end))) as ocr_rates",
+    )
+    return unit_violations(unit_rates(listed)).selectExpr("service as s", "feature as f", "problem")
+
+
+@query(
+    "small_rates",
+    f"select event_id, {decimal_sql('cast(event_id * 31 % 12000 as hugeint)')} as estimate_cost from events",
+)
+def small_rates(spark, sf_dir):
+    """A price of 0.000001 per million tokens is kept to the last digit."""
+    rate = '{"input_usd_per_million_tokens": "0.000001", "output_usd_per_million_tokens": "0.0000001"}'
+    listed = F.from_json(F.lit(f'{{"llm_rates": {{"beta": {{"tiny": {rate}}}}}, "ocr_rates": {{}}}}'), PRICE_FILE)
+    book = spark.range(1).select(listed.alias("p")).select("p.*")
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "'llm' as kind", "concat('bet', 'a') as service", "'tiny' as model", "cast(null as string) as feature",
+        "event_id * 31 % 12000 as input_tokens", "0L as output_tokens", "0L as cached_input_tokens", "cast(null as bigint) as units",
+    )
+    priced = price_events(events, model_rates(book), unit_rates(book))
+    return priced.select("event_id", plain_decimal(F.col("estimate_cost")).alias("estimate_cost"))
+
+
 # --- provider responses --------------------------------------------------------------------------
 
 

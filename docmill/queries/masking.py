@@ -132,6 +132,34 @@ def pi_mask_nested(spark, sf_dir):
     )
 
 
+@query(
+    "pi_mask_maps",
+    f"""
+select {_K} as id, '[REDACTED]' as n_token, '310000******' || substr({padded(_K, 16)}, 13, 4) as n_nik, cast({_K} as varchar) as n_count,
+  '[REDACTED]' as a_npwp, '["k***y@mail.co.id","x"]' as a_mail, '[REDACTED]' as s_secret, '{{"phone":"0812****' || substr({padded(_K, 7)}, 5, 3) || '","cvv":"[REDACTED]"}}' as s_person,
+  '[REDACTED]' as z_kk, cast(null as varchar) as z_note, '5' as strict_input_tokens, '[REDACTED]' as strict_token
+from customer
+""",
+)
+def pi_mask_maps(spark, sf_dir):
+    """Maps of numbers, arrays, structs and nulls, masked by key."""
+    person = f"named_struct('phone', concat('0812', {padded(_K, 7)}), 'cvv', '123')"
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        f"{_K} as id",
+        f"map('access_token', 12345L, 'nik', cast(concat('310000', substr({padded(_K, 16)}, 7, 10)) as bigint), 'count', cast({_K} as bigint)) as n",
+        "map('npwp', array('1', '2'), 'mail', array('kept.by@mail.co.id', 'x')) as a",
+        f"map('secret', {person}, 'person', {person}) as s",
+        "map('kk', cast(null as string), 'note', cast(null as string)) as z",
+    )
+    strict = mask_frame(rows.selectExpr("id as strict_id", "map('input_tokens', 5, 'token', 6) as strict"), strict_keys=True)
+    return mask_frame(rows).join(strict, F.col("id") == F.col("strict_id")).select(
+        "id", *[F.col(m)[k].alias(n) for m, k, n in (
+            ("n", "access_token", "n_token"), ("n", "nik", "n_nik"), ("n", "count", "n_count"), ("a", "npwp", "a_npwp"), ("a", "mail", "a_mail"),
+            ("s", "secret", "s_secret"), ("s", "person", "s_person"), ("z", "kk", "z_kk"), ("z", "note", "z_note"),
+            ("strict", "input_tokens", "strict_input_tokens"), ("strict", "token", "strict_token"))]
+    )
+
+
 @query(
     "pi_mask_logs",
     f"""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import assembly as A
-from docmill.operators.cascade import choose_text, choose_two_stage, unresolved
+from docmill.operators.cascade import PIPELINE, choose_text, choose_two_stage, unresolved
+from docmill.plans.jobs import register_extractor, run_stages
 from docmill.queries.common import query, spread_table, table
 
 
@@ -308,9 +309,27 @@ def cascade_string(spark, sf_dir):
 @query(
     "cascade_unresolved",
     f"""with {_ATTEMPTS_SQL} select distinct doc_id, cast(1 as int) as waiting from a
-    where doc_id not in (select doc_id from a where n = 1 and err is null and txt is not null and conf >= 0.5)""",
+    where doc_id not in (select doc_id from a where n = 1 and is_pdf and err is null and txt is not null and conf >= 0.5)""",
 )
 def cascade_unresolved(spark, sf_dir):
     documents = table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "1 as waiting")
     first = attempts(spark, sf_dir).filter("stage = 'digital_pdf'")
     return unresolved(documents, first)
+
+
+@query(
+    "cascade_staged",
+    f"""
+with {_ATTEMPTS_SQL}
+select f.doc_id, b.stage, coalesce(b.conf, 0.0::double) as confidence, coalesce(b.txt, '') as text, f.stop is not null as accepted
+from f left join b using (doc_id)
+""",
+)
+def cascade_staged(spark, sf_dir):
+    """Sources run one after the other, each on the documents still open, then the choice: the same texts as from all attempts."""
+    everything = attempts(spark, sf_dir)
+    documents = everything.select("doc_id", "is_pdf").distinct()
+    for stage in PIPELINE:
+        register_extractor(stage, lambda todo, s=stage: everything.filter(F.col("stage") == s).join(todo.select("doc_id"), "doc_id", "left_semi"))
+    done = run_stages(documents, PIPELINE, lambda made, stage: made)
+    return choose_text(done).select("doc_id", "stage", "confidence", "text", "accepted")

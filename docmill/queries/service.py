@@ -17,7 +17,8 @@ from docmill.plans import registry
 from docmill.queries.common import code, query, spread_table, table, worded
 from docmill.queries.pages import _ATTEMPTS_SQL, attempts, strip_sql
 from docmill.operators.cascade import PIPELINE, choose_text, choose_two_stage
-from docmill.sources.files import LOG_LINES, zip_manifest
+from docmill.sources.files import LOG_LINES, join_manifest, zip_manifest
+from docmill.sources.pricing import RATE_NAMES, model_rates, rate_violations
 
 # --- dates ---------------------------------------------------------------------------------------
 
@@ -184,14 +185,15 @@ def prompt_render(spark, sf_dir):
 @query(
     "payload_repair",
     """
-select event_id, case when event_id % 8 in (5, 6) then null else cast(json_extract(props, '$.k') as bigint) end as k,
-  case when event_id % 8 = 7 then 'x' end as note
+select event_id, case when event_id % 11 in (5, 6, 8, 9, 10) then null else cast(json_extract(props, '$.k') as bigint) end as k,
+  case when event_id % 11 = 7 then 'x' end as note
 from events
 """,
 )
 def payload_repair(spark, sf_dir):
     shapes = (
-        "case event_id % 8 when 0 then props when 1 then concat('```json\\n', props, '\\n```') "
+        "case event_id % 11 when 0 then props when 8 then concat(props, '] , [', props) when 9 then concat(props, '],\"x\":', props) "
+        "when 10 then concat(props, '},', props, ',{') when 1 then concat('```json\\n', props, '\\n```') "
         "when 2 then concat('Here it is: ', props, ' as asked') "
         "when 3 then concat('Text\\n```\\n', props, '\\n```\\n```\\n```\\nbye {') when 4 then concat('[', props, ']x]') "
         "when 5 then replace(props, '}', '') when 6 then ' ' "
@@ -290,8 +292,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {_GATE_SQL}, r as (select *, coalesce(status_code, case when doc_id % 6 = 0 then 422 else 200 end) as code from s)
 select doc_id, cast(code as int) as status_code, code = 200 as success,
   case when code = 200 then '{{"id":' || doc_id || '}}' end as data,
-  case code when 404 then 'Extraction failed: Unknown document_type: ''recipe''' when 413 then 'Extraction failed: File exceeds maximum allowed size of 15MB'
-    when 400 then 'Extraction failed: Invalid engine override' when 422 then case when size_bytes = 0 and status_code = 422 then 'Extraction failed: Empty file provided for extraction' else 'Extraction failed: no text' end end as detail,
+  case code when 404 then 'Unknown document_type: ''recipe''' when 413 then 'File exceeds maximum allowed size of 15MB'
+    when 400 then 'Invalid engine override' when 422 then case when size_bytes = 0 and status_code = 422 then 'Extraction failed: Empty file provided for extraction' else 'Extraction failed: no text' end end as detail,
+  case code when 422 then case when size_bytes = 0 and status_code = 422 then 'Empty file provided for extraction' else 'no text' end end as error,
   '0' as known_cost
 from r
 """,
@@ -304,6 +307,7 @@ def result_envelope(spark, sf_dir):
         (F.get_json_object("body", "$.success") == "true").alias("success"),
         F.get_json_object("body", "$.data").alias("data"),
         F.get_json_object("body", "$.detail").alias("detail"),
+        F.get_json_object("body", "$.error").alias("error"),
         F.get_json_object("body", "$.cost.known_cost").alias("known_cost"),
     )
 
@@ -311,20 +315,75 @@ def result_envelope(spark, sf_dir):
 @query(
     "batch_results",
     f"""
-with {_GATE_SQL}, n as (select batch_id from s group by batch_id having count(*) <= 5)
-select batch_id, string_agg((doc_id % 5) || ':' || doc_id || ':' || coalesce(status_code, case when doc_id % 6 = 0 then 422 else 200 end),
-  ',' order by doc_id % 5, coalesce(status_code, case when doc_id % 6 = 0 then 422 else 200 end), doc_id) as results
-from s join n using (batch_id) group by batch_id
+with {_GATE_SQL}, n as (select batch_id, count(*) as total_files from s group by batch_id),
+l as (
+  select batch_id, string_agg((doc_id % 5) || ':' || doc_id || ':' || code || ':' || case when code = 200 then '-' when code = 404 then 'Unknown document_type: ''recipe'''
+      when code = 413 then 'File exceeds maximum allowed size of 15MB' when code = 400 then 'Invalid engine override'
+      when status_code = 422 then 'Extraction failed: Empty file provided for extraction' else 'Extraction failed: no text' end || ':0',
+    ',' order by doc_id % 5, code, doc_id) as results
+  from (select *, coalesce(status_code, case when doc_id % 6 = 0 then 422 else 200 end) as code from s) join n using (batch_id) where total_files <= 5 group by batch_id)
+select batch_id, cast(case when total_files > 5 then 413 else 200 end as int) as status_code, case when total_files > 5 then 'Batch exceeds 5 files' end as detail,
+  total_files, results
+from n left join l using (batch_id)
 """,
 )
 def batch_results(spark, sf_dir):
-    small = results(spark, sf_dir).withColumn("request_id", F.lpad("request_id", 12, "0"))
-    listed = ordered_results(small)
+    all_files = results(spark, sf_dir).withColumn("request_id", F.lpad("request_id", 12, "0"))
     shown = F.transform(
         "results",
-        lambda r: F.concat_ws(":", r["ord"].cast("string"), r["request_id"].cast("bigint").cast("string"), r["status_code"].cast("string")),
-    )
-    return listed.select("batch_id", F.array_join(shown, ",").alias("results"))
+        lambda r: F.concat_ws(
+            ":", r["ord"].cast("string"), r["request_id"].cast("bigint").cast("string"), r["status_code"].cast("string"),
+            F.coalesce(r["detail"], F.lit("-")), r["cost"]["known_cost"],
+        ),
+    )
+    return ordered_results(all_files).withColumn("results", F.array_join(shown, ","))
+
+
+@query(
+    "gate_price_list",
+    f"""
+with {_GATE_SQL}
+select doc_id, cast(case when document_type = 'recipe' then 404 when size_bytes > 15 * 1024 * 1024 then 413 else 500 end as int) as status_code,
+  case when document_type = 'recipe' then 'Unknown document_type: ''recipe''' when size_bytes > 15 * 1024 * 1024 then 'File exceeds maximum allowed size of 15MB'
+    else 'Invalid pricing configuration' end as detail
+from s
+""",
+)
+def gate_price_list(spark, sf_dir):
+    """A price list with a rate that is no number stops every file that passes the gates before it."""
+    tier = ", ".join(f"{n}: {'bigint' if n == 'max_input_tokens' else 'string'}" for n in ("max_input_tokens", *RATE_NAMES))
+    rate = f"named_struct('{RATE_NAMES[0]}', 'NaN', '{RATE_NAMES[1]}', '1', '{RATE_NAMES[2]}', cast(null as string), 'tiers', cast(null as array<struct<{tier}>>))"
+    listed = table(spark, sf_dir, "part").selectExpr("'2026-01-15' as effective_date", f"map(p_name, map('m', {rate})) as llm_rates")
+    valid = rate_violations(model_rates(listed)).isEmpty()
+    gated = G.gate_files(manifest(spark, sf_dir), registry.document_types(spark), valid_pricing=valid)
+    return gated.select("doc_id", "status_code", "detail")
+
+
+@query(
+    "batch_gate",
+    f"""
+with {_GATE_SQL}, n as (select batch_id, count(*) as files from s group by batch_id)
+select doc_id, cast(case when files > 5 then 413 else status_code end as int) as status_code from s join n using (batch_id)
+""",
+)
+def batch_gate(spark, sf_dir):
+    gated = G.gate_files(manifest(spark, sf_dir), registry.document_types(spark))
+    return G.gate_batches(gated).select("doc_id", "status_code")
+
+
+@query(
+    "files_join",
+    """
+with f as (select doc_id, source || '/' || (doc_id // 20) || '/scan.pdf' as path, octet_length(encode(text)) as size_bytes from documents)
+select r.doc_id, r.path, f.size_bytes from f r left join f on f.path = r.path and f.doc_id % 7 <> 0
+""",
+)
+def files_join(spark, sf_dir):
+    """Files in many folders under one base name, told apart by their path."""
+    path = "concat(source, '/', doc_id div 20, '/scan.pdf') as path"
+    docs = table(spark, sf_dir, "documents")
+    files = docs.where("doc_id % 7 <> 0").selectExpr(path, "'scan.pdf' as filename", "cast(octet_length(text) as bigint) as size_bytes")
+    return join_manifest(files, docs.selectExpr("doc_id", path, "'scan.pdf' as filename", "0L as size_bytes")).select("doc_id", "path", "size_bytes")
 
 
 def _analysed(spark, sf_dir, chosen: DataFrame) -> DataFrame:
@@ -343,16 +402,17 @@ def _analysed(spark, sf_dir, chosen: DataFrame) -> DataFrame:
     f"""
 with {_ATTEMPTS_SQL},
 d as (select f.doc_id, b.stage, f.doc_id % 17 = 0 as nothing, f.doc_id % 10 = 0 as bad from f left join b using (doc_id))
-select doc_id, 1 as stage, 'file_check' as name, 'failed' as status, null as selected from d where nothing
-union all select doc_id, 1, 'extraction_pipeline', case when stage is null then 'failed' else 'completed' end, stage from d where not nothing
-union all select doc_id, 2, 'text_analysis', case when bad then 'failed' else 'completed' end, null from d where not nothing and stage is not null
+select doc_id, 1 as stage, 'file_check' as name, 'failed' as status, null as selected, false as prints_null from d where nothing
+union all select doc_id, 1, 'extraction_pipeline', case when stage is null then 'failed' else 'completed' end, stage, stage is null from d where not nothing
+union all select doc_id, 2, 'text_analysis', case when bad then 'failed' else 'completed' end, null, false from d where not nothing and stage is not null
 """,
 )
 def trace_hybrid(spark, sf_dir):
     chosen = _analysed(spark, sf_dir, choose_text(attempts(spark, sf_dir)))
     stages = TR.explode_stages(TR.hybrid_trace(chosen, list(PIPELINE), 0.5), "doc_id")
     return stages.select(
-        "doc_id", "stage", "name", "status", F.get_json_object("details", "$.selected_stage").alias("selected")
+        "doc_id", "stage", "name", "status", F.get_json_object("details", "$.selected_stage").alias("selected"),
+        F.contains("details", F.lit('"selected_stage":null')).alias("prints_null"),
     )
 
 

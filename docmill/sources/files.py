@@ -36,9 +36,19 @@ def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     )
 
 
-def join_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Each manifest row with its file; a row without a file keeps null content (SRC1)."""
-    return manifest.drop("size_bytes").join(files, "filename", "left")
+def join_manifest(files: DataFrame, manifest: DataFrame, key: str | None = None) -> DataFrame:
+    """Each manifest row with its file; a row without a file keeps null content (SRC1).
+
+    Files are told apart by ``path`` or ``file_id``, whichever both tables have; base names repeat across
+    folders.  For gates that need no content, join ``files.drop("content")`` and fetch the content by a
+    second join of the rows that passed, so that rejected files are never read.
+    """
+    both = set(files.columns) & set(manifest.columns)
+    key = key or next((k for k in ("path", "file_id") if k in both), None)
+    if key is None:
+        raise ValueError("files and manifest need a common path or file_id")
+    own = [c for c in files.columns if c == key or c not in manifest.columns or c == "size_bytes"]
+    return manifest.drop("size_bytes").join(files.select(*own), key, "left")
 
 
 def zip_manifest(batches: DataFrame) -> DataFrame:

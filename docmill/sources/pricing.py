@@ -21,7 +21,8 @@ PRICE_FILE = (
     f"llm_rates map<string, map<string, struct<{_STRUCT_RATE}, tiers: array<struct<{_STRUCT_TIER}>>>>>, "
     "ocr_rates map<string, map<string, struct<usd_per_thousand_units: string>>>"
 )
-MONEY = "decimal(12,6)"
+#: Prices per token or unit keep 18 decimals, so list prices per million keep 12; finer ones are violations.
+MONEY = "decimal(20,12)"
 
 
 def read_price_file(spark: SparkSession, path: str) -> DataFrame:
@@ -37,14 +38,29 @@ def price_date(prices: DataFrame) -> str | None:
     return row["effective_date"] if row else None
 
 
+RATE_NAMES = ("input_usd_per_million_tokens", "output_usd_per_million_tokens", "cached_input_usd_per_million_tokens")
+_PRICES = {"input": "input_rate", "output": "output_rate", "cached_input": "cached_rate"}
+
+
 def _per_key(prices: DataFrame, column: str, key: str) -> DataFrame:
     return prices.select("effective_date", F.explode(column).alias("service", "__by_key")).select(
         "effective_date", "service", F.explode("__by_key").alias(key, "rate")
     )
 
 
-def _money(name: str) -> Column:
-    return F.col(f"r.{name}").cast(MONEY)
+def _money(text: Column) -> Column:
+    """An exact price, or null: no number, too large, or with more decimals than a price keeps."""
+    wide = text.try_cast("decimal(38,18)")
+    return F.when(wide == wide.try_cast(MONEY), wide.try_cast(MONEY))
+
+
+def _bad(*texts: Column) -> Column:
+    """Whether a price is given but is no exact price."""
+    out = F.lit(False)
+    for t in texts:
+        decimals = F.length(F.regexp_extract(t, r"\.(\d*[1-9])0*$", 1))
+        out = out | (t.isNotNull() & (_money(t).isNull() | (decimals > 12)))
+    return out
 
 
 def model_rates(prices: DataFrame) -> DataFrame:
@@ -70,24 +86,35 @@ def model_rates(prices: DataFrame) -> DataFrame:
         "tier",
         F.lag("r.max_input_tokens").over(below).alias("min_exclusive"),
         F.col("r.max_input_tokens").alias("max_input_tokens"),
-        _money("input_usd_per_million_tokens").alias("input_rate"),
-        _money("output_usd_per_million_tokens").alias("output_rate"),
-        _money("cached_input_usd_per_million_tokens").alias("cached_rate"),
+        *[_money(F.col(f"r.{p}_usd_per_million_tokens")).alias(n) for p, n in _PRICES.items()],
+        _bad(*[F.col(f"r.{p}_usd_per_million_tokens") for p in _PRICES]).alias("invalid"),
     )
 
 
 def unit_rates(prices: DataFrame) -> DataFrame:
+    text = F.col("rate.usd_per_thousand_units")
     return _per_key(prices, "ocr_rates", "feature").select(
-        "service", "feature", F.col("rate.usd_per_thousand_units").cast(MONEY).alias("rate_per_thousand")
+        "service", "feature", _money(text).alias("rate_per_thousand"), _bad(text).alias("invalid")
     )
 
 
+def unit_violations(rates: DataFrame) -> DataFrame:
+    """Unit prices that make a price list invalid (JN5)."""
+    problem = F.coalesce(
+        F.when(F.col("invalid"), F.lit("rate_invalid")),
+        F.when(F.col("rate_per_thousand").isNull(), F.lit("rate_missing")),
+        F.when(F.col("rate_per_thousand") < 0, F.lit("rate_negative")),
+    )
+    return rates.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
 def rate_violations(rates: DataFrame) -> DataFrame:
     """Rows that make a price list invalid: tier limits not rising or not positive, bad rates (JN5)."""
     limit, low = F.col("max_input_tokens"), F.col("min_exclusive")
     problem = F.coalesce(
         F.when(limit <= 0, F.lit("limit_not_positive")),
         F.when(low.isNotNull() & ~F.coalesce(limit > low, F.lit(False)), F.lit("limits_not_increasing")),
+        F.when(F.col("invalid"), F.lit("rate_invalid")),
         F.when(F.col("input_rate").isNull() | F.col("output_rate").isNull(), F.lit("rate_missing")),
         F.when(
             F.least("input_rate", "output_rate", F.coalesce("cached_rate", F.lit(0).cast(MONEY))) < 0,

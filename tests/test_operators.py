@@ -211,15 +211,22 @@ def test_gates(spark):
     assert got == {1: None, 2: 404, 3: 413, 4: 422}
     assert {r.status_code for r in G.gate_files(m, types, valid_pricing=False).filter("doc_id = 1").collect()} == {500}
     assert [r.batch_id for r in G.oversized_batches(m, 2).collect()] == ["b"]
-    assert G.within_limit(m, 2).count() == 1
+    gated = {r.doc_id: r.status_code for r in G.gate_batches(G.gate_files(m, types), 2).collect()}
+    assert gated == {1: 413, 2: 413, 3: 413, 4: 422}
 
 
 def test_files_join_manifest(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"hello")
     files = S.read_files(spark, str(tmp_path))
-    manifest = spark.createDataFrame([("a.txt", "bank_account"), ("b.txt", "bank_account")], "filename string, document_type string")
-    got = {r.filename: (r.size_bytes, r.content) for r in S.join_manifest(files, manifest).collect()}
-    assert got == {"a.txt": (5, b"hello"), "b.txt": (None, None)}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_bytes(b"other")
+    files = files.union(S.read_files(spark, str(tmp_path / "sub")))
+    paths = [f"file:{tmp_path}/{n}" for n in ("a.txt", "sub/a.txt", "b.txt")]
+    manifest = spark.createDataFrame([(p, "bank_account") for p in paths], "path string, document_type string")
+    got = {r.path: (r.size_bytes, r.content and bytes(r.content)) for r in S.join_manifest(files, manifest).collect()}
+    assert got == {paths[0]: (5, b"hello"), paths[1]: (5, b"other"), paths[2]: (None, None)}
+    with pytest.raises(ValueError):
+        S.join_manifest(files.drop("path"), manifest)
 
 
 def test_registry_extension(spark):
