@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    kept = exact.exact_groups(docs).where("kept").select("doc_id", "text_sha256")
-    same = (docs["doc_id"] == kept["doc_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == kept["text_sha256"])
+    kept = exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    same = (F.col("doc_id") == F.col("_kept_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_kept_sha"))
     return docs.join(kept, same, "left_semi")
 
 

@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
     """The rows, with all their columns, whose text is in one of the languages."""
-    flag = "_has_letter"
+    flag = "_has_letter" + "_" * len(docs.columns)
     marked = docs.withColumn(flag, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
