@@ -196,7 +196,7 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
             starts, ends, _ = A.words(data, offsets)
             h, n = np.unique(A.word_hashes(data, starts, ends, lower=True), return_counts=True)
             yield _rows(np.zeros(len(h), np.int32), h.astype(np.int64), n)
-            for part, texts in token_ids([rows], VOCABULARY, lower=True):
+            for part, texts in token_ids([rows], VOCABULARY):
                 ids, at = _ids(texts)
                 counts += np.bincount(ids, minlength=IDS)
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
@@ -258,9 +258,9 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
             known, n = looked_up(h)
             size = rows.num_rows
             n_words = np.bincount(doc, minlength=size)
-            part = np.bincount(doc[known], weights=np.log10((n[known] + 0.5) / base), minlength=size)
+            part = np.bincount(doc[known], weights=np.log10((n[known] + 0.5) / base), minlength=size).astype(np.float64)
             n_known = np.bincount(doc[known], minlength=size)
-            scores = [judge.scores(*_ids(texts)) for _, texts in token_ids([rows], VOCABULARY, lower=True)]
+            scores = [judge.scores(*_ids(texts)) for _, texts in token_ids([rows], VOCABULARY)]
             yield pa.record_batch(
                 [rows.column("doc_id"), rows.column("key"), pa.array(n_words + 1), pa.array(n_known), pa.array(part), pa.array(np.concatenate(scores))],
                 names=["doc_id", "key", "n_tokens", "n_known", "part", "score"],

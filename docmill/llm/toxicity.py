@@ -10,8 +10,8 @@ Scale: labels and texts meet once in a shuffle join; counts are added up in task
 size (2**BITS n-grams), and only n-grams with a ratio of ``least`` or more reach the driver.
 
 Defined cases: null and empty texts have no features and score what the intercept says; an id with several labels is
-toxic if one of them says so; null labels and labels without a text are not used; without labels of both classes all
-texts score the share of toxic labels (0 without any); rows with null id are scored, never trained on.
+toxic if one of them says so; null labels and labels without a text are not used; where one class has no text, all
+texts score the share of toxic ones (about 0 without any); rows with null id are scored, never trained on.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from docmill.llm import arrays as A
 
 BITS = 20
 BLOCK = 1 << 10
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +67,12 @@ def regression(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nda
     return w, float(b)
 
 
+def _constant(toxic: float, plain: float) -> Linear:
+    """Where one class has no text: every text scores the share of toxic ones."""
+    share = min(max(toxic / max(1.0, toxic + plain), 1e-9), 1 - 1e-9)
+    return Linear(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, least: float = 1.0, smooth: float = 3.0) -> Linear:
     """Learn from the given texts (``doc_id, text``) and labels (``doc_id, toxic``)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -75,8 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, least: float = 1
     size = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     size = {1: sum(n for t, n in size.items() if t), 0: size.get(0, 0)}
     if not size[0] or not size[1]:
-        share = min(max(size[1] / max(1, size[0] + size[1]), 1e-9), 1 - 1e-9)
-        return Linear(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+        return _constant(size[1], size[0])
     share = F.when(F.col("toxic") > 0, sample / size[1]).otherwise(sample / size[0])
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
 
@@ -106,7 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, least: float = 1
         return pa.table({"gram": pa.array(key[0].as_py() * BLOCK + at), "plain": pa.array(total[0][at]), "toxic": pa.array(total[1][at])})
 
     counted = A.checkpointed(found.where("kind = 0").groupBy("block").applyInArrow(add, "gram long, plain long, toxic long"))
-    plain, toxic = (float(x) for x in counted.where("gram < 0").agg(F.max("plain"), F.max("toxic")).first() or (0, 0))
+    plain, toxic = (float(x or 0) for x in counted.where("gram < 0").agg(F.max("plain"), F.max("toxic")).first())
+    if not plain or not toxic:
+        return _constant(toxic, plain)
     least_share = smooth / max(1.0, min(plain, toxic))
     ratio = F.log((F.col("toxic") / max(1.0, toxic) + least_share) / (F.col("plain") / max(1.0, plain) + least_share))
     ratios = np.zeros(1 << BITS, np.float32)
@@ -124,9 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, least: float = 1
     y = np.array([r.toxic for r in rows], float)
     row = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
     cols = np.searchsorted(used, np.concatenate(grams)) if grams else np.zeros(0, int)
+    if not len(rows):
+        return _constant(toxic, plain)
     w, b = regression(row, cols, ratios[used][cols].astype(float), y, len(used))
     # the sample's share of toxic texts is not the corpus's
-    if 0 < y.sum() < len(y) and plain and toxic:
+    if 0 < y.sum() < len(y):
         b += np.log(toxic / plain) - np.log(y.sum() / (len(y) - y.sum()))
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratios[used]
