@@ -57,6 +57,15 @@ def access_tier(logs: DataFrame) -> DataFrame:
 TIERS = {"app": app_tier, "error": error_tier, "access": access_tier}
 
 
+def with_tier(logs: DataFrame) -> DataFrame:
+    """Each row once per tier it belongs to, with the tier's name: one pass over the logs for all tiers (SNK4)."""
+    access = F.coalesce(F.col("logger") == ACCESS_LOGGER, F.lit(False))
+    tiers = F.when(access, F.array(F.lit("access"))).when(
+        F.col("level").isin(*WARNING_LEVELS), F.array(F.lit("app"), F.lit("error"))
+    ).otherwise(F.array(F.lit("app")))
+    return logs.withColumn("tier", F.explode(tiers))
+
+
 def retained(logs: DataFrame, as_of: Column | None = None, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows within the retention time; a partition filter when written by ``log_date`` (SNK5)."""
     today = as_of if as_of is not None else F.current_date()

@@ -48,9 +48,8 @@ def system_prompt(spec: DocSpec) -> str:
     )
 
 
-# Wording and layout of the user, image and retry prompts.
 def user_opening(spec: DocSpec) -> str:
-    return f"Extract {spec.prompt_subject} from this OCR text into the requested JSON schema:\n\n```text\n"
+    return f"Below is text read from {spec.prompt_subject}. Fill in the JSON schema from it.\n\n```text\n"
 
 
 def prompt_templates(spark: SparkSession) -> DataFrame:
@@ -88,7 +87,7 @@ def render_prompts(df: DataFrame, text_col: str = "text") -> DataFrame:
 def visual_prompt(name: Column) -> Column:
     """Prompt for page images (LLM3)."""
     return F.format_string(
-        "Extract all information for %s from the document image(s) into the exact JSON schema.", name
+        "The attached pages show: %s. Read them and fill in the JSON schema.", name
     )
 
 
@@ -122,6 +121,6 @@ def request_rows(df: DataFrame, images: str | None = None) -> DataFrame:
 def retry_prompts(df: DataFrame, parsed_col: str) -> DataFrame:
     """Second-try prompts with the schema written out, for responses that did not parse (LLM6)."""
     hint = F.concat(
-        F.lit("\n\nRespond ONLY with a JSON object strictly matching this JSON Schema:\n"), F.col("response_schema")
+        F.lit("\n\nThe last reply could not be parsed. Send a single JSON object that is valid under this JSON Schema:\n"), F.col("response_schema")
     )
     return df.filter(F.col(parsed_col).isNull()).withColumn("user_prompt", F.concat("user_prompt", hint))

@@ -97,7 +97,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="bank account information",
+    prompt_subject="the first page of a savings book",
     field_rules={
         "bank_name": "bank that holds the account",
         "bank_branch": "branch, with KCP when printed",

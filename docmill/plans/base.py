@@ -14,6 +14,12 @@ from docmill.functions.text import body, head, strip, tail
 
 Fields = dict[str, Column]
 
+# Place and date line above a signature.
+SIGNATURE = (
+    r"^([A-Za-z][A-Za-z .'-]{2,30}),\s*(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}"
+    r"|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})\b"
+)
+
 # Working columns of an extraction; they are dropped before the record is returned.
 _TEXT = "__text"
 _BODY = "__body"

@@ -86,7 +86,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="Indonesian business deed and SK Kemenkumham data",
+    prompt_subject="a company deed or the approval of one",
     field_rules={
         "deed_type": "Pendirian or Perubahan, from the title of the deed",
         "deed_number": "number of the deed",

@@ -114,7 +114,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="Indonesian NIB (Nomor Induk Berusaha) data",
+    prompt_subject="a business registration (NIB)",
     unchecked=("signing_official_title",),
     field_rules={
         "business_number": "13-digit NIB",

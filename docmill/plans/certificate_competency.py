@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from docmill.functions.cleaning import clean, swapped_date
 from docmill.functions.labels import after_marker, find_wide_colon
 from docmill.functions.text import after_first, has, line_last, line_rx, rx, strip
-from docmill.plans.base import DocSpec, Fields, TextView, strings
+from docmill.plans.base import SIGNATURE, DocSpec, Fields, strings, TextView
 
 # Field names, in record order.
 UNIT = T.StructType(strings("unit_code", "unit_name"))
@@ -50,10 +50,6 @@ UNIT_BLOCK = after_first(
     r"Telah\s+memenuhi\s+persyaratan\s+dan\s+kompeten\s+pada\s+kualifikasi\s*:", r"(.*?)Pada\s+bidang\s+pekerjaan"
 )
 UNIT_LINE = r"^[^\S\n]*\d+\.\s*([A-Z][A-Z0-9]*(?:[./-][A-Z0-9]+){2,}+)\s*$"
-SIGNATURE = (
-    r"^([A-Za-z][A-Za-z .'-]{2,30}),\s*(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}"
-    r"|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})\b"
-)
 TAIL_LINES = 16
 
 _DATES = ("training_start_date", "training_end_date", "certificate_issued_date", "certificate_expiry_date")
@@ -105,7 +101,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="informal education certificate details",
+    prompt_subject="a training or competency certificate",
     field_rules={
         "certificate_number": "number of the certificate",
         "certificate_holder": "name of the recipient",

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from docmill.functions.cleaning import number, small_number_text, wide, wide_date
 from docmill.functions.labels import find_or_next
 from docmill.functions.text import first_hit, line_last, line_rx, rx, strip
-from docmill.plans.base import DocSpec, Fields, TextView, strings
+from docmill.plans.base import SIGNATURE, DocSpec, Fields, strings, TextView
 
 # Field names, in record order.
 COURSE = T.StructType(
@@ -58,10 +58,6 @@ LEVELS = [
     (r"\b(?:DOKTOR|DOCTORAL|S\s*3)\b", "S3"),
     (r"\b(?:SARJANA|BACHELOR|S\s*1)\b", "S1"),
 ]
-SIGNATURE = (
-    r"^([A-Za-z][A-Za-z .'-]{2,30}),\s*(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}"
-    r"|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})\b"
-)
 HEAD_LINES, LEVEL_LINES, TAIL_LINES = 16, 20, 18
 
 
@@ -135,7 +131,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="education details",
+    prompt_subject="a diploma or a transcript",
     field_rules={
         "transcript_number": "number of the transcript",
         "student_name": "name of the graduate",

@@ -95,7 +95,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="Indonesian TKDN certificate data",
+    prompt_subject="a certificate of local content (TKDN)",
     field_rules={
         "product_name": "Jenis Produk",
         "product_type": "Tipe",

@@ -163,7 +163,7 @@ SPEC = DocSpec(
     parse=parse,
     normalize=normalize,
     defaults={"holder_nationality": "WNI", "document_expiry_date": LIFELONG},
-    prompt_subject="Indonesian KTP data",
+    prompt_subject="a resident identity card (KTP)",
     unchecked=(
         "document_city", "holder_name", "holder_address", "holder_village", "holder_district",
         "holder_religion", "holder_marital_status", "holder_occupation", "holder_nationality",

@@ -93,7 +93,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="passport bio-data page fields, including the two verbatim MRZ lines,",
+    prompt_subject="the data page of a passport with its machine-readable zone",
     field_rules={
         "document_type": "document code, usually P",
         "document_issuing_country": "three-letter code of the issuer",

@@ -98,7 +98,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="Indonesian KITAS data",
+    prompt_subject="a limited stay permit (KITAS)",
     field_rules={
         "permit_issuing_office": "immigration office in the heading",
         "permit_issuing_office_address": "address below the office",

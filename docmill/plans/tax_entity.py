@@ -147,7 +147,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="Indonesian SPPKP (Surat Pengukuhan Pengusaha Kena Pajak) data",
+    prompt_subject="a letter that confirms a taxable business (SPPKP)",
     unchecked=("tax_obligation", "signing_official_title", "signing_official_name"),
     field_rules={
         "letter_number": "reference number of the letter",

@@ -84,7 +84,7 @@ SPEC = DocSpec(
     schema=SCHEMA,
     parse=parse,
     normalize=normalize,
-    prompt_subject="Indonesian NPWP data",
+    prompt_subject="a taxpayer card (NPWP)",
     field_rules={
         "tax_number": "NPWP with 15 or 16 digits, punctuation as printed",
         "business_name": "name of the taxpayer",

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators.dispatch import extract_mixed, fill_rate
+from docmill.operators.dispatch import extract_mixed, extract_routed, fill_rate
 from docmill.plans import registry
 from docmill.plans.base import extract
 from docmill.queries.common import code, day, dmy, iso, lines, padded, query, spread_table, with_line_ends, worded
@@ -628,9 +628,7 @@ def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "extract_mixed",
-    f"""
+_MIXED_SQL = f"""
 select {_K} as doc_id,
   case when {_K} % 31 = 0 then 'Unknown document type' when {_K} % 29 = 0 then 'Empty text provided for analysis' end as error,
   case when {_K} % 31 <> 0 and {_K} % 29 <> 0 then
@@ -640,9 +638,20 @@ select {_K} as doc_id,
       when 2 then case when {_K} % 5 = 0 then 'PT ' || {code(_K)} else {code(_K)} end
       else {code(_K)} end end as party
 from customer
-""",
-)
+"""
+
+
+@query("extract_mixed", _MIXED_SQL)
 def extract_mixed_query(spark, sf_dir):
+    found = extract_routed(mixed_texts(spark, sf_dir), as_of=F.lit(AS_OF))
+    names = ["holder_name", "business_name", "account_holder", "holder_full_name"]
+    party = F.coalesce(*[F.get_json_object("data", f"$.{n}") for n in names])
+    return found.select("doc_id", "error", party.alias("party"))
+
+
+@query("extract_one_pass", _MIXED_SQL)
+def extract_one_pass(spark, sf_dir):
+    """The same rows by the plan for streams: all types in one pass."""
     found = extract_mixed(mixed_texts(spark, sf_dir), as_of=F.lit(AS_OF))
     names = ["holder_name", "business_name", "account_holder", "holder_full_name"]
     party = F.coalesce(*[F.get_json_object("data", f"$.{n}") for n in names])

@@ -156,17 +156,31 @@ def file_kind(spark, sf_dir):
 
 # --- prompts and payloads ------------------------------------------------------------------------
 
-_DOC_SLUG = "case doc_id % 3 when 0 then 'identity_card' when 1 then 'bank_account' else 'recipe' end"
+_SUBJECTS = {
+    "identity_card": "a resident identity card (KTP)",
+    "tax_number": "a taxpayer card (NPWP)",
+    "business_identification_number": "a business registration (NIB)",
+    "tax_entity": "a letter that confirms a taxable business (SPPKP)",
+    "identity_passport": "the data page of a passport with its machine-readable zone",
+    "business_deed": "a company deed or the approval of one",
+    "identity_stay": "a limited stay permit (KITAS)",
+    "certificate_local_value": "a certificate of local content (TKDN)",
+    "bank_account": "the first page of a savings book",
+    "certificate_education": "a diploma or a transcript",
+    "certificate_competency": "a training or competency certificate",
+}
+_DOC_SLUG = "case doc_id % 12 " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(_SUBJECTS)) + " else 'recipe' end"
+_DOC_SUBJECT = "case doc_id % 12 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(_SUBJECTS.values())) + " end"
 
 
 @query(
     "prompt_render",
     f"""
 select doc_id, {_DOC_SLUG} as document_type,
-  case when doc_id % 3 = 2 then null else 'Extract ' || case doc_id % 3 when 0 then 'Indonesian KTP data' else 'bank account information' end
-    || ' from this OCR text into the requested JSON schema:' || chr(10) || chr(10) || '```text' || chr(10) || {strip_sql('text')} || chr(10) || '```' end as user_prompt,
-  case when doc_id % 3 = 2 then 'Unknown document type' end as error,
-  'Extract all information for ' || source || ' from the document image(s) into the exact JSON schema.' as visual
+  case when doc_id % 12 = 11 then null else 'Below is text read from ' || {_DOC_SUBJECT} || '. Fill in the JSON schema from it.'
+    || chr(10) || chr(10) || '```text' || chr(10) || {strip_sql('text')} || chr(10) || '```' end as user_prompt,
+  case when doc_id % 12 = 11 then 'Unknown document type' end as error,
+  'The attached pages show: ' || source || '. Read them and fill in the JSON schema.' as visual
 from documents
 """,
 )
@@ -483,10 +497,8 @@ union all select 'access', log_date, level, count(*) from l where access group b
 """,
 )
 def log_tiers(spark, sf_dir):
-    dated = L.with_log_date(log_lines(spark, sf_dir))
-    parts = [tier(dated).select(F.lit(name).alias("tier"), "log_date", "level") for name, tier in L.TIERS.items()]
-    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    counted = everything.groupBy("tier", "log_date", "level").agg(F.count("*").alias("n"))
+    dated = L.with_tier(L.with_log_date(log_lines(spark, sf_dir)))
+    counted = dated.groupBy("tier", "log_date", "level").agg(F.count("*").alias("n"))
     return counted.withColumn("log_date", F.col("log_date").cast("string"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.operators.logs import TIERS, with_log_date
+from docmill.operators.logs import with_log_date, with_tier
 from docmill.operators.results import envelope
 from docmill.operators.trace import kept_traces
 
@@ -24,7 +24,5 @@ def write_traces(results: DataFrame, path: str, keep_trace: bool = False, mode:
 
 
 def write_log_tiers(logs: DataFrame, base: str, mode: str = "append") -> None:
-    """Three tiers under ``base``, each by date (SNK4)."""
-    dated = with_log_date(logs)
-    for name, tier in TIERS.items():
-        tier(dated).write.mode(mode).partitionBy("log_date").json(f"{base}/{name}")
+    """Three tiers under ``base``, by tier and date, in one pass over the logs (SNK4)."""
+    with_tier(with_log_date(logs)).write.mode(mode).partitionBy("tier", "log_date").json(base)

@@ -65,7 +65,7 @@ def test_log_tiers(spark, tmp_path):
     (src / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
     logs = read_logs(spark, str(src))
     write_log_tiers(logs, str(tmp_path / "tiers"))
-    counts = {n: spark.read.json(str(tmp_path / "tiers" / n)).count() for n in ("app", "error", "access")}
+    counts = {n: spark.read.json(str(tmp_path / "tiers" / f"tier={n}")).count() for n in ("app", "error", "access")}
     assert counts == {"app": 2, "error": 1, "access": 2}
     masked = ST.mask_log_stream(logs).select("message").distinct().collect()
     assert [r.message for r in masked] == ["id 317101******0001"]
@@ -75,7 +75,7 @@ def test_results_and_traces(spark, tmp_path):
     df = spark.createDataFrame(
         [("2026-01-01", True, "a", "t", "f", '{"x":1}', None, "tr"), ("2026-01-01", False, "b", "t", "f", None, "bad", "tr"), ("2026-01-02", False, "c", "t", "f", None, "bad", None)],
         "request_date string, success boolean, request_id string, document_type string, filename string, data string, error string, trace string",
-    ).selectExpr("*", "'USD' as currency", "null as price_date", "'0' as estimate_cost", "'0' as known_cost", "true as complete")
+    ).selectExpr("*", "case when success then 200 else 422 end as status_code", "cast(null as string) as detail", "'USD' as currency", "null as price_date", "'0' as estimate_cost", "'0' as known_cost", "true as complete")
     write_results(df, str(tmp_path / "res"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "res")).collect()]
     assert {d["request_id"]: d.get("detail") for d in lines} == {"a": None, "b": "Extraction failed: bad", "c": "Extraction failed: bad"}
