@@ -38,6 +38,11 @@ HEADLINE = [
     "extract_mixed",
     "prompt_render",
     "payload_repair",
+    "corpus_results",
+    "batch_results",
+    "batch_cost",
+    "log_tiers",
+    "trace_hybrid",
 ]
 RUNS = 3
 

@@ -26,7 +26,7 @@ select {_K} as doc_id, cast(code as int) as status_code, code = 200 as success,
   case when code = 404 then 'Unknown document_type: ''recipe''' when code = 413 then 'File exceeds maximum allowed size of 15MB'
     when code = 422 then case when {_K} % 17 = 0 then 'Empty file provided for extraction'
       else 'No readable text could be extracted by any extractor in the pipeline' end end as error,
-  case when code = 200 then case when {_K} % 5 = 0 then 'visual_llm' else 'ocr' end end as stage,
+  case when code = 200 then case when {_K} % 6 = 0 then 'digital_pdf' when {_K} % 5 = 0 then 'visual_llm' else 'ocr' end end as stage,
   case when code = 200 then
     case {_K} % 4
       when 0 then case when {_K} % 10 not in (2, 7) then {code(_K)} end
@@ -42,13 +42,15 @@ def corpus_results(spark, sf_dir):
     manifest = texts.selectExpr(
         "doc_id", "doc_id as request_id", "document_type", "doc_id % 17 * 1000000 as size_bytes"
     )
-    found = F.explode(F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("ocr"), F.lit("visual_llm"))).otherwise(F.array(F.lit("ocr"))))
+    # digital text of every third file, a PDF, is good enough if the key is even; that of other files is no attempt
+    stages = [F.lit(x) for x in ("digital_pdf", "ocr", "visual_llm")]
+    found = F.explode(F.when(F.col("doc_id") % 5 == 0, F.array(*stages)).otherwise(F.array(*stages[:2])))
     attempts = texts.select("doc_id", "text", found.alias("stage")).selectExpr(
         "doc_id",
-        "false as is_pdf",
+        "doc_id % 3 = 0 as is_pdf",
         "stage",
         "text",
-        "case when stage = 'visual_llm' then 0.9D when doc_id % 5 = 0 then 0.4D else 0.8D end as confidence",
+        "case when stage = 'digital_pdf' then case when doc_id % 2 = 0 then 0.95D else 0.2D end when stage = 'visual_llm' then 0.9D when doc_id % 5 = 0 then 0.4D else 0.8D end as confidence",
         "cast(null as string) as error",
     )
     book = prices(spark)
