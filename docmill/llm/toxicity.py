@@ -98,15 +98,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, least: float = 1
             for i in np.flatnonzero(np.array(rows.column("chosen").to_pylist(), bool)):
                 out.append((1, int(toxic[i]), gram[at[i] : at[i + 1]].astype(np.int32).tobytes()))
             yield _rows(out)
-        blocks = seen.reshape(2, -1, BLOCK)
-        yield _rows([(0, b, blocks[:, b].tobytes()) for b in np.flatnonzero(blocks.any(axis=(0, 2)))] + [(0, -1, np.array([n], np.int32).repeat(BLOCK, 1).tobytes())])
+        at = np.flatnonzero(seen.any(axis=0))
+        out = [(0, b, A.pack(*x)) for b, x in A.by_bucket(at // BLOCK, (at % BLOCK).astype(np.uint16), seen[0][at], seen[1][at])]
+        yield _rows([*out, (0, -1, A.pack(np.zeros(1, np.uint16), *np.array(n, np.int32).reshape(2, 1)))])
 
-    found = A.stored(texts.join(labels, "doc_id").withColumn("chosen", chosen).select("text", "toxic", "chosen").mapInArrow(count, "kind int, block int, payload binary"))
+    # a merge join at every size: labels grow with the texts, so they are not broadcast where they happen to be few
+    found = A.stored(texts.join(labels.hint("merge"), "doc_id").withColumn("chosen", chosen).select("text", "toxic", "chosen").mapInArrow(count, "kind int, block int, payload binary"))
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros((2, BLOCK), np.int64)
         for x in table.column("payload").to_pylist():
-            total += np.frombuffer(x, np.int32).reshape(2, BLOCK)
+            at, *n = A.unpack(x)
+            total[:, at] += np.array(n)
         at = np.flatnonzero(total.any(axis=0))
         return pa.table({"gram": pa.array(key[0].as_py() * BLOCK + at), "plain": pa.array(total[0][at]), "toxic": pa.array(total[1][at])})
 
