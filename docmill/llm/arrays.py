@@ -6,6 +6,7 @@ one row per word, so the shuffle moves few, dense rows; a bucket is a range of h
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SPACE = np.zeros(256, bool)
@@ -22,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.array([0xD6E8FEB86659FD93], np.uint64)  # an array, since scalars warn when they wrap
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -55,13 +57,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, most_rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of whole rows with about ``limit`` bytes of text and at most ``most_rows`` rows each: rows, bytes, offsets."""
     for batch in batches:
-        data, offsets = text_buffers(batch.column(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-            end = min(end, at + most_rows)
-            yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-            at = end
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            rows = batch.slice(at, min(end, at + most_rows) - at)
+            yield rows, *text_buffers(rows.column(text))
+            at += rows.num_rows
+        release_memory()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,10 +191,24 @@ def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, li
         yield int(bucket[s]), [a[s:e] for a in arrays]
 
 
-def task_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, shared by the tasks it runs one after the other."""
-    home = sys.modules.setdefault("_corpus_task_cache", types.ModuleType("_corpus_task_cache"))
-    return home.__dict__.setdefault(name, {})
+def task_cache(owner: str, name: str) -> dict:
+    """A dict that lives as long as the Python worker, shared by the tasks it runs one after the other.
+
+    Workers serve one operator after another; what another owner left goes, so that caches don't add up.
+    """
+    home = sys.modules.setdefault("_corpus_task_cache", types.ModuleType("_corpus_task_cache")).__dict__
+    if home.get("owner") != owner:
+        home["owner"], home["caches"] = owner, {}
+    return home["caches"].setdefault(name, {})
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system; workers are kept between tasks and share the executor with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

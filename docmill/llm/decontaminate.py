@@ -34,6 +34,7 @@ from docmill.llm import arrays as A
 LEAST = 4
 SMALL_SIDE = 1 << 20
 LITERALS = 6
+CACHE = 200_000
 NUMBER = re.compile(r"[+\-−]?[\d][\d.,:/]*\Z")
 QUANTITY = re.compile(r"([\d][\d.,]*)([^\W\d_]{1,3}|%|°)\Z")
 UNITS = frozenset(
@@ -64,9 +65,9 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, doc = A.words(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), doc, np.zeros(0, np.int64), []
-    known, raw = A.task_cache("template words"), data.tobytes()
+    known, raw = A.task_cache("template", "words"), data.tobytes()
     h, first, of = np.unique(A.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    if len(known) > 1_000_000:
+    if len(known) > CACHE:
         known.clear()
     kinds, forms, stops = np.empty(len(h), np.int8), [], np.empty(len(h), bool)
     for i, (key, a, b) in enumerate(zip(h.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):

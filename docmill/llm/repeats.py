@@ -58,7 +58,7 @@ def find_repeats(docs: DataFrame, window: int = 50, block: int = 25) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in A.slices(batches, limit=2 * A.SLICE_BYTES):
+        for rows, data, offsets in A.slices(batches, limit=3 * A.SLICE_BYTES):
             starts, ends, doc = A.words(data, offsets)
             if len(starts) < block:
                 continue
@@ -120,7 +120,7 @@ def find_repeats(docs: DataFrame, window: int = 50, block: int = 25) -> DataFram
         return pa.table({"doc_id": doc, "sign": sign})
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in A.slices(batches, limit=2 * A.SLICE_BYTES):
+        for rows, data, offsets in A.slices(batches, limit=3 * A.SLICE_BYTES):
             starts, ends, doc = A.words(data, offsets)
             if len(starts) < window:
                 continue

@@ -187,7 +187,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULAR
     """Bytes and tokens of every text, and whether it has more than ``limit`` tokens."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = A.task_cache("prefix counters")
+        keep = A.task_cache("prefix", "counters")
         counter = keep.setdefault(vocabulary, None) or PrefixCounter(vocabulary)
         keep[vocabulary] = counter
         for batch in batches:
