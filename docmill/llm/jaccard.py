@@ -3,28 +3,30 @@
 Two sets of sizes a <= b that reach the threshold have b <= 4a/3 and differ in at most D = (a + b) / 7 members.
 
 Universe partition.  Sizes fall into bands that double.  Each band cuts the universe of shingles into segments by
-hash; shingles that many documents share have segments of their own, which come last.  A set's part in a segment
-is one signature.  A set of size n takes segments in that fixed order until it holds one more that is not empty than
+hash.  A rare shingle has a segment to itself; shingles that many documents share fall into larger segments, which
+come last.  A set's part in a segment is one signature.  A set of size n takes segments in that fixed order until it holds one more that is not empty than
 D can be for any partner in the band.  Of two partners, the one that stops first holds more such segments than the
-two can differ in, so they agree in one, and the other holds it too.  A set whose parts run out before that takes
-all segments, the empty ones too.  A set also enters the next band if a partner can lie there.
+two can differ in, so they agree in one, and the other holds it too.  A set whose parts run out before that takes the
+empty segments of frequent shingles too, of which there are more than the two can differ in.  A set also enters the next band if a partner can lie there.
 
 One-deletion neighbourhoods.  Sets of up to ``SMALL`` members take the whole set and each set without one member as
 signatures; two of them that reach the threshold differ in one member at most.
 
-Cost-based allocation.  The number of segments of a band is the one with the least expected cost: signatures sent,
-plus those of sets that run out, plus chance agreements of short parts.  Frequent shingles, which would make most
-candidates, are counted in all documents and take part only where rarer ones don't suffice.
+Cost-based allocation.  Frequent shingles, which would make most candidates, are counted in all documents and take part
+only where rarer ones don't suffice.  A band has the number of segments with the least expected cost: of empty parts
+sent for want of others, and of chance agreements of short parts.
 
-Candidates.  Equal sets are one class.  In a group of classes with a common signature the least is a pivot, and all
-others are verified with it, on the full sets.  Where that leaves a group in several components, all pairs across
-components are verified as well.  So no link is lost, and a group of copies costs as many pairs as it has members.
+Candidates.  Equal sets are one class.  In a group of classes with a common signature the pivot is the one with the fewest
+members of its own, that is, the least edited of a group of copies.  Each class
+is first verified, on the full sets, with the pivot it shares most signatures with, then with its other pivots if it is
+not in their component yet.  Pairs of a group are verified where that leaves the group in several components.  So no link is lost, and a group of copies
+costs about as many pairs as it has members.
 
 Skew: equal sets and equal signatures of a slice of text are joined there, and one entry stands for them.
 
 Defined cases: null or blank text has no shingles and no links; fewer words than the shingle size make one shingle
 of all words; rows with null id are left out; rows that repeat an id count as one document.  Words, sets and classes
-are compared by 64-bit hashes (classes by three of them).
+are compared by 64-bit hashes, of which verification uses 48 bits within a pair.
 """
 
 from __future__ import annotations
@@ -43,22 +45,28 @@ from docmill.llm.graph import components
 SMALL = 6
 #: A shingle in so many documents of one slice is counted as frequent; so many of them are kept, the most frequent.
 FREQUENT, MOST_FREQUENT = 3, 1 << 18
+#: Rare shingles have segments under this number, one each; it is also the number of a band's first frequent segment.
+RARE = 1 << 31
 ENTRY = "bucket int, kind int, payload binary"
 U = np.uint64
 STEP = U(0x2545F4914F6CDD1D)
 
 
 def segment_count(high: int) -> int:
-    """Segments for sets of up to ``high`` members, the cheapest number of those that leave few sets short."""
+    """Segments for the frequent members of sets of up to ``high``: the number with the least expected cost.
+
+    More segments leave fewer sets short of parts, which then send the empty ones too; fewer have longer parts, which
+    agree by chance less often.
+    """
     need = 2 * high // 7 + 1
 
     def cost(m: int) -> float:
         full = m * (1 - (1 - 1 / m) ** high)
         spread = math.sqrt(max(full * (1 - full / m), 1e-9)) + 0.3
         short = 0.5 * math.erfc((full - need - 0.5) / spread / math.sqrt(2))
-        return need + short * 4 * m + need * math.exp(-high / m)
+        return short * 2 * m + need * math.exp(-high / m)
 
-    return min(range(need, high + 2, max(1, high // 200)), key=cost)
+    return min(range(need, 2 * high + 2, max(1, high // 100)), key=cost)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +104,11 @@ def set_keys(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of[at], size, A.mix(total + A.mix(other + A.mix(size.astype(U))))
 
 
+def _flag(sig: np.ndarray, frequent) -> np.ndarray:
+    """Signatures with their kind in the last bit: whether they stand for frequent members (or none)."""
+    return (sig & ~U(1)) | np.asarray(frequent).astype(U)
+
+
 def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets (see above) and the number of the text of each."""
     doc, size, _ = set_keys(tokens, of)
@@ -107,7 +120,7 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
     for s, d, n in zip(begin[size <= SMALL].tolist(), doc[size <= SMALL].tolist(), size[size <= SMALL].tolist(), strict=True):
         if n > 2:  # smaller sets have no partners but their equals
             whole = part[s : s + n].sum(dtype=U)
-            sigs.append(A.mix(np.append(part[s : s + n] * U(0) + whole - part[s : s + n], whole)))
+            sigs.append(_flag(A.mix(np.append(whole - part[s : s + n], whole)), False))
             owner.append(np.full(n + 1, d))
     is_frequent = np.isin(tokens, frequent, kind="sort") if len(frequent) else np.zeros(len(tokens), bool)
     band = np.floor(np.log2(np.maximum(size, SMALL) / SMALL + 1e-12)).astype(int)
@@ -123,7 +136,8 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
         need = (size[take] + partner[take]) // 7 + 1
         which = np.repeat(take, size)
         set_no = np.repeat(np.arange(len(m)), size[take])
-        segment = (tokens[which] % m.astype(U)[set_no]).astype(np.int64) + is_frequent[which] * m[set_no]
+        t = tokens[which]
+        segment = np.where(is_frequent[which], RARE + (t % m.astype(U)[set_no]).astype(np.int64), (t >> U(33)).astype(np.int64))
         key = (set_no << 32) | segment
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -134,23 +148,35 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
         filled = np.diff(np.append(first, len(set_no)))
         keep = np.arange(len(set_no)) - first[set_no] < need[set_no]
         label = (low[take][set_no].astype(U) << U(32)) + segment.astype(U)
-        sigs.append(A.mix(value + A.mix(label))[keep])
+        sigs.append(_flag(A.mix(value + A.mix(label)), segment >= RARE)[keep])
         owner.append(doc[take][set_no[keep]])
         for i in np.flatnonzero(filled < need):
-            empty = np.setdiff1d(np.arange(2 * m[i]), segment[first[i] : first[i] + filled[i]])
-            sigs.append(A.mix(A.mix((U(low[take][i]) << U(32)) + empty.astype(U))))
+            empty = np.setdiff1d(RARE + np.arange(m[i]), segment[first[i] : first[i] + filled[i]])
+            sigs.append(_flag(A.mix(A.mix((U(low[take][i]) << U(32)) + empty.astype(U))), True))
             owner.append(np.full(len(empty), doc[take][i]))
     return np.concatenate(sigs) if sigs else np.zeros(0, U), np.concatenate(owner) if owner else doc[:0]
 
 
-def _runs(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (signature, key) pairs in order, with the start and length of each signature's run."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
+def _runs(sig: np.ndarray, own: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (signature, key) pairs with their own members, in order, and the start and length of each signature's run."""
+    order = np.lexsort((key, own, sig))
+    sig, own, key = sig[order], own[order], key[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))[: len(sig)]
-    sig, key = sig[new], key[new]
+    sig, own, key = sig[new], own[new], key[new]
     at = A.heads(sig)
-    return sig, key, at, np.diff(np.append(at, len(sig)))
+    return sig, own, key, at, np.diff(np.append(at, len(sig)))
+
+
+def packed_set(tokens: np.ndarray) -> bytes:
+    """A sorted set as byte planes of the upper 48 bits of its hashes."""
+    return (tokens >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpacked_set(value) -> np.ndarray:
+    planes = np.frombuffer(value, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view(U).ravel()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -178,7 +204,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
     sets = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key")
     frequent = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("seen")).orderBy(F.desc("seen"), "id").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r.id for r in frequent.select("id").collect()], np.int64).view(U))
-    classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in A.slices(batches):
@@ -189,9 +215,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
             mine[doc[one]] = True
             tokens, of = tokens[mine[of]], of[mine[of]]
             sig, owner = signatures(tokens, of, frequent)
-            keys = np.zeros(rows.num_rows, U)
+            keys, alone = np.zeros(rows.num_rows, U), np.zeros(rows.num_rows, np.int64)
             keys[doc] = key
-            sig, key, at, length = _runs(sig, keys[owner])
+            rare = ~np.isin(tokens, frequent, kind="sort") if len(frequent) else np.ones(len(tokens), bool)
+            alone[: int(of.max(initial=-1)) + 1] = np.bincount(of[rare], minlength=int(of.max(initial=-1)) + 1)
+            sig, own, key, at, length = _runs(sig, np.minimum(alone, 255).astype(np.uint8)[owner], keys[owner])
             if not len(sig):
                 continue
             many = np.repeat(length > 1, length)
@@ -202,14 +230,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
                 out.append((int(sig[0] % U(buckets)), 1, A.pack(pair[0], pair[1], sig[many], key[many])))
             bucket = ((sig[at] >> U(32)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            for b, (s, k) in A.by_bucket(bucket[order], (sig[at] & U(0xFFFFFFFF)).astype(np.uint32)[order], key[at][order]):
+            for b, (s, o, k) in A.by_bucket(bucket[order], (sig[at] & U(0xFFFFFFFF)).astype(np.uint32)[order], own[at][order], key[at][order]):
                 by = np.argsort(s, kind="stable")
-                out.append((b, 0, A.pack(s[by], k[by])))
+                out.append((b, 0, A.pack(s[by], o[by], k[by])))
             cols = list(zip(*out, strict=True))
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["bucket", "kind", "payload"])
 
     def match(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a, b, kind, sig, key = [], [], [], [], []
+        a, b, kind, sig, own, key = [], [], [], [], [], []
 
         def put(k: int, x: np.ndarray, y: np.ndarray) -> None:
             kind.append(np.full(len(x), k, np.int32))
@@ -223,9 +251,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
                 put(1, _group((values[2] >> U(32)) % U(buckets), values[2]), values[3])
             else:
                 sig.append(values[0].astype(U))
-                key.append(values[1])
+                own.append(values[1])
+                key.append(values[2])
         if sig:
-            s, k, at, length = _runs(np.concatenate(sig), np.concatenate(key))
+            s, _, k, at, length = _runs(np.concatenate(sig), np.concatenate(own), np.concatenate(key))
             pivot = np.repeat(k[at], length)
             pairs = np.unique(np.stack([pivot[pivot != k], k[pivot != k]]), axis=1)
             put(0, pairs[0], pairs[1])
@@ -235,10 +264,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
         return pa.table({"kind": np.concatenate([*kind, empty.astype(np.int32)]), "a": np.concatenate([*a, empty]), "b": np.concatenate([*b, empty])})
 
     found = A.stored(docs.mapInArrow(sign, ENTRY).groupBy("bucket").applyInArrow(match, "kind int, a long, b long"))
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    # pairs whose sizes allow a link, each with the number of signatures it shares
+    sized = classes.select("key", "n_shingles")
+    pairs = found.where("kind = 0").groupBy("a", "b").count()
+    pairs = pairs.join(sized.toDF("a", "size_a"), "a").join(sized.toDF("b", "size_b"), "b")
+    pairs = A.checkpointed(pairs.where(3 * F.greatest("size_a", "size_b") <= 4 * F.least("size_a", "size_b")).select("a", "b", "count"))
 
     # the full sets of all classes in a group, once
-    involved = found.select(F.col("b").alias("key")).union(found.where("kind = 0").select("a")).distinct()
+    involved = pairs.select("a").union(pairs.select("b")).union(found.where("kind = 1").select("b")).toDF("key").distinct()
     texts = docs.join(involved.join(classes, "key").select("key", F.col("rep").alias("doc_id")), "doc_id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,49 +280,65 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
             doc, _, key = set_keys(tokens, of)
             at = np.append(A.heads(of), len(of))
             right = rows.column("key").to_numpy().view(U)[doc] == key  # of rows that share an id
-            sets = [tokens[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(right)]
-            yield pa.record_batch([pa.array(key[right].astype(np.int64)), pa.array(sets, pa.binary())], names=["key", "set"])
+            sets = [packed_set(tokens[at[i] : at[i + 1]]) for i in np.flatnonzero(right)]
+            rare = ~np.isin(tokens, frequent, kind="sort") if len(frequent) else np.ones(len(tokens), bool)
+            rare = np.add.reduceat(rare.astype(np.int64), at[:-1])[right] if len(at) > 1 else at[:0]
+            yield pa.record_batch([pa.array(key[right].astype(np.int64)), pa.array(sets, pa.binary()), pa.array(rare)], names=["key", "set", "rare"])
 
-    members = A.stored(texts.mapInArrow(full, "key long, set binary").dropDuplicates(["key"]))
+    members = A.stored(texts.mapInArrow(full, "key long, set binary, rare long"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left, right = members.toDF("a", "set_a"), members.toDF("b", "set_b")
+        sets = members.select("key", "set")
+        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
 
         def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                    both = 0
-                    if 3 * max(len(x), len(y)) <= 4 * min(len(x), len(y)):
-                        joined = np.concatenate((x, y))
-                        joined.sort()
-                        both = int((joined[1:] == joined[:-1]).sum())
+                    x, y = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
+                    joined = np.concatenate((x, y))
+                    joined.sort()
+                    both = int((joined[1:] == joined[:-1]).sum())
                     keep.append(100 * both >= 75 * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlap, "a long, b long")
 
     def grouped(links: DataFrame) -> DataFrame:
-        node = classes.toDF("key", "rep")
+        node = classes.select("key", "rep")
         edges = links.join(node.toDF("a", "u"), "a").join(node.toDF("b", "v"), "b").select("u", "v")
         return components(edges)
 
-    links = A.checkpointed(linked(pairs))
-    groups = grouped(links)
-    # groups whose classes are not all in one component yet: every pair across components
-    label = involved.join(classes, "key").join(groups, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
-    label = A.checkpointed(label)
+    # first each class with the pivot it shares most signatures with, then other pivots where that left them apart
+    both = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    links = A.checkpointed(linked(first))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = involved.join(classes, "key").join(grouped(links), F.col("rep") == F.col("node"), "left")
+        return A.checkpointed(found.select("key", F.coalesce("component", "rep").alias("component"), "n_shingles"))
+
+    label = labelled(links)
+    ends = label.select("key", "component")
+    apart = pairs.select("a", "b").join(ends.toDF("a", "left"), "a").join(ends.toDF("b", "right"), "b").where("left <> right")
+    apart = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = A.checkpointed(links.union(linked(apart)))
+    label = labelled(links)
+    # then, in groups that are not one component yet, every pair across components; two sets that meet in frequent
+    # parts only have no rare member in common, so all of these count as differences
     member = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct().join(label, "key")
     open_groups = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    member = A.stored(member.join(open_groups, "sig").select("sig", "key", "component"))
-    left, right = member.toDF("sig", "a", "left"), member.toDF("sig", "b", "right")
-    more = left.join(right, "sig").where("left < right").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = A.checkpointed(linked(more.join(done, ["a", "b"], "left_anti")))
-    if not more.isEmpty():
-        groups = grouped(links.union(more))
-    out = sets.join(classes, "key", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    member = member.join(open_groups, "sig").join(members.select("key", "rare").distinct(), "key")
+    apart_at_most = F.floor((F.col("n_shingles") + 4 * F.col("n_shingles") / 3) / 7)
+    member = member.where((F.col("sig") % 2 == 0) | (F.col("rare") <= apart_at_most))
+    member = A.stored(member.select("sig", "key", "component", "n_shingles", "rare"))
+    left, right = member.toDF("sig", "a", "left", "size_a", "rare_a"), member.toDF("sig", "b", "right", "size_b", "rare_b")
+    across = (F.col("left") < F.col("right")) & (3 * F.greatest("size_a", "size_b") <= 4 * F.least("size_a", "size_b"))
+    across = across & ((F.col("sig") % 2 == 0) | (7 * (F.col("rare_a") + F.col("rare_b")) <= F.col("size_a") + F.col("size_b")))
+    more = left.join(right, "sig").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = links.union(linked(more.join(both(pairs), ["a", "b"], "left_anti")))
+    groups = grouped(A.checkpointed(more))
+    out = sets.join(classes.select("key", "rep"), "key", "left").join(groups, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("rep")).alias("class_id"))
 
