@@ -4,8 +4,8 @@ The text is lower-cased and split into words; the words' subword ids, then one e
 The model is one attention layer and one small feed-forward layer.  It predicts the class of the next id (the most
 frequent ids are classes of their own, the others share classes); within its class an id has its share of all
 training texts.  Both parts are normalised, so the score is the log10 probability of the text.  It is fitted on a
-sample of at most ``SAMPLE`` windows of the training texts, the ones with the smallest hashes; ids and words are
-counted in all training texts.
+sample of at most ``SAMPLE`` windows of the training texts, those with the smallest hashes of the at most ``KEPT`` that
+each task proposes; ids and words are counted in all training texts.
 
 Scoring cuts a text into windows that overlap: the first window scores all its ids, each later one those after the
 overlap, so every id is scored once, with at least the overlap as context.  Windows of many texts make one batch.
@@ -20,7 +20,6 @@ left out; without training texts all scores come from an untrained model and n_k
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import arrays as A
-from docmill.llm.packing import token_ids
+from docmill.llm.packing import token_ids, word_ids
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 IDS, START, END = 49_408, 49_406, 49_407
-SAMPLE = 16_000
+SAMPLE = 20_000
+#: Windows that each task proposes; more than one task is needed to fill the sample only on larger inputs.
+KEPT = 6_000
 FREQUENT = 1 << 19
-WINDOW, OVERLAP = 48, 12
-INPUTS, OWN, SHARED, WIDTH, HIDDEN = 4096, 144, 48, 16, 32
+WINDOW, OVERLAP, BLOCK = 32, 8, 16
+INPUTS, OWN, SHARED, WIDTH, HIDDEN = 4096, 96, 32, 16, 32
 
 
 class Classes:
@@ -73,33 +74,48 @@ class Attention:
             "in": init(WIDTH, HIDDEN), "in_b": np.zeros(HIDDEN, np.float32), "out": init(HIDDEN, WIDTH) * np.float32(0.5),
             "class": init(WIDTH, n) * np.float32(0.5), "class_b": np.zeros(n, np.float32),
         }
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """All that the gradient needs.  Scores and logits are held to +-30, so no maximum has to be taken off."""
         p, length = self.p, x.shape[1]
         s = {"x": x, "h": p["embed"][x] + p["place"][:length]}
         s["qh"], s["kh"], s["vh"] = s["h"] @ p["q"], s["h"] @ p["k"], s["h"] @ p["v"]
-        a = s["qh"] @ s["kh"].transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
-        a += self.mask[:length, :length]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
+        a = np.exp(np.clip(s["qh"] @ s["kh"].transpose(0, 2, 1) * np.float32(WIDTH**-0.5), -30, 30)) * self.mask[:length, :length]
         a /= a.sum(axis=2, keepdims=True)
         s["a"], s["c"] = a, a @ s["vh"]
         s["h1"] = s["h"] + s["c"] @ p["o"]
         s["z"] = np.maximum(s["h1"] @ p["in"] + p["in_b"], 0)
         s["h2"] = s["h1"] + s["z"] @ p["out"]
-        logits = s["h2"] @ p["class"] + p["class_b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        s["logits"] = logits
+        s["logits"] = np.clip(s["h2"] @ p["class"] + p["class_b"], -30, 30)
         return s
 
     def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of class y at every place."""
-        logits = self.forward(x)["logits"]
-        at = np.take_along_axis(logits, y[:, :, None].astype(np.int64), 2)[:, :, 0]
+        """Natural log of the probability of class y at every place: the same sums as ``forward``, in fewer passes."""
+        p, (n, length) = self.p, x.shape
+        h = p["embed"][x]
+        h += p["place"][:length]
+        flat = h.reshape(-1, WIDTH)
+        q = (flat @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(n, length, WIDTH)
+        k = (flat @ p["k"]).reshape(n, length, WIDTH)
+        v = np.ones((n, length, WIDTH + 1), np.float32)  # the last column adds up the weights
+        v[:, :, :WIDTH] = (flat @ p["v"]).reshape(n, length, WIDTH)
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -30, 30, out=a)
+        np.exp(a, out=a)
+        a *= self.mask[:length, :length]
+        c = a @ v
+        flat += (c[:, :, :WIDTH] / c[:, :, WIDTH:]).reshape(-1, WIDTH) @ p["o"]
+        z = flat @ p["in"]
+        z += p["in_b"]
+        np.maximum(z, 0, out=z)
+        flat += z @ p["out"]
+        logits = flat @ p["class"]
+        logits += p["class_b"]
+        np.clip(logits, -30, 30, out=logits)
+        at = logits[np.arange(n * length), y.ravel()]
         np.exp(logits, out=logits)
-        return at - np.log(logits.sum(axis=2))
+        return (at - np.log(logits @ np.ones(logits.shape[1], np.float32))).reshape(n, length)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         p, s = self.p, self.forward(x)
@@ -158,7 +174,7 @@ class Scorer:
     def __init__(self, model: Attention, classes: Classes):
         self.model, self.classes = model, classes
 
-    def scores(self, ids: np.ndarray, at: np.ndarray, batch: int = 256) -> np.ndarray:
+    def scores(self, ids: np.ndarray, at: np.ndarray, batch: int = 64) -> np.ndarray:
         """Log10 probability of every text of a row of ids."""
         starts, ends, of = [], [], []
         for i in range(len(at) - 1):
@@ -191,28 +207,53 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Kind 0: a word and its count; kind 1: an id and its count; kind 2: a window of ids by its hash."""
-        counts, sample = np.zeros(IDS, np.int64), []
+        counts, sample, limit = np.zeros(IDS), [], np.uint64(2**63)
+        words_seen = []
         for rows, data, offsets in A.slices(batches):
-            starts, ends, _ = A.words(data, offsets)
-            h, n = np.unique(A.word_hashes(data, starts, ends, lower=True), return_counts=True)
-            yield _rows(np.zeros(len(h), np.int32), h.astype(np.int64), n)
-            for part, texts in token_ids([rows], VOCABULARY):
-                ids, at = _ids(texts)
-                counts += np.bincount(ids, minlength=IDS)
-                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    own = ids[at[i] : at[i + 1]]
-                    begin = windows_of(own)
-                    rank = A.mix(A.mix(np.uint64(doc_id & (2**64 - 1)) + A.STEP) + begin.astype(np.uint64)) >> np.uint64(1)
-                    for s, k in zip(begin[np.argsort(rank)[:SAMPLE]].tolist(), np.sort(rank)[:SAMPLE].tolist(), strict=True):
-                        if len(sample) < SAMPLE // 4:
-                            heapq.heappush(sample, (-k, own[max(0, s - 1) : s + WINDOW].tobytes(), s > 0))
-                        elif -k > sample[0][0]:
-                            heapq.heapreplace(sample, (-k, own[max(0, s - 1) : s + WINDOW].tobytes(), s > 0))
-                        else:
-                            break
+            counts[END] += rows.num_rows
+            starts, ends, doc = A.words(data, offsets)
+            if not len(starts):
+                continue
+            h, first, n = np.unique(A.word_hashes(data, starts, ends, lower=True), return_index=True, return_counts=True)
+            words_seen.append((h, n))
+            if sum(len(x) for x, _ in words_seen) > 500_000:
+                words_seen = [_merged(words_seen)]
+                if len(words_seen[0][0]) > 1_000_000:
+                    yield _rows(0, words_seen[0][0].astype(np.int64), words_seen[0][1])
+                    words_seen = []
+            raw = A.LOWER[data].tobytes()
+            distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            known = word_ids(distinct, VOCABULARY)
+            parts = [known[w] for w in distinct]
+            weight = np.repeat(n, [len(x) // 4 for x in parts])
+            counts += np.bincount(np.frombuffer(b"".join(parts), np.uint32), weights=weight, minlength=IDS)
+            # windows start at every BLOCK-th word of a text; those with the smallest hashes are kept
+            begin = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+            at = np.flatnonzero((np.arange(len(doc)) - begin[doc]) % BLOCK == 0)
+            ids = rows.column("doc_id").to_numpy().astype(np.uint64)
+            rank = A.mix(A.mix(ids[doc[at]] + A.STEP) + (at - begin[doc[at]]).astype(np.uint64)) >> np.uint64(1)
+            near = np.flatnonzero(rank < limit)
+            for i in near[np.argsort(rank[near], kind="stable")][:KEPT].tolist():
+                lo, hi = int(at[i]), min(int(at[i]) + WINDOW, int(begin[doc[at[i]] + 1]))
+                run = [raw[a:b] for a, b in zip(starts[max(lo - 1, 0) : hi].tolist(), ends[max(lo - 1, 0) : hi].tolist(), strict=True)]
+                known = word_ids(run, VOCABULARY)
+                before = START
+                if lo > begin[doc[lo]] and (last := known[run[0]]):
+                    before = int.from_bytes(last[-4:], "little")
+                window = b"".join(known[w] for w in (run[1:] if lo else run))
+                if hi == begin[doc[lo] + 1]:
+                    window += END.to_bytes(4, "little")
+                sample.append((int(rank[i]), before.to_bytes(4, "little") + window[: 4 * WINDOW]))
+            if len(sample) > 2 * KEPT:
+                sample = sorted(sample)[:KEPT]
+                limit = np.uint64(sample[-1][0])
+        if words_seen:
+            h, n = _merged(words_seen)
+            yield _rows(0, h.astype(np.int64), n)
         at = np.flatnonzero(counts)
-        yield _rows(np.ones(len(at), np.int32), at, counts[at])
-        yield _rows(np.full(len(sample), 2, np.int32), np.array([-k for k, _, _ in sample], np.int64), np.array([int(b) for _, _, b in sample], np.int64), [w for _, w, _ in sample])
+        yield _rows(1, at, counts[at].astype(np.int64))
+        sample = sorted(sample)[:KEPT]
+        yield _rows(2, np.array([k for k, _ in sample], np.int64), np.zeros(len(sample), np.int64), [w for _, w in sample])
 
     found = A.stored(train.mapInArrow(gather, "kind int, key long, n long, payload binary"))
     words = A.stored(found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
@@ -226,11 +267,11 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
         counts[r.key] = r.n
     model, classes = Attention(), Classes(counts)
     x, y, valid = (np.zeros((SAMPLE, WINDOW), np.int32) for _ in range(3))
-    rows = found.where("kind = 2").orderBy("key", "payload").limit(SAMPLE).select("n", "payload").collect()
+    rows = found.where("kind = 2").orderBy("key", "payload").limit(SAMPLE).select("payload").collect()
     for i, r in enumerate(rows):
         ids = np.frombuffer(r.payload, np.int32)
-        before, ids = (ids[:-1], ids[1:]) if r.n else (np.append(START, ids[:-1]).astype(np.int32), ids)
-        x[i, : len(ids)], y[i, : len(ids)], valid[i, : len(ids)] = classes.input[before[: len(ids)]], classes.of[ids], 1
+        k = len(ids) - 1
+        x[i, :k], y[i, :k], valid[i, :k] = classes.input[ids[:-1]], classes.of[ids[1:]], 1
     model.fit(x[: len(rows)], y[: len(rows)].astype(np.int64), valid[: len(rows)])
 
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
@@ -298,7 +339,15 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
     )
 
 
-def _rows(kind: np.ndarray, key: np.ndarray, n: np.ndarray, payload: list | None = None) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(kind), pa.array(key), pa.array(n), pa.array(payload if payload is not None else [None] * len(kind), pa.binary())], names=["kind", "key", "n", "payload"]
-    )
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and their summed counts."""
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    at = A.heads(h)
+    return h[at], np.add.reduceat(n, at)
+
+
+def _rows(kind: int, key: np.ndarray, n: np.ndarray, payload: list | None = None) -> pa.RecordBatch:
+    payload = payload if payload is not None else [None] * len(key)
+    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), pa.array(payload, pa.binary())], names=["kind", "key", "n", "payload"])
