@@ -3,7 +3,7 @@
 Two sets of sizes a <= b that reach the threshold have b <= 4a/3 and differ in at most D = (a + b) / 7 members.
 
 Universe partition.  Sizes fall into bands that double.  Each band cuts the universe of shingles into segments by
-hash.  A rare shingle has a segment to itself; shingles that many documents share fall into larger segments, which
+hash.  Rare shingles have small segments; shingles that many documents share fall into segments of their own, which
 come last.  A set's part in a segment is one signature.  A set of size n takes segments in that fixed order until it holds one more that is not empty than
 D can be for any partner in the band.  Of two partners, the one that stops first holds more such segments than the
 two can differ in, so they agree in one, and the other holds it too.  A set whose parts run out before that takes the
@@ -45,7 +45,7 @@ from docmill.llm.graph import components
 SMALL = 6
 #: A shingle in so many documents of one slice is counted as frequent; so many of them are kept, the most frequent.
 FREQUENT, MOST_FREQUENT = 3, 1 << 18
-#: Rare shingles have segments under this number, one each; it is also the number of a band's first frequent segment.
+#: Segments of rare shingles, about one for each, have numbers under this one; those of frequent shingles start with it.
 RARE = 1 << 31
 ENTRY = "bucket int, kind int, payload binary"
 U = np.uint64
@@ -104,11 +104,6 @@ def set_keys(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of[at], size, A.mix(total + A.mix(other + A.mix(size.astype(U))))
 
 
-def _flag(sig: np.ndarray, frequent) -> np.ndarray:
-    """Signatures with their kind in the last bit: whether they stand for frequent members (or none)."""
-    return (sig & ~U(1)) | np.asarray(frequent).astype(U)
-
-
 def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets (see above) and the number of the text of each."""
     doc, size, _ = set_keys(tokens, of)
@@ -120,7 +115,7 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
     for s, d, n in zip(begin[size <= SMALL].tolist(), doc[size <= SMALL].tolist(), size[size <= SMALL].tolist(), strict=True):
         if n > 2:  # smaller sets have no partners but their equals
             whole = part[s : s + n].sum(dtype=U)
-            sigs.append(_flag(A.mix(np.append(whole - part[s : s + n], whole)), False))
+            sigs.append(A.mix(np.append(whole - part[s : s + n], whole)))
             owner.append(np.full(n + 1, d))
     is_frequent = np.isin(tokens, frequent, kind="sort") if len(frequent) else np.zeros(len(tokens), bool)
     band = np.floor(np.log2(np.maximum(size, SMALL) / SMALL + 1e-12)).astype(int)
@@ -137,7 +132,8 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
         which = np.repeat(take, size)
         set_no = np.repeat(np.arange(len(m)), size[take])
         t = tokens[which]
-        segment = np.where(is_frequent[which], RARE + (t % m.astype(U)[set_no]).astype(np.int64), (t >> U(33)).astype(np.int64))
+        fine = (5 * high[take] // 6 + 1).astype(U)[set_no]
+        segment = np.where(is_frequent[which], RARE + (t % m.astype(U)[set_no]).astype(np.int64), (t % fine).astype(np.int64))
         key = (set_no << 32) | segment
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -148,11 +144,11 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
         filled = np.diff(np.append(first, len(set_no)))
         keep = np.arange(len(set_no)) - first[set_no] < need[set_no]
         label = (low[take][set_no].astype(U) << U(32)) + segment.astype(U)
-        sigs.append(_flag(A.mix(value + A.mix(label)), segment >= RARE)[keep])
+        sigs.append(A.mix(value + A.mix(label))[keep])
         owner.append(doc[take][set_no[keep]])
         for i in np.flatnonzero(filled < need):
             empty = np.setdiff1d(RARE + np.arange(m[i]), segment[first[i] : first[i] + filled[i]])
-            sigs.append(_flag(A.mix(A.mix((U(low[take][i]) << U(32)) + empty.astype(U))), True))
+            sigs.append(A.mix(A.mix((U(low[take][i]) << U(32)) + empty.astype(U))))
             owner.append(np.full(len(empty), doc[take][i]))
     return np.concatenate(sigs) if sigs else np.zeros(0, U), np.concatenate(owner) if owner else doc[:0]
 
@@ -281,15 +277,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
             at = np.append(A.heads(of), len(of))
             right = rows.column("key").to_numpy().view(U)[doc] == key  # of rows that share an id
             sets = [packed_set(tokens[at[i] : at[i + 1]]) for i in np.flatnonzero(right)]
-            rare = ~np.isin(tokens, frequent, kind="sort") if len(frequent) else np.ones(len(tokens), bool)
-            rare = np.add.reduceat(rare.astype(np.int64), at[:-1])[right] if len(at) > 1 else at[:0]
-            yield pa.record_batch([pa.array(key[right].astype(np.int64)), pa.array(sets, pa.binary()), pa.array(rare)], names=["key", "set", "rare"])
+            yield pa.record_batch([pa.array(key[right].astype(np.int64)), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    members = A.stored(texts.mapInArrow(full, "key long, set binary, rare long"))
+    members = A.stored(texts.mapInArrow(full, "key long, set binary"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        sets = members.select("key", "set")
-        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+        left, right = members.toDF("a", "set_a"), members.toDF("b", "set_b")
 
         def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -324,17 +317,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
     apart = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
     links = A.checkpointed(links.union(linked(apart)))
     label = labelled(links)
-    # then, in groups that are not one component yet, every pair across components; two sets that meet in frequent
-    # parts only have no rare member in common, so all of these count as differences
+    # then, in groups that are not one component yet, every pair across components
     member = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct().join(label, "key")
     open_groups = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    member = member.join(open_groups, "sig").join(members.select("key", "rare").distinct(), "key")
-    apart_at_most = F.floor((F.col("n_shingles") + 4 * F.col("n_shingles") / 3) / 7)
-    member = member.where((F.col("sig") % 2 == 0) | (F.col("rare") <= apart_at_most))
-    member = A.stored(member.select("sig", "key", "component", "n_shingles", "rare"))
-    left, right = member.toDF("sig", "a", "left", "size_a", "rare_a"), member.toDF("sig", "b", "right", "size_b", "rare_b")
+    member = A.stored(member.join(open_groups, "sig").select("sig", "key", "component", "n_shingles"))
+    left, right = member.toDF("sig", "a", "left", "size_a"), member.toDF("sig", "b", "right", "size_b")
     across = (F.col("left") < F.col("right")) & (3 * F.greatest("size_a", "size_b") <= 4 * F.least("size_a", "size_b"))
-    across = across & ((F.col("sig") % 2 == 0) | (7 * (F.col("rare_a") + F.col("rare_b")) <= F.col("size_a") + F.col("size_b")))
     more = left.join(right, "sig").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = links.union(linked(more.join(both(pairs), ["a", "b"], "left_anti")))
     groups = grouped(A.checkpointed(more))
