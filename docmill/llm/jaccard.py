@@ -45,7 +45,7 @@ from docmill.llm.graph import components
 SMALL = 6
 #: A shingle in so many documents of one slice is counted as frequent; so many of them are kept, the most frequent.
 FREQUENT, MOST_FREQUENT = 3, 1 << 18
-#: Segments of rare shingles, about one for each, have numbers under this one; those of frequent shingles start with it.
+#: Segments of rare shingles have numbers under this one; those of frequent shingles start with it.
 RARE = 1 << 31
 ENTRY = "bucket int, kind int, payload binary"
 U = np.uint64
@@ -132,7 +132,7 @@ def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tupl
         which = np.repeat(take, size)
         set_no = np.repeat(np.arange(len(m)), size[take])
         t = tokens[which]
-        fine = (5 * high[take] // 6 + 1).astype(U)[set_no]
+        fine = (2 * high[take] // 5 + 2).astype(U)[set_no]
         segment = np.where(is_frequent[which], RARE + (t % m.astype(U)[set_no]).astype(np.int64), (t % fine).astype(np.int64))
         key = (set_no << 32) | segment
         order = np.argsort(key, kind="stable")
