@@ -187,3 +187,24 @@ def test_windows_score_each_id_once():
             x = classes.input[before[start : k + 1]][None]
             total += model.log_probability(x, classes.of[own[start : k + 1]][None])[0, -1] + classes.share[own[k]]
         assert math.isclose(got[i], total / math.log(10), rel_tol=1e-3)
+
+
+def test_context_and_classes_are_whole():
+    """Every id has at least 12 ids of context, 144 ids are told apart, and scoring takes the sums of ``forward`` at any size."""
+    assert (lm.WINDOW, lm.OVERLAP, lm.OWN, lm.SHARED) == (48, 12, 144, 48)
+    rng = np.random.default_rng(5)
+    model = lm.Attention()
+    for name in ("q", "class"):
+        model.p[name] *= np.float32(80)  # scores and logits far beyond 30
+    x, y = rng.integers(0, 50, (3, lm.WINDOW)), rng.integers(0, lm.OWN, (3, lm.WINDOW))
+    h = (model.p["embed"][x] + model.p["place"]).astype(np.float64)
+    a = (h @ model.p["q"]) @ (h @ model.p["k"]).transpose(0, 2, 1) / math.sqrt(lm.WIDTH)
+    a = np.where(np.tril(np.ones(a.shape[1:])) > 0, a, -np.inf)
+    a = np.exp(a - a.max(axis=2, keepdims=True))
+    h = h + (a / a.sum(axis=2, keepdims=True)) @ (h @ model.p["v"]) @ model.p["o"]
+    h = h + np.maximum(h @ model.p["in"] + model.p["in_b"], 0) @ model.p["out"]
+    logits = h @ model.p["class"] + model.p["class_b"]
+    assert np.abs(logits).max() > 35
+    top = logits.max(axis=2, keepdims=True)
+    want = np.take_along_axis(logits - top, y[:, :, None], 2)[:, :, 0] - np.log(np.exp(logits - top).sum(axis=2))
+    assert np.allclose(model.log_probability(x, y), want, rtol=1e-3, atol=1e-2)
