@@ -3,9 +3,13 @@
 The text is lower-cased and split into words; the words' subword ids, then one end, are the tokens of the model.
 The model is one attention layer and one small feed-forward layer.  It predicts the class of the next id (the most
 frequent ids are classes of their own, the others share classes); within its class an id has its share of all
-training texts.  Both parts are normalised, so the score is the log10 probability of the text.  It is fitted on a
-sample of at most ``SAMPLE`` windows of the training texts, those with the smallest hashes of the at most ``KEPT`` that
-each task proposes; ids and words are counted in all training texts.
+training texts.  Both parts are normalised, so the score is the log10 probability of the text.
+
+Fitting uses every id of every training text, in the windows that scoring would cut.  Windows are dealt by hash to
+rounds and, within a round, to shards of about ``SHARD`` windows.  In a round every shard starts from the same
+parameters and takes its own Adam steps in some task; their mean, weighted by windows, starts the next round.  Small
+inputs get further passes until ``VISITS`` windows were seen or ``PASSES`` passes made.  The number of shards follows
+from the number of windows alone, so the model does not depend on how many tasks read or fit.
 
 Scoring cuts a text into windows that overlap: the first window scores all its ids, each later one those after the
 overlap, so every id is scored once, with at least the overlap as context.  Windows of many texts make one batch.
@@ -20,6 +24,7 @@ left out; without training texts all scores come from an untrained model and n_k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +38,12 @@ from docmill.llm.packing import token_ids, word_ids
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 IDS, START, END = 49_408, 49_406, 49_407
-SAMPLE = 20_000
-#: Windows that each task proposes; more than one task is needed to fill the sample only on larger inputs.
-KEPT = 6_000
+ROUNDS, SHARD = 8, 4096
+PASSES, VISITS = 3, 60_000
+#: Parts of the parameters that are averaged on their own.
+PARTS = 16
 FREQUENT = 1 << 19
-WINDOW, OVERLAP, BLOCK = 48, 12, 16
+WINDOW, OVERLAP = 48, 12
 INPUTS, OWN, SHARED, WIDTH, HIDDEN = 4096, 144, 48, 16, 32
 
 
@@ -152,16 +158,16 @@ class Attention:
         np.add.at(g["embed"], x.ravel(), flat(dh))
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: float = 3, batch: int = 32, rate: float = 2e-2, seed: int = 11) -> None:
-        """Adam over shuffled windows; the rate falls to nothing."""
+    def fit(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: float = 3, batch: int = 32, rate: float = 2e-2, seed: int = 11, part: int = 0, parts: int = 1) -> None:
+        """Adam over shuffled windows; the rate falls to nothing over ``parts`` calls, of which this is number ``part``."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps = int(epochs * len(x) / batch)
+        steps = math.ceil(epochs * len(x) / batch)
         order = np.concatenate([r.permutation(len(x)) for _ in range(int(epochs) + 1)]) if len(x) else np.zeros(0, int)
         for t in range(1, steps + 1):
             at = order[(t - 1) * batch : t * batch]
-            step = rate * (1 - (t - 1) / steps)
+            step = rate * (1 - (part + (t - 1) / steps) / parts)
             for k, g in self.gradient(x[at], y[at], valid[at]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v2[k] = 0.98 * v2[k] + 0.02 * g * g
@@ -205,6 +211,90 @@ class Scorer:
         return total / np.log(10)
 
 
+def _stream(parts: list[bytes], of: np.ndarray, doc: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The start, the ids and the end of every text in a row, and where each text starts; word k of text ``doc[k]`` has the ids ``parts[of[k]]``."""
+    flat = np.frombuffer(b"".join(parts), np.uint32)
+    size = np.array([len(p) // 4 for p in parts], np.int64)
+    first, n = (np.cumsum(size) - size)[of], size[of]
+    ids = flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    at = np.concatenate(([0], np.cumsum(np.bincount(doc, weights=n, minlength=n_texts).astype(np.int64) + 2)))
+    stream = np.empty(at[-1], np.uint16)
+    inner = np.ones(at[-1], bool)
+    inner[at[:-1]] = inner[at[1:] - 1] = False
+    stream[at[:-1]], stream[at[1:] - 1], stream[inner] = START, END, ids
+    return stream, at
+
+
+def _windows(stream: np.ndarray, at: np.ndarray, doc_ids: np.ndarray) -> pa.RecordBatch:
+    """The windows that scoring cuts, each with the id before it, keyed by a hash of the text's id and the place."""
+    begin = [windows_of(range(k)) for k in (np.diff(at) - 1).tolist()]
+    of = np.repeat(np.arange(len(begin)), [len(b) for b in begin])
+    begin = np.concatenate(begin)
+    size = np.minimum(WINDOW, at[of + 1] - 1 - at[of] - begin) + 1
+    ends = np.cumsum(size)
+    data = stream[np.repeat(at[of] + begin - (ends - size), size) + np.arange(ends[-1])]
+    payload = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(data)])
+    key = A.mix(A.mix(doc_ids[of] + A.STEP) + begin.astype(np.uint64)).view(np.int64)
+    return _rows(2, key, np.where(begin > 0, OVERLAP, 0), payload)
+
+
+def _trainer(state, k: int, rounds: int):
+    """One shard's steps in round ``k``: the parameters after them, in parts."""
+
+    def train(table: pa.Table) -> pa.Table:
+        parameters, all_counts = state.value
+        own, classes = Attention(), Classes(all_counts)
+        own.p = {name: v.copy() for name, v in parameters.items()}
+        table = table.sort_by([("rank", "ascending"), ("payload", "ascending")])
+        x, y, valid = (np.zeros((table.num_rows, WINDOW), np.int32) for _ in range(3))
+        for i, (payload, skip) in enumerate(zip(table.column("payload").to_pylist(), table.column("n").to_pylist(), strict=True)):
+            ids = np.frombuffer(payload, np.uint16)
+            m = len(ids) - 1
+            x[i, :m], y[i, :m], valid[i, skip:m] = classes.input[ids[:-1]], classes.of[ids[1:]], 1
+        own.fit(x, y.astype(np.int64), valid, epochs=1, part=k, parts=rounds)
+        flat = np.array_split(np.concatenate([own.p[name].ravel() for name in own.p]), PARTS)
+        return pa.table({"part": pa.array(range(PARTS), pa.int32()), "shard": [table.column("shard")[0].as_py()] * PARTS, "n": [table.num_rows] * PARTS, "payload": [v.tobytes() for v in flat]})
+
+    return train
+
+
+def fitted(windows: DataFrame, counts: np.ndarray) -> Attention:
+    """The model after all rounds over ``windows``: a key, the number of ids that are context only, and the ids."""
+    context = windows.sparkSession.sparkContext
+    model, n = Attention(), windows.count()
+    if not n:
+        return model
+    more = min(1.0, max(0.0, (VISITS / n - 1) / (PASSES - 1)))  # share of the windows that a further pass takes
+    visits = n * (1 + more * (PASSES - 1))
+    rounds = int(min(ROUNDS, max(1, visits // 256)))
+    shards = max(1, round(visits / (rounds * SHARD)))
+    every = windows.withColumn("visit", F.explode(F.array(*map(F.lit, range(PASSES if more else 1)))))
+    every = every.withColumn("rank", F.xxhash64("key", "visit"))
+    every = every.where((F.col("visit") == 0) | (F.pmod(F.xxhash64("rank", F.lit(1)), F.lit(1 << 30)) < int(more * (1 << 30))))
+    every = every.withColumn("shard", F.pmod(F.xxhash64("rank", F.lit(2)), F.lit(shards)))
+    for k in range(rounds):
+        state = context.broadcast((model.p, counts))
+        now = every.where(F.pmod(F.xxhash64("rank", F.lit(3)), F.lit(rounds)) == k).select("shard", "rank", "n", "payload")
+        found = now.groupBy("shard").applyInArrow(_trainer(state, k, rounds), "part int, shard long, n long, payload binary")
+        mean = {r.part: np.frombuffer(r.payload, np.float32) for r in found.groupBy("part").applyInArrow(_mean, "part int, payload binary").collect()}
+        if mean:
+            flat, at = np.concatenate([mean[i] for i in range(PARTS)]), 0
+            for name, v in model.p.items():
+                model.p[name] = flat[at : at + v.size].reshape(v.shape)
+                at += v.size
+        state.unpersist()
+    return model
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of one part of the parameters over the shards, weighted by windows; added in the shards' order."""
+    table = table.sort_by("shard")
+    n, total = table.column("n").to_numpy(), 0.0
+    for weight, payload in zip(n.tolist(), table.column("payload"), strict=True):
+        total = total + weight / n.sum() * np.frombuffer(payload.as_py(), np.float32).astype(np.float64)
+    return pa.table({"part": table.column("part")[:1], "payload": [total.astype(np.float32).tobytes()]})
+
+
 def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
     """Word-model and attention-model scores of all ``docs``, learnt from the rows of ``train``."""
     spark = docs.sparkSession
@@ -212,15 +302,11 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
     docs, train = tidy(docs), tidy(train)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: a word and its count; kind 1: an id and its count; kind 2: a window of ids by its hash."""
-        counts, sample, limit = np.zeros(IDS), [], np.uint64(2**63)
-        words_seen = []
+        """Kind 0: a word and its count; kind 1: an id and its count; kind 2: a window by its hash, and its ids that an earlier window has."""
+        counts, words_seen = np.zeros(IDS), []
         for rows, data, offsets in A.slices(batches):
-            counts[END] += rows.num_rows
             starts, ends, doc = A.words(data, offsets)
-            if not len(starts):
-                continue
-            h, first, n = np.unique(A.word_hashes(data, starts, ends, lower=True), return_index=True, return_counts=True)
+            h, first, of, n = np.unique(A.word_hashes(data, starts, ends, lower=True), return_index=True, return_inverse=True, return_counts=True)
             words_seen.append((h, n))
             if sum(len(x) for x, _ in words_seen) > 500_000:
                 words_seen = [_merged(words_seen)]
@@ -230,36 +316,14 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
             raw = A.LOWER[data].tobytes()
             distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             known = word_ids(distinct, VOCABULARY)
-            parts = [known[w] for w in distinct]
-            weight = np.repeat(n, [len(x) // 4 for x in parts])
-            counts += np.bincount(np.frombuffer(b"".join(parts), np.uint32), weights=weight, minlength=IDS)
-            # windows start at every BLOCK-th word of a text; those with the smallest hashes are kept
-            begin = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-            at = np.flatnonzero((np.arange(len(doc)) - begin[doc]) % BLOCK == 0)
-            ids = rows.column("doc_id").to_numpy().astype(np.uint64)
-            rank = A.mix(A.mix(ids[doc[at]] + A.STEP) + (at - begin[doc[at]]).astype(np.uint64)) >> np.uint64(1)
-            near = np.flatnonzero(rank < limit)
-            for i in near[np.argsort(rank[near], kind="stable")][:KEPT].tolist():
-                lo, hi = int(at[i]), min(int(at[i]) + WINDOW, int(begin[doc[at[i]] + 1]))
-                run = [raw[a:b] for a, b in zip(starts[max(lo - 1, 0) : hi].tolist(), ends[max(lo - 1, 0) : hi].tolist(), strict=True)]
-                known = word_ids(run, VOCABULARY)
-                before = START
-                if lo > begin[doc[lo]] and (last := known[run[0]]):
-                    before = int.from_bytes(last[-4:], "little")
-                window = b"".join(known[w] for w in (run[1:] if lo else run))
-                if hi == begin[doc[lo] + 1]:
-                    window += END.to_bytes(4, "little")
-                sample.append((int(rank[i]), before.to_bytes(4, "little") + window[: 4 * WINDOW]))
-            if len(sample) > 2 * KEPT:
-                sample = sorted(sample)[:KEPT]
-                limit = np.uint64(sample[-1][0])
+            stream, at = _stream([known[w] for w in distinct], of, doc, rows.num_rows)
+            counts += np.bincount(np.delete(stream, at[:-1]), minlength=IDS)
+            yield _windows(stream, at, rows.column("doc_id").to_numpy().astype(np.uint64))
         if words_seen:
             h, n = _merged(words_seen)
             yield _rows(0, h.astype(np.int64), n)
         at = np.flatnonzero(counts)
         yield _rows(1, at, counts[at].astype(np.int64))
-        sample = sorted(sample)[:KEPT]
-        yield _rows(2, np.array([k for k, _ in sample], np.int64), np.zeros(len(sample), np.int64), [w for _, w in sample])
 
     found = A.stored(train.mapInArrow(gather, "kind int, key long, n long, payload binary"))
     words = A.stored(found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
@@ -271,14 +335,7 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
     counts = np.zeros(IDS)
     for r in found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
         counts[r.key] = r.n
-    model, classes = Attention(), Classes(counts)
-    x, y, valid = (np.zeros((SAMPLE, WINDOW), np.int32) for _ in range(3))
-    rows = found.where("kind = 2").orderBy("key", "payload").limit(SAMPLE).select("payload").collect()
-    for i, r in enumerate(rows):
-        ids = np.frombuffer(r.payload, np.int32)
-        k = len(ids) - 1
-        x[i, :k], y[i, :k], valid[i, :k] = classes.input[ids[:-1]], classes.of[ids[1:]], 1
-    model.fit(x[: len(rows)], y[: len(rows)].astype(np.int64), valid[: len(rows)])
+    model = fitted(found.where("kind = 2").select("key", "n", "payload"), counts)
 
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     top = top.sort_by("key")
@@ -354,6 +411,6 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h[at], np.add.reduceat(n, at)
 
 
-def _rows(kind: int, key: np.ndarray, n: np.ndarray, payload: list | None = None) -> pa.RecordBatch:
-    payload = payload if payload is not None else [None] * len(key)
-    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), pa.array(payload, pa.binary())], names=["kind", "key", "n", "payload"])
+def _rows(kind: int, key: np.ndarray, n: np.ndarray, payload: pa.Array | None = None) -> pa.RecordBatch:
+    payload = payload if payload is not None else pa.nulls(len(key), pa.binary())
+    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), payload], names=["kind", "key", "n", "payload"])

@@ -208,3 +208,32 @@ def test_context_and_classes_are_whole():
     top = logits.max(axis=2, keepdims=True)
     want = np.take_along_axis(logits - top, y[:, :, None], 2)[:, :, 0] - np.log(np.exp(logits - top).sum(axis=2))
     assert np.allclose(model.log_probability(x, y), want, rtol=1e-3, atol=1e-2)
+
+
+def test_every_training_id_is_fitted_whatever_the_tasks(documents, monkeypatch):
+    """Windows of the training texts hold every id once, and neither they nor the model depend on the partitions."""
+    docs, df = documents
+    fold = language.held_out(F.col("doc_id"), 5, 1)
+    seen, fitted = [], lm.fitted
+
+    def watched(windows, counts):
+        seen.append((sorted((r.key, r.n, bytes(r.payload)) for r in windows.collect()), counts))
+        return fitted(windows, counts)
+
+    monkeypatch.setattr(lm, "fitted", watched)
+    monkeypatch.setattr(lm, "VISITS", 1)
+    monkeypatch.setattr(lm, "SHARD", 150)
+    scores = []
+    for parts in (1, 7):
+        rows = lm.score_texts(df, df.where(~fold).repartition(parts), fold).collect()
+        scores.append({r.doc_id: r.score for r in rows})
+    assert seen[0][0] == seen[1][0] and all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-4) for i in scores[0])
+    library, want = Tokenizer.from_file(lm.VOCABULARY), Counter()
+    for i, t in docs:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            want.update(e for w in (t or "").split() for e in library.encode(w, add_special_tokens=False).ids)
+            want[lm.END] += 1
+    got = Counter()
+    for _, n, payload in seen[0][0]:
+        got.update(np.frombuffer(payload, np.uint16)[1 + n :].tolist())
+    assert got == want and {i: int(seen[0][1][i]) for i in got} == want
