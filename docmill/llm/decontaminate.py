@@ -16,7 +16,8 @@ Scale: nothing but hits leaves the tasks; a hot item is a broadcast row or is sp
 hits are grouped by document and item.
 
 Defined cases: null or blank texts are clean; null items are ignored; rows that repeat an item id count as one item
-with several texts; rows that repeat a document id are judged together; rows with null id are kept as clean.
+with several texts; rows that repeat a document id get one result, but a run lies within one text of the document and
+one text of the item; rows with null id are kept as clean.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ UNITS = frozenset(
 )
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-SCHEMA = "doc_id long, pos int, size int, h long, slot_at array<int>, slots array<string>"
+SCHEMA = "doc_id long, text_key long, pos int, size int, h long, slot_at array<int>, slots array<string>"
 
 
 def word_kind(word: str) -> tuple[int, str, bool]:
@@ -94,7 +95,9 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def find_leaks(docs: DataFrame, items: DataFrame, size: int = 8, run: int = 12) -> DataFrame:
     """One row per document: whether an item has leaked into it, which, and the longest run in words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     items = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    items = items.withColumn("text_key", F.xxhash64("text")).distinct()
 
     def windows(sizes: list[int], mask: np.ndarray | None, wanted: np.ndarray | None, whole: bool):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 8, run: int = 12)
                 n_words = np.bincount(doc, minlength=rows.num_rows)
                 first = np.concatenate(([0], np.cumsum(n_words)))
                 slot = np.flatnonzero(kind != LITERAL)
-                ids, out = rows.column("doc_id").to_pylist(), []
+                ids, texts, out = rows.column("doc_id").to_pylist(), rows.column("text_key").to_pylist(), []
                 for k in sizes:
                     w = A.windows(value, k)
                     hit = doc[: len(w)] == doc[k - 1 :][: len(w)]
@@ -117,11 +120,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 8, run: int = 12)
                     begin, end = np.searchsorted(slot, at), np.searchsorted(slot, at + k)
                     for p, b, e in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True):
                         s = slot[b:e]
-                        out.append((ids[doc[p]], p - int(first[doc[p]]), k, int(w[p].astype(np.int64)), (s - p).tolist(), [forms[i] for i in of[s]]))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                        out.append((ids[doc[p]], texts[doc[p]], p - int(first[doc[p]]), k, int(w[p].astype(np.int64)), (s - p).tolist(), [forms[i] for i in of[s]]))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 7
                 yield pa.record_batch(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int32())), pa.array(cols[5], pa.list_(pa.string()))],
-                    names=["doc_id", "pos", "size", "h", "slot_at", "slots"],
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int32())), pa.array(cols[6], pa.list_(pa.string()))],
+                    names=["doc_id", "text_key", "pos", "size", "h", "slot_at", "slots"],
                 )
 
         return find
@@ -135,15 +138,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 8, run: int = 12)
         mask = np.zeros(1 << 20, bool)
         mask[wanted & np.uint64(len(mask) - 1)] = True
     hits = docs.where("doc_id is not null").mapInArrow(windows(sizes, mask, wanted, False), SCHEMA)
-    lengths = known.groupBy("doc_id").agg(F.max(F.col("pos") + F.col("size")).alias("length"))
-    side = known.join(lengths, "doc_id").select(
-        F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", F.col("slot_at").alias("item_at"), F.col("slots").alias("item_slots"), "length"
+    lengths = known.groupBy("doc_id", "text_key").agg(F.max(F.col("pos") + F.col("size")).alias("length"))
+    side = known.join(lengths, ["doc_id", "text_key"]).select(
+        F.col("doc_id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("pos").alias("item_pos"), "size", "h", F.col("slot_at").alias("item_at"), F.col("slots").alias("item_slots"), "length"
     )
     if n_windows <= SMALL_SIDE:
         side = F.broadcast(side)
     joined = hits.join(side, ["h", "size"])
     one = F.struct("pos", "item_pos", "size", "slot_at", "slots", "item_at", "item_slots", "length")
-    grouped = joined.groupBy("doc_id", "item_id").agg(F.collect_list(one).alias("hits"))
+    grouped = joined.groupBy("doc_id", "text_key", "item_id", "item_key").agg(F.collect_set(one).alias("hits"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

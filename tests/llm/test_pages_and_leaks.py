@@ -114,3 +114,20 @@ def test_leaks_odd(spark, odd, odd_rows, none):
     got = D.find_leaks(rows, items).collect()
     assert len(got) == len(odd_rows) and {r.doc_id for r in got if r.contaminated} == {4, 13}
     assert D.find_leaks(none, items).count() == 0 and {r.contaminated for r in D.find_leaks(odd, items.limit(0)).collect()} == {False}
+
+
+def test_repeated_rows_keep_their_leaks(spark):
+    leaked, other = f"Some intro here. {ITEM} Some outro.", f"Longer words that stand before. {ITEM} More."
+    second = "A quite different wording of the same benchmark item that has twelve words or more in it."
+    docs = [(1, leaked), (1, leaked), (2, leaked), (2, other), (3, "Clean text " * 30), (4, second), (None, leaked)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for items in ([(1, ITEM), (1, second)], [(1, ITEM), (1, ITEM), (1, second), (1, second)]):
+        rows = D.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        got = {(r.doc_id, tuple(r.item_ids)) for r in rows}
+        assert len(rows) == 7 and got == {(1, (1,)), (2, (1,)), (3, ()), (4, (1,)), (None, ())}
+        assert all(r.longest_run == len(ITEM.split()) for r in rows if r.doc_id in (1, 2))
+    # two texts under one id do not lend each other the two halves of an item
+    words = ITEM.split()
+    halves = [(5, " ".join(words[:11])), (5, "x " * 11 + " ".join(words[11:22]))]
+    got = D.find_leaks(spark.createDataFrame(halves, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"), size=4).collect()
+    assert not any(r.contaminated for r in got)
