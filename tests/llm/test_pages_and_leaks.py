@@ -131,3 +131,19 @@ def test_repeated_rows_keep_their_leaks(spark):
     halves = [(5, " ".join(words[:11])), (5, "x " * 11 + " ".join(words[11:22]))]
     got = D.find_leaks(spark.createDataFrame(halves, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"), size=4).collect()
     assert not any(r.contaminated for r in got)
+
+
+def test_layout_classes_do_not_drop_the_article():
+    article = '<article class="post comments-open"><p>one</p><div class="ad">buy</div><p>two</p></article>'
+    for tag in ('<body class="has-sidebar">', '<body class="menu-open">', '<html id="nav"><body>', '<body><div class="with-sidebar"><div id="menu-wrap">', '<body><main class="ads">'):
+        lines, marked = H.page_lines(f'{tag}<div class="sidebar"><p>side</p></div>{article}')
+        assert [x for x, m in zip(lines, marked, strict=True) if m] == ["one", "two"], tag
+    assert H.page_lines('<body class="menu-open"><p>plain</p><div class="menu">m</div>')[0] == ["plain"]
+    # a wrapper between main and article, and articles that are comments or teasers
+    text = lambda page: [x for x, m in zip(*H.page_lines(page), strict=True) if m]
+    comment = '<section class="comments"><article><p>first!</p></article></section>'
+    assert text(f'<body><main><p>t</p><div class="has-sidebar">{article}</div></main></body>') == ["t", "one", "two"]
+    assert text(f'<body><div class="has-sidebar">{article}{comment}</div><div class="sidebar"><article>tease</article></div>') == ["one", "two"]
+    assert text(f'<body><main>{"<p>long</p>" * 20}{comment}</main>') == ["long"] * 20
+    # name and role still count around an article
+    assert H.page_lines(f'<body><aside>{article}</aside><div role="dialog">{article}</div><p>x</p>') == (["x"], [False])
