@@ -12,29 +12,43 @@ from pyspark.sql import functions as F
 from docmill.llm import arrays, decontaminate, exact, jaccard, language, packing
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a column ``_row``: their id, or for rows without one a number above the ids by a hash of the text."""
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
+    return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), other))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie too far from all languages, or hold no letter, go."""
     return language.accepted(docs, language.fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; of equal texts without any id one row stays."""
     kept = exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    kept = arrays.stored(kept)
     same = (F.col("doc_id") == F.col("_kept_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_kept_sha"))
-    return docs.join(kept, same, "left_semi")
+    # a row without an id stays if no row with an id has its text
+    without = docs.where("doc_id is null").withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["_sha"])
+    without = without.join(kept, F.col("_sha") == F.col("_kept_sha"), "left_anti").drop("_sha")
+    return docs.join(kept, same, "left_semi").unionByName(without)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared shingles the one with the smallest id stays."""
-    kept = jaccard.jaccard_classes(docs, n=5).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of documents linked by shared shingles the one with the smallest id stays; rows without an id come last."""
+    rows = _numbered(docs)
+    classes = jaccard.jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"), n=5)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a leaked benchmark item go."""
+    """Documents with a leaked benchmark item go, with or without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.find_leaks(docs, items).where("contaminated").select("doc_id")
-    return docs.join(leaked, "doc_id", "left_anti")
+    rows = _numbered(docs)
+    leaks = decontaminate.find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), items)
+    leaked = leaks.where("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(leaked, "_row", "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

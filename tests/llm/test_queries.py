@@ -84,3 +84,15 @@ def test_stages_on_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_rows_without_id_stay(spark, sf_dir):
+    """A clean text without an id stays; one that is equal or near to another, or leaked, goes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(0)
+    near = " ".join(f"near{i}" for i in range(80))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, "equal text here"), (None, "equal text here"), (None, "lone text here"), (None, "lone text here"), (2, near), (None, f"{near} end"), (None, f"Before. {item} After.")]
+    docs = spark.createDataFrame(rows, docs.schema)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, sf_dir)
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter([(1, "equal text here"), (None, "lone text here"), (2, near)])
