@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_ngram_jaccard_join": "doc_id n_shingles component_id",
     "op10_html_extraction": "page_id url text n_chars",
+    "op11_filter_interaction_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
