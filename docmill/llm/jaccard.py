@@ -3,70 +3,72 @@
 Two sets of sizes a <= b that reach the threshold have b <= 4a/3 and differ in at most D = (a + b) / 7 members.
 
 Universe partition.  Sizes fall into bands that double.  Each band cuts the universe of shingles into segments by
-hash.  Rare shingles have small segments; shingles that many documents share fall into segments of their own, which
-come last.  A set's part in a segment is one signature.  A set of size n takes segments in that fixed order until it holds one more that is not empty than
-D can be for any partner in the band.  Of two partners, the one that stops first holds more such segments than the
-two can differ in, so they agree in one, and the other holds it too.  A set whose parts run out before that takes the
-empty segments of frequent shingles too, of which there are more than the two can differ in.  A set also enters the next band if a partner can lie there.
+hash; a set's part in a segment is one signature, and a set sends the signatures of all its T parts that are not empty.
+Of two partners at most D parts of either differ, so T - D or more agree.  A set also enters the next band if a partner
+can lie there.
 
-One-deletion neighbourhoods.  Sets of up to ``SMALL`` members take the whole set and each set without one member as
-signatures; two of them that reach the threshold differ in one member at most.
+Cost-based allocation.  A signature that more than ``COLD`` classes share (a common line or passage) would cost the
+square of their number.  After all signatures have been counted, a set may do without its shared ones if the others are
+more than D: then it agrees with every partner in one of the others.  So a pair is lost only if neither set can do
+without, and the groups of shared signatures keep just those sets.  The number of segments is the one that leaves sets
+at both ends of a band enough parts to spare at the least number of signatures.
 
-Cost-based allocation.  Frequent shingles, which would make most candidates, are counted in all documents and take part
-only where rarer ones don't suffice.  A band has the number of segments with the least expected cost: of empty parts
-sent for want of others, and of chance agreements of short parts.
+One-deletion neighbourhoods.  Sets of up to ``SMALL`` members take the whole set and each set without one member as
+signatures; two of them that reach the threshold differ in one member at most, so one's whole is the other's deletion.
 
-Candidates.  Equal sets are one class.  In a group of classes with a common signature the pivot is the one with the fewest
-members of its own, that is, the least edited of a group of copies.  Each class
-is first verified, on the full sets, with the pivot it shares most signatures with, then with its other pivots if it is
+Candidates.  Equal sets are one class.  All pairs of a group of up to ``COLD`` classes are candidates.  Of a larger group
+the pivot is the class with most shared signatures, that is, the least edited of a group of copies.  Each class
+is first verified with the pivot it shares most signatures with, then with its other pivots if it is
 not in their component yet.  Pairs of a group are verified where that leaves the group in several components.  So no link is lost, and a group of copies
 costs about as many pairs as it has members.
 
+Verification.  Candidates of unfitting sizes go at once.  Then sketches of the two sets are compared, a bit for each range of
+hashes that says whether the set has an odd number of members there; they differ in no more bits than the sets in
+members.  Only what passes is compared on the full sets.
+
 Skew: equal sets and equal signatures of a slice of text are joined there, and one entry stands for them.
 
 Defined cases: null or blank text has no shingles and no links; fewer words than the shingle size make one shingle
-of all words; rows with null id are left out; rows that repeat an id count as one document.  Words, sets and classes
+of all words; rows with null id are left out; rows that repeat an id count as one document; other columns are ignored,
+whatever their names.  Words, sets and classes
 are compared by 64-bit hashes, of which verification uses 48 bits within a pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import arrays as A
 from docmill.llm.graph import components
 
 SMALL = 6
-#: A shingle in so many documents of one slice is counted as frequent; so many of them are kept, the most frequent.
-FREQUENT, MOST_FREQUENT = 3, 1 << 18
-#: Segments of rare shingles have numbers under this one; those of frequent shingles start with it.
-RARE = 1 << 31
+#: Up to so many classes with one signature are all compared with one another.
+COLD = 6
+#: Members of a large group that one task compares with as many others.
+BLOCK = 512
 ENTRY = "bucket int, kind int, payload binary"
+FOUND = "kind int, sig long, slice long, row int, key long, n int, up int, spare int"
+MEMBER, ENTRIES, ROW = 0, 1, 2
+#: A signature is a part of a set, a small set without one member, or all of a small set.
+PART, DELETION, ALL = 0, 1, 2
+MANY = 8
 U = np.uint64
 STEP = U(0x2545F4914F6CDD1D)
 
 
-def segment_count(high: int) -> int:
-    """Segments for the frequent members of sets of up to ``high``: the number with the least expected cost.
+def segment_count(high: np.ndarray) -> np.ndarray:
+    """Segments of a band of sizes up to ``high``: with so many a set of any size in it has a seventh of its parts or more to spare."""
+    return 3 * high // 5 + 2
 
-    More segments leave fewer sets short of parts, which then send the empty ones too; fewer have longer parts, which
-    agree by chance less often.
-    """
-    need = 2 * high // 7 + 1
 
-    def cost(m: int) -> float:
-        full = m * (1 - (1 - 1 / m) ** high)
-        spread = math.sqrt(max(full * (1 - full / m), 1e-9)) + 0.3
-        short = 0.5 * math.erfc((full - need - 0.5) / spread / math.sqrt(2))
-        return short * 2 * m + need * math.exp(-high / m)
-
-    return min(range(need, 2 * high + 2, max(1, high // 100)), key=cost)
+def bands(size: np.ndarray) -> np.ndarray:
+    """Number of the band of each size of ``SMALL`` or more."""
+    return np.floor(np.log2(np.maximum(size, SMALL) / SMALL + 1e-12)).astype(int)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,63 +106,80 @@ def set_keys(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of[at], size, A.mix(total + A.mix(other + A.mix(size.astype(U))))
 
 
-def signatures(tokens: np.ndarray, of: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets (see above) and the number of the text of each."""
+def signatures(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Signatures of the sets (see above), the number of the text of each, whether it is of the next band, and what it is: ``PART``, ``DELETION`` or ``ALL``."""
     doc, size, _ = set_keys(tokens, of)
     if not len(doc):
-        return np.zeros(0, U), doc
+        return np.zeros(0, U), doc, np.zeros(0, np.int8), np.zeros(0, np.int8)
     begin = A.heads(of)
-    sigs, owner = [], []
+    sigs, owner, ups, kinds = [], [], [], []
     part = A.mix(tokens ^ STEP)
     for s, d, n in zip(begin[size <= SMALL].tolist(), doc[size <= SMALL].tolist(), size[size <= SMALL].tolist(), strict=True):
         if n > 2:  # smaller sets have no partners but their equals
             whole = part[s : s + n].sum(dtype=U)
             sigs.append(A.mix(np.append(whole - part[s : s + n], whole)))
             owner.append(np.full(n + 1, d))
-    is_frequent = np.isin(tokens, frequent, kind="sort") if len(frequent) else np.zeros(len(tokens), bool)
-    band = np.floor(np.log2(np.maximum(size, SMALL) / SMALL + 1e-12)).astype(int)
+            ups.append(np.zeros(n + 1, np.int8))
+            kinds.append(np.append(np.full(n, DELETION, np.int8), np.int8(ALL)))
+    band = bands(size)
     for up in (0, 1):
         low = SMALL * 2 ** (band + up)
         high = 2 * low - 1
-        partner = np.minimum(high, 4 * size // 3)
-        take = (size >= SMALL) & (partner >= low)
+        take = (size >= SMALL) & (np.minimum(high, 4 * size // 3) >= low)
         if not take.any():
             continue
-        bands, which = np.unique(high[take], return_inverse=True)
-        m = np.array([segment_count(int(x)) for x in bands])[which]
-        need = (size[take] + partner[take]) // 7 + 1
+        m = segment_count(high[take]).astype(U)
         which = np.repeat(take, size)
         set_no = np.repeat(np.arange(len(m)), size[take])
-        t = tokens[which]
-        fine = (2 * high[take] // 5 + 2).astype(U)[set_no]
-        segment = np.where(is_frequent[which], RARE + (t % m.astype(U)[set_no]).astype(np.int64), (t % fine).astype(np.int64))
-        key = (set_no << 32) | segment
+        key = (set_no << 32) | (tokens[which] % m[set_no]).astype(np.int64)
         order = np.argsort(key, kind="stable")
         key = key[order]
         at = A.heads(key)
         value, key = np.add.reduceat(part[which][order], at), key[at]
-        set_no, segment = key >> 32, key & 0xFFFFFFFF
-        first = np.searchsorted(set_no, np.arange(len(m)))
-        filled = np.diff(np.append(first, len(set_no)))
-        keep = np.arange(len(set_no)) - first[set_no] < need[set_no]
-        label = (low[take][set_no].astype(U) << U(32)) + segment.astype(U)
-        sigs.append(A.mix(value + A.mix(label))[keep])
-        owner.append(doc[take][set_no[keep]])
-        for i in np.flatnonzero(filled < need):
-            empty = np.setdiff1d(RARE + np.arange(m[i]), segment[first[i] : first[i] + filled[i]])
-            sigs.append(A.mix(A.mix((U(low[take][i]) << U(32)) + empty.astype(U))))
-            owner.append(np.full(len(empty), doc[take][i]))
-    return np.concatenate(sigs) if sigs else np.zeros(0, U), np.concatenate(owner) if owner else doc[:0]
-
-
-def _runs(sig: np.ndarray, own: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (signature, key) pairs with their own members, in order, and the start and length of each signature's run."""
-    order = np.lexsort((key, own, sig))
-    sig, own, key = sig[order], own[order], key[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))[: len(sig)]
-    sig, own, key = sig[new], own[new], key[new]
-    at = A.heads(sig)
-    return sig, own, key, at, np.diff(np.append(at, len(sig)))
+        set_no = key >> 32
+        label = (low[take][set_no].astype(U) << U(32)) + (key & 0xFFFFFFFF).astype(U)
+        sigs.append(A.mix(value + A.mix(label)))
+        owner.append(doc[take][set_no])
+        ups.append(np.full(len(set_no), up, np.int8))
+        kinds.append(np.full(len(set_no), PART, np.int8))
+    if not sigs:
+        return np.zeros(0, U), doc[:0], np.zeros(0, np.int8), np.zeros(0, np.int8)
+    return tuple(np.concatenate(x) for x in (sigs, owner, ups, kinds))
+
+
+def most_different(size: np.ndarray, up: int) -> np.ndarray:
+    """In how many members a set can differ from a partner of its own band, or of the next one."""
+    return (size + np.minimum(2 * SMALL * 2 ** (bands(size) + up) - 1, 4 * size // 3)) // 7
+
+
+def sketch_bits(size: int) -> int:
+    """Bits of a set's sketch: four for each member that the largest set of its band has."""
+    return max(6, (8 * SMALL << int(bands(np.array([size]))[0])).bit_length())
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """For each range of hashes whether it holds an odd number of the set's members."""
+    bits = sketch_bits(len(tokens))
+    odd = np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, that of the shortest, as rows of 64-bit words."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least), np.uint8)
+    for i, x in enumerate(sketches):
+        x = np.frombuffer(x, np.uint8)
+        if len(x) > least:
+            odd = np.unpackbits(x, bitorder="little").reshape(least * 8, -1).sum(1) & 1
+            x = np.packbits(odd.astype(np.uint8), bitorder="little")
+        out[i] = x
+    return out.view(np.uint64)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of members in which sets differ: ranges of which one has an odd and the other an even number."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
 def packed_set(tokens: np.ndarray) -> bytes:
@@ -185,21 +204,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
         for rows, data, offsets in A.slices(batches):
             tokens, of = shingle_sets(data, offsets, n)
             doc, size, key = set_keys(tokens, of)
-            sizes, keys = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, U)
+            at = np.append(A.heads(of), len(of))
+            sizes, keys, counts = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, U), [None] * rows.num_rows
             sizes[doc], keys[doc] = size, key
-            ids = rows.column("doc_id").to_numpy()
-            common, seen = np.unique(tokens, return_counts=True)
-            common, seen = common[seen >= FREQUENT], seen[seen >= FREQUENT]
-            kind = np.repeat(np.array([0, 1], np.int32), [len(ids), len(common)])
+            for i, d in enumerate(doc.tolist()):
+                counts[d] = parity(tokens[at[i] : at[i + 1]])
             yield pa.record_batch(
-                [pa.array(kind), pa.array(np.append(ids, common.astype(np.int64))), pa.array(np.append(sizes, seen)), pa.array(np.append(keys, np.zeros(len(common), U)).astype(np.int64))],
-                names=["kind", "id", "n", "key"],
+                [rows.column("doc_id"), pa.array(sizes), pa.array(keys.astype(np.int64)), pa.array(counts, pa.binary())], names=["doc_id", "n_shingles", "key", "counts"]
             )
 
-    found = A.stored(docs.mapInArrow(summarize, "kind int, id long, n long, key long"))
-    sets = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key")
-    frequent = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("seen")).orderBy(F.desc("seen"), "id").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r.id for r in frequent.select("id").collect()], np.int64).view(U))
+    found_sets = A.stored(docs.mapInArrow(summarize, "doc_id long, n_shingles long, key long, counts binary"))
+    sets = found_sets.drop("counts")
     classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,65 +224,118 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
             _, one = np.unique(key, return_index=True)
             mine = np.zeros(rows.num_rows, bool)
             mine[doc[one]] = True
-            tokens, of = tokens[mine[of]], of[mine[of]]
-            sig, owner = signatures(tokens, of, frequent)
-            keys, alone = np.zeros(rows.num_rows, U), np.zeros(rows.num_rows, np.int64)
-            keys[doc] = key
-            rare = ~np.isin(tokens, frequent, kind="sort") if len(frequent) else np.ones(len(tokens), bool)
-            alone[: int(of.max(initial=-1)) + 1] = np.bincount(of[rare], minlength=int(of.max(initial=-1)) + 1)
-            sig, own, key, at, length = _runs(sig, np.minimum(alone, 255).astype(np.uint8)[owner], keys[owner])
+            keys, sizes = np.zeros(rows.num_rows, U), np.zeros(rows.num_rows, np.int32)
+            keys[doc], sizes[doc] = key, size
+            sig, owner, up, kind = signatures(tokens[mine[of]], of[mine[of]])
             if not len(sig):
                 continue
-            many = np.repeat(length > 1, length)
-            pivot = np.repeat(key[at], length)
-            out = []
-            if many.any():
-                pair = np.unique(np.stack([pivot[many & (pivot != key)], key[many & (pivot != key)]]), axis=1)
-                out.append((int(sig[0] % U(buckets)), 1, A.pack(pair[0], pair[1], sig[many], key[many])))
+            # the slice's name comes from what is in it, in order
+            name = A.mix(np.add.reduce(A.mix(keys + np.arange(len(keys), dtype=U)), keepdims=True))[0]
+            # parts beyond those in which a partner can differ
+            spare = [(np.bincount(owner[(up == u) & (kind == PART)], minlength=len(keys)) - most_different(sizes.astype(np.int64), u)).astype(np.int32) for u in (0, 1)]
+            out = [(int(name % U(buckets)), ROW, A.pack(name[None], keys[mine], sizes[mine], np.flatnonzero(mine).astype(np.uint16), spare[0][mine], spare[1][mine]))]
+            order = np.lexsort((owner, sig))
+            sig, owner, up, kind = sig[order], owner[order].astype(np.uint16), up[order], kind[order]
+            at = A.heads(sig)
+            length = np.diff(np.append(at, len(sig)))
+            head = np.zeros(len(sig), bool)
+            head[at] = True
+            # members of a signature's group in this slice beside the first
+            flags = (up + 2 * kind).astype(np.uint8)
+            if not head.all():
+                out.append((int((name >> U(32)) % U(buckets)), MEMBER, A.pack(name[None], sig[~head], owner[~head], flags[~head])))
+            flags[at] += (MANY * (length > 1)).astype(np.uint8)
             bucket = ((sig[at] >> U(32)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            for b, (s, o, k) in A.by_bucket(bucket[order], (sig[at] & U(0xFFFFFFFF)).astype(np.uint32)[order], own[at][order], key[at][order]):
+            for b, (s, o, f) in A.by_bucket(bucket[order], (sig[at] & U(0xFFFFFFFF)).astype(np.uint32)[order], owner[at][order], flags[at][order]):
                 by = np.argsort(s, kind="stable")
-                out.append((b, 0, A.pack(s[by], o[by], k[by])))
+                odd = np.flatnonzero(f[by])  # most have no flag
+                out.append((b, ENTRIES, A.pack(name[None], s[by], o[by], odd.astype(np.uint32), f[by][odd])))
             cols = list(zip(*out, strict=True))
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["bucket", "kind", "payload"])
 
     def match(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a, b, kind, sig, own, key = [], [], [], [], [], []
+        """Members of signatures with two classes or more, and the rows that signatures name."""
+        out = []
 
-        def put(k: int, x: np.ndarray, y: np.ndarray) -> None:
-            kind.append(np.full(len(x), k, np.int32))
-            a.append(x.astype(np.int64))
-            b.append(y.astype(np.int64))
+        def put(kind: int, **columns: np.ndarray) -> None:
+            m = len(next(iter(columns.values())))
+            out.append([np.full(m, kind, np.int32)] + [columns.get(c, np.zeros(m, np.int64)) for c in ("sig", "slice", "row", "key", "n", "up", "spare")])
 
-        for k, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        sig, name, row, flag = [], [], [], []
+        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
             values = A.unpack(payload)
-            if k:
-                put(0, values[0], values[1])
-                put(1, _group((values[2] >> U(32)) % U(buckets), values[2]), values[3])
+            here = values[0].view(np.int64)
+            if kind == ROW:
+                for up in (0, 1):
+                    put(ROW, slice=np.repeat(here, len(values[1])), row=values[3], key=values[1].view(np.int64), n=values[2], up=np.full(len(values[1]), up), spare=values[4 + up])
+            elif kind == MEMBER:
+                full = _group((values[1] >> U(32)) % U(buckets), values[1])
+                put(MEMBER, sig=full, slice=np.repeat(here, len(full)), row=values[2], up=values[3])
             else:
-                sig.append(values[0].astype(U))
-                own.append(values[1])
-                key.append(values[2])
+                sig.append(values[1].astype(U))
+                name.append(np.repeat(here, len(values[1])))
+                row.append(values[2])
+                f = np.zeros(len(values[1]), np.uint8)
+                f[values[3]] = values[4]
+                flag.append(f)
         if sig:
-            s, _, k, at, length = _runs(np.concatenate(sig), np.concatenate(own), np.concatenate(key))
-            pivot = np.repeat(k[at], length)
-            pairs = np.unique(np.stack([pivot[pivot != k], k[pivot != k]]), axis=1)
-            put(0, pairs[0], pairs[1])
-            many = np.repeat(length > 1, length)
-            put(1, _group(np.full(int(many.sum()), bucket[0].as_py(), U), s[many]), k[many])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"kind": np.concatenate([*kind, empty.astype(np.int32)]), "a": np.concatenate([*a, empty]), "b": np.concatenate([*b, empty])})
-
-    found = A.stored(docs.mapInArrow(sign, ENTRY).groupBy("bucket").applyInArrow(match, "kind int, a long, b long"))
-    # pairs whose sizes allow a link, each with the number of signatures it shares
-    sized = classes.select("key", "n_shingles")
-    pairs = found.where("kind = 0").groupBy("a", "b").count()
-    pairs = pairs.join(sized.toDF("a", "size_a"), "a").join(sized.toDF("b", "size_b"), "b")
-    pairs = A.checkpointed(pairs.where(3 * F.greatest("size_a", "size_b") <= 4 * F.least("size_a", "size_b")).select("a", "b", "count"))
-
-    # the full sets of all classes in a group, once
-    involved = pairs.select("a").union(pairs.select("b")).union(found.where("kind = 1").select("b")).toDF("key").distinct()
+            sig, name, row, flag = (np.concatenate(x) for x in (sig, name, row, flag))
+            order = np.argsort(sig, kind="stable")
+            s = sig[order]
+            same = s[1:] == s[:-1]
+            shared = np.append(False, same) | np.append(same, False) | (flag[order] >= MANY)
+            keep = order[shared]
+            put(MEMBER, sig=_group(np.full(len(keep), bucket[0].as_py(), U), sig[keep]), slice=name[keep], row=row[keep], up=flag[keep] & (MANY - 1))
+        names = ["kind", "sig", "slice", "row", "key", "n", "up", "spare"]
+        types = [np.int32, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, np.int32]
+        return pa.table({c: np.concatenate([o[i] for o in out] or [np.zeros(0)]).astype(t) for i, (c, t) in enumerate(zip(names, types, strict=True))})
+
+    found = A.stored(docs.mapInArrow(sign, ENTRY).groupBy("bucket").applyInArrow(match, FOUND))
+    # flags of a member: the lowest bit for the next band, then what the signature is
+    member = found.where(F.col("kind") == MEMBER).select("sig", "slice", "row", F.col("up").bitwiseAND(1).alias("up"), F.shiftright("up", 1).alias("what"))
+    named = found.where(F.col("kind") == ROW).select("slice", "row", "up", "key", "n", "spare").distinct()
+    member = A.stored(member.join(named, ["slice", "row", "up"]).select("sig", "key", "up", "n", "spare", "what").distinct())
+    total = member.where(F.col("what") == PART).groupBy("sig").agg(F.count("*").alias("g"))
+
+    usual, less, whole = (member.where(F.col("what") == k) for k in (PART, DELETION, ALL))
+    near = lambda a, b: 3 * F.greatest(a, b) <= 4 * F.least(a, b)
+    # the whole of one small set is another's set without one member
+    pairs = whole.select("sig", F.col("key").alias("a")).join(less.select("sig", F.col("key").alias("b")), "sig").where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # groups of few classes: every pair
+    few = usual.join(total.where(F.col("g") <= COLD).select("sig"), "sig")
+    lists = few.groupBy("sig").agg(F.collect_set(F.struct("key", "n")).alias("m"))
+    cold = lists.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["key"] > F.col("x.key"))).alias("y"))
+    cold = cold.where(near(F.col("x.n"), F.col("y.n"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    pairs = A.stored(pairs.union(cold).distinct())
+    # groups of many: only of classes that cannot do without them
+    hot = A.stored(usual.join(total.where(F.col("g") > COLD).select("sig"), "sig").select("sig", "key", "up", "n", "spare"))
+    held = hot.groupBy("key", "up", "spare").agg(F.count("*").alias("held"))
+    needy = held.where("held >= spare").select("key", "up", "held")
+    group = A.stored(hot.join(needy, ["key", "up"]).select("sig", "key", "up", "n", "spare", "held"))
+    pivot = group.groupBy("sig").agg(F.max(F.struct("held", "key", "n")).alias("p")).select("sig", F.col("p.key").alias("a"), F.col("p.n").alias("size_a"))
+    spokes = group.select("sig", F.col("key").alias("b"), F.col("n").alias("size_b")).join(pivot, "sig").where("a <> b").where(near(F.col("size_a"), F.col("size_b")))
+    spokes = A.stored(spokes.groupBy("a", "b").count())
+
+    sketch = found_sets.where("n_shingles > 0").join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
+    sketch = A.stored(sketch.select("key", F.col("n_shingles").alias("n"), "counts"))
+
+    def maybe(pairs: DataFrame) -> DataFrame:
+        """Pairs whose histograms allow a link."""
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fits = [7 * int(distance(*folded([x, y]))) <= a + b for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_a", "n_b")), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+        sized = pairs.join(sketch.toDF("a", "n_a", "x"), "a").join(sketch.toDF("b", "n_b", "y"), "b")
+        return sized.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(close, "a long, b long")
+
+    hubs = A.stored(maybe(spokes.select("a", "b")).join(spokes, ["a", "b"]))
+    pairs = A.stored(maybe(pairs))
+    likely = pairs.union(hubs.select("a", "b"))
+    involved = likely.select("a").union(likely.select("b")).union(group.select("key")).toDF("key").distinct()
     texts = docs.join(involved.join(classes, "key").select("key", F.col("rep").alias("doc_id")), "doc_id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,29 +371,52 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
         return components(edges)
 
     # first each class with the pivot it shares most signatures with, then other pivots where that left them apart
-    both = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    links = A.checkpointed(linked(first))
+    first = hubs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    links = A.checkpointed(linked(pairs.union(first).distinct()))
 
     def labelled(links: DataFrame) -> DataFrame:
-        found = involved.join(classes, "key").join(grouped(links), F.col("rep") == F.col("node"), "left")
-        return A.checkpointed(found.select("key", F.coalesce("component", "rep").alias("component"), "n_shingles"))
-
-    label = labelled(links)
-    ends = label.select("key", "component")
-    apart = pairs.select("a", "b").join(ends.toDF("a", "left"), "a").join(ends.toDF("b", "right"), "b").where("left <> right")
-    apart = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = A.checkpointed(links.union(linked(apart)))
-    label = labelled(links)
-    # then, in groups that are not one component yet, every pair across components
-    member = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct().join(label, "key")
-    open_groups = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    member = A.stored(member.join(open_groups, "sig").select("sig", "key", "component", "n_shingles"))
-    left, right = member.toDF("sig", "a", "left", "size_a"), member.toDF("sig", "b", "right", "size_b")
-    across = (F.col("left") < F.col("right")) & (3 * F.greatest("size_a", "size_b") <= 4 * F.least("size_a", "size_b"))
-    more = left.join(right, "sig").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = links.union(linked(more.join(both(pairs), ["a", "b"], "left_anti")))
-    groups = grouped(A.checkpointed(more))
+        node = classes.join(group.select("key").distinct(), "key").join(grouped(links), F.col("rep") == F.col("node"), "left")
+        return A.stored(node.select("key", F.coalesce("component", "rep").alias("component")))
+
+    ends = labelled(links)
+    apart = hubs.select("a", "b").join(ends.toDF("a", "left"), "a").join(ends.toDF("b", "right"), "b").where("left <> right")
+    apart = A.stored(apart.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    if not apart.isEmpty():
+        links = A.checkpointed(links.union(linked(apart)))
+        ends = labelled(links)
+    # Then, in groups that are not one component yet, the pairs across components.  Two classes that are not in a small
+    # group together share at least ``spare`` of their signatures held here, so one of the rarest ``held - spare + 1``.
+    rarity = group.groupBy("sig").agg(F.count("*").alias("g"))
+    order = Window.partitionBy("key", "up").orderBy("g", "sig")
+    rarest = group.join(rarity, "sig").withColumn("place", F.row_number().over(order)).where("place <= held - spare + 1")
+    inside = rarest.select("sig", "key", "n").join(ends, "key")
+    open_groups = inside.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    inside = inside.join(open_groups, "sig").join(sketch.select("key", "counts"), "key")
+    # blocks of about BLOCK members, each met with each block of its group, itself included
+    blocks = rarest.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    inside = inside.join(blocks, "sig").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("sig", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key", "n", "component", "counts")
+
+    def compare(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Pairs of two blocks, or within one, that are in two components and whose sizes and sketches allow a link."""
+        key, size, component, mine = (table.column(c).to_numpy() for c in ("key", "n", "component", "mine"))
+        order = np.lexsort((key, size))
+        key, size, component, mine = key[order], size[order].astype(np.int64), component[order], mine[order]
+        bits = folded(table.column("counts").take(pa.array(order)).to_pylist())
+        two = group[1].as_py() != group[2].as_py()
+        out = [np.zeros((2, 0), np.int64)]
+        for i, end in enumerate(np.searchsorted(size, 4 * size // 3, side="right").tolist()):
+            j = i + 1 + np.flatnonzero((component[i + 1 : end] != component[i]) & ((mine[i + 1 : end] != mine[i]) | (not two)))
+            j = j[7 * distance(bits[j], bits[i]) <= size[j] + size[i]]
+            if len(j):
+                out.append(np.stack([np.minimum(key[j], key[i]), np.maximum(key[j], key[i])]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    more = met.groupBy("sig", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    more = A.stored(maybe(more.join(pairs, ["a", "b"], "left_anti")))
+    groups = grouped(links if more.isEmpty() else A.checkpointed(links.union(linked(more))))
     out = sets.join(classes.select("key", "rep"), "key", "left").join(groups, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("rep")).alias("class_id"))

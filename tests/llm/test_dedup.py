@@ -138,22 +138,67 @@ def test_jaccard_chains_and_borders(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_components(rows)
 
 
-def test_signatures_lose_no_pair():
-    """Any two sets that reach the threshold share a signature, frequent members or not."""
-    rng = np.random.default_rng(9)
-    for _ in range(400):
+@pytest.mark.parametrize("cold, block", [(6, 512), (2, 7)])
+def test_jaccard_in_large_groups(spark, monkeypatch, cold, block):
+    """Passages that many texts share beside own words, and near copies of one text around the threshold."""
+    monkeypatch.setattr(jaccard, "COLD", cold)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    passage, base, rows = [f"p{i}" for i in range(60)], [f"b{i}" for i in range(150)], []
+    for k in range(60):
+        own = [f"o{k}_{i}" for i in range(int(rng.integers(0, 120)))]
+        at = int(rng.integers(len(own) + 1))
+        rows.append([*own[:at], *passage, *own[at:]])
+    for k in range(70):
+        copy = base.copy()
+        for i in rng.choice(len(base), int(rng.integers(0, 9)), replace=False):
+            copy[i] = f"e{k}_{i}"
+        rows.append(copy[: int(rng.integers(135, 151))])
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = linked_components(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert len({c for _, _, c in want}) > 10
+
+
+def pairs_at_the_border(rng, rounds):
+    """Two sets that just reach the threshold, of all sizes."""
+    for _ in range(rounds):
         a = int(rng.integers(1, 120))
         x = rng.integers(0, 2**63, a).astype(np.uint64)
         b = int(rng.integers(a, 4 * a // 3 + 1))
         common = -(-3 * (a + b) // 7)
-        if common > a:
+        if common <= a:
+            yield np.sort(x), np.sort(np.append(x[:common], rng.integers(0, 2**63, b - common).astype(np.uint64)))
+
+
+def test_signatures_lose_no_pair():
+    """Of any two sets that reach the threshold, each shares all but as many parts as they can differ in members."""
+    for x, y in pairs_at_the_border(np.random.default_rng(9), 400):
+        sig, owner, up, kind = jaccard.signatures(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]))
+        mine, other = set(sig[owner == 0].tolist()), set(sig[owner == 1].tolist())
+        if len(x) == len(y) and (x == y).all():
+            continue
+        assert mine & other, (len(x), len(y))
+        if max(len(x), len(y)) <= jaccard.SMALL:
+            assert set(sig[(owner == 0) & (kind == jaccard.ALL)].tolist()) & set(sig[(owner == 1) & (kind == jaccard.DELETION)].tolist())
             continue
-        y = np.append(x[:common], rng.integers(0, 2**63, b - common).astype(np.uint64))
-        frequent = np.sort(rng.permutation(np.union1d(x, y))[: int(rng.integers(0, a + b - common + 1))])
-        tokens, of = np.concatenate([np.sort(x), np.sort(y)]), np.repeat([0, 1], [a, b])
-        sig, owner = jaccard.signatures(tokens, of, frequent)
-        equal = a == b and (np.sort(x) == np.sort(y)).all()
-        assert equal or set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist()), (a, b, common)
+        agree = False
+        for u in (0, 1):
+            for v in (0, 1):
+                p, q = (set(sig[(owner == w) & (up == k) & (kind == jaccard.PART)].tolist()) for w, k in ((0, u), (1, v)))
+                if p & q:
+                    agree |= len(p & q) >= len(p) - jaccard.most_different(np.array([len(x)]), u)[0] and len(p & q) >= len(q) - jaccard.most_different(np.array([len(y)]), v)[0]
+        assert agree, (len(x), len(y))
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(11)
+    for x, y in pairs_at_the_border(rng, 300):
+        found = int(jaccard.distance(*jaccard.folded([jaccard.parity(x), jaccard.parity(y)])))
+        assert found <= len(np.setxor1d(x, y))
+    x, y = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(0, 2**63, 320).astype(np.uint64)
+    assert 7 * int(jaccard.distance(*jaccard.folded([jaccard.parity(x * np.uint64(2)), jaccard.parity(y * np.uint64(2))]))) > 620
 
 
 def test_components(spark):
