@@ -36,6 +36,7 @@ HEADLINE = [
     "extract_certificate_education",
     "extract_certificate_competency",
     "extract_mixed",
+    "extract_one_pass",
     "prompt_render",
     "payload_repair",
     "corpus_results",
@@ -44,13 +45,21 @@ HEADLINE = [
     "log_tiers",
     "trace_hybrid",
 ]
+#: Queries that run jobs of their own before they return; for these the call counts too.
+EAGER = {"corpus_results"}
 RUNS = 3
 
 
-def timed(df) -> float:
+def timed(df, before: float = 0.0) -> float:
     start = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    return time.perf_counter() - start + before
+
+
+def timed_call(query, spark, sf_dir) -> float:
+    start = time.perf_counter()
+    df = query(spark, sf_dir)
+    return timed(df, time.perf_counter() - start)
 
 
 def main() -> None:
@@ -62,7 +71,8 @@ def main() -> None:
     for name in HEADLINE:
         df = queries[name](spark, sf_dir)
         timed(df)
-        seconds[name] = round(statistics.median(timed(df) for _ in range(RUNS)), 3)
+        runs = (timed_call(queries[name], spark, sf_dir) if name in EAGER else timed(df) for _ in range(RUNS))
+        seconds[name] = round(statistics.median(runs), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -34,77 +34,94 @@ def choose_text(
 ) -> DataFrame:
     """First accepted attempt in stage order, else the best non-blank one, earliest on ties (AGG9).
 
-    One shuffle on ``doc_id``; every aggregate is combined before it.  The attempts list holds the
-    stages tried up to the accepted one (AGG11), read from one slot per stage.
+    Two phases.  Attempts without their texts meet by ``doc_id`` and are ordered; then the one text that won is
+    fetched, so each text is shuffled once, only if it may win, and never sorted or held in an aggregate.  The attempts
+    list holds the stages tried up to the accepted one (AGG11).  Of repeated attempts of a stage the accepted one,
+    then the one with the highest confidence, stands for it.
     """
     order = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")).cast("int")
-    usable = F.col("error").isNull() & ~is_blank(F.col("text"))
-    tried = attempts.withColumns({"__ord": order, "__ok": is_accepted(min_confidence), "__usable": usable})
     # a stage that is not in the list, or digital text of a non-PDF, keeps its document but is no attempt
-    slot = F.when((F.col("__ord") > 0) & ~is_skipped(), F.col("__ord"))
-    tried = tried.withColumn("__ord", slot)
+    place = F.when((order > 0) & ~is_skipped(), order)
+    usable = F.col("error").isNull() & ~is_blank(F.col("text"))
+    tried = attempts.select(
+        "doc_id", place.alias("__ord"), is_accepted(min_confidence).alias("__ok"), F.coalesce(usable, F.lit(False)).alias("__usable"),
+        "stage", "confidence", "error", F.length("text").alias("__length"), F.xxhash64("text").alias("__text"),
+    )
+    failed = F.col("error").isNotNull()
     attempt = F.struct(
-        "stage",
-        F.when(F.col("error").isNull(), F.col("confidence")).alias("confidence"),
-        F.when(F.col("error").isNull(), F.length("text")).alias("text_length"),
-        F.when(F.col("error").isNull(), F.col("__ok")).alias("accepted"),
-        "error",
-    )
-    chosen = F.struct("stage", "confidence", "text")
-    picked = tried.groupBy("doc_id").agg(
-        F.min_by(chosen, F.when(F.col("__ok"), F.col("__ord"))).alias("__first"),
-        F.max_by(
-            chosen,
-            F.when(F.col("__usable") & F.col("__ord").isNotNull(), F.struct(F.col("confidence"), -F.col("__ord"))),
-        ).alias("__best"),
-        F.min(F.when(F.col("__ok"), F.col("__ord"))).alias("__stop"),
-        *[F.max(F.when(F.col("__ord") == i, attempt)).alias(f"__a{i}") for i in range(1, len(stages) + 1)],
-    )
-    best = F.coalesce("__first", "__best")
-    slots = [
-        F.when(F.coalesce(F.lit(i) <= F.col("__stop"), F.lit(True)), F.col(f"__a{i}"))
-        for i in range(1, len(stages) + 1)
-    ]
-    return picked.select(
-        "doc_id",
-        best["stage"].alias("stage"),
-        F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"),
-        F.coalesce(best["text"], F.lit("")).alias("text"),
-        F.col("__stop").isNotNull().alias("accepted"),
-        F.array_compact(F.array(*slots)).alias("attempts"),
-        F.when(best.isNull(), F.lit(NO_TEXT)).alias("error"),
-    )
+        F.col("__ord").alias("ord"), (~F.col("__ok")).alias("refused"), (-F.col("confidence")).alias("falling"), F.col("__text").alias("text"),
+        F.col("__usable").alias("usable"), "stage", F.when(~failed, F.col("confidence")).alias("confidence"),
+        F.when(~failed, F.col("__length")).alias("text_length"), F.when(~failed, F.col("__ok")).alias("accepted"), "error",
+    )
+    listed = tried.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("__ord").isNotNull(), attempt))).alias("__all"))
+    one = F.filter("__all", lambda x, i: (i == 0) | (x["ord"] != F.get(F.col("__all"), i - 1)["ord"]))
+    listed = listed.withColumn("__all", one)
+    first = F.get(F.filter("__all", lambda x: ~x["refused"]), 0)
+    usable_ones = F.filter("__all", lambda x: x["usable"])
+    by_confidence = F.transform(usable_ones, lambda x: F.struct(x["falling"].alias("falling"), x["ord"].alias("ord"), x.alias("it")))
+    best = F.get(F.array_sort(by_confidence), 0)["it"]
+    picked = listed.withColumns({"__first": first, "__win": F.coalesce(first, best)})
+    upto = F.filter("__all", lambda x: F.coalesce(x["ord"] <= F.col("__first")["ord"], F.lit(True)))
+    shown = F.transform(upto, lambda x: F.struct(*[x[c].alias(c) for c in ("stage", "confidence", "text_length", "accepted", "error")]))
+    picked = picked.select(
+        "doc_id", F.col("__win.ord").alias("__o"), F.col("__win.text").alias("__t"), F.col("__win.stage").alias("stage"),
+        F.col("__win.confidence").alias("confidence"), F.col("__first").isNotNull().alias("accepted"), shown.alias("attempts"),
+    )
+    return _with_text(picked, attempts.where(usable).select("doc_id", place.alias("__ord"), "text")).select(
+        "doc_id", "stage", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "text", "accepted", "attempts",
+        F.when(F.col("stage").isNull(), F.lit(NO_TEXT)).alias("error"),
+    )
+
+
+def _with_text(picked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of each document's winner ``__o`` with the hash ``__t``; empty where there is none.
+
+    The narrow side is hashed, so texts are not sorted; a winner that is repeated word for word counts once.
+    """
+    texts = texts.select(F.col("doc_id").alias("__d"), F.col("__ord").alias("__p"), "text")
+    same = (F.col("doc_id") == F.col("__d")) & (F.col("__o") == F.col("__p")) & (F.col("__t") == F.xxhash64("text"))
+    found = texts.join(picked.hint("shuffle_hash"), same, "right").drop("__d", "__p", "__o", "__t")
+    return found.withColumn("text", F.coalesce("text", F.lit(""))).distinct()
 
 
 def choose_two_stage(attempts: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Digital text of a PDF when good enough, else whatever OCR returned, even if worse (AGG10)."""
-    part = F.struct("confidence", "text", "error", is_accepted(min_confidence).alias("ok"))
-    is_digital = (F.col("stage") == DIGITAL) & F.coalesce(F.col("is_pdf"), F.lit(False))
-    sides = attempts.groupBy("doc_id").agg(
-        F.max(F.when(is_digital, part)).alias("d"),
-        F.max(F.when(F.col("stage") == OCR, part)).alias("o"),
-        F.bool_or("is_pdf").alias("is_pdf"),
-    )
-    use_digital = F.coalesce(F.col("d.ok"), F.lit(False))
+    """Digital text of a PDF when good enough, else whatever OCR returned, even if worse (AGG10).
+
+    The choice is made without the texts, as in ``choose_text``; of repeated attempts of a source the accepted one,
+    then the one with the highest confidence, stands for it.
+    """
+    source = F.when((F.col("stage") == DIGITAL) & F.coalesce(F.col("is_pdf"), F.lit(False)), 1).when(F.col("stage") == OCR, 2)
+    part = F.struct(
+        source.alias("ord"), (~is_accepted(min_confidence)).alias("refused"), (-F.col("confidence")).alias("falling"), "confidence", "error",
+        F.xxhash64("text").alias("text"), is_blank(F.col("text")).alias("blank"),
+    )
+    tried = attempts.select("doc_id", F.coalesce("is_pdf", F.lit(False)).alias("is_pdf"), F.when(source.isNotNull(), part).alias("part"))
+    listed = tried.groupBy("doc_id").agg(F.array_sort(F.collect_set("part")).alias("parts"), F.bool_or("is_pdf").alias("is_pdf"))
+    of = lambda k: F.get(F.filter("parts", lambda x: x["ord"] == k), 0)
+    sides = listed.withColumns({"d": of(1), "o": of(2)})
+    use_digital = F.coalesce(~F.col("d.refused"), F.lit(False))
     failed = ~use_digital & (F.col("o.error").isNotNull() | F.col("o").isNull())
-    text = F.when(use_digital, F.col("d.text")).when(~failed, F.col("o.text"))
     seen = F.coalesce(F.when(F.col("d.error").isNull(), F.col("d.confidence")), F.lit(0.0))
     too_low = F.format_string(
         "confidence (%s) < threshold (%s)", seen.cast("string"), F.lit(min_confidence).cast("string")
     )
-    return sides.select(
+    it = F.when(use_digital, F.col("d")).when(~failed, F.col("o"))
+    picked = sides.select(
         "doc_id",
+        it["ord"].alias("__o"),
+        it["text"].alias("__t"),
         F.when(use_digital, F.lit(DIGITAL)).when(~failed, F.lit(OCR)).alias("stage"),
-        F.when(use_digital, F.col("d.confidence")).when(~failed, F.col("o.confidence")).alias("confidence"),
-        F.coalesce(text, F.lit("")).alias("text"),
+        it["confidence"].alias("confidence"),
         F.when(
             ~use_digital,
             F.when(F.col("is_pdf"), too_low).otherwise(F.lit("file is not digital pdf")),
         ).alias("fallback_reason"),
         F.when(failed, F.concat(F.lit("OCR extraction failed: "), F.coalesce("o.error", F.lit("no result"))))
-        .when(is_blank(text), F.lit(NO_TEXT_TWO_STAGE))
+        .when(F.coalesce(it["blank"], F.lit(True)), F.lit(NO_TEXT_TWO_STAGE))
         .alias("error"),
     )
+    texts = attempts.select("doc_id", source.alias("__ord"), "text").where("__ord is not null and text is not null")
+    return _with_text(picked, texts).select("doc_id", "stage", "confidence", "text", "fallback_reason", "error")
 
 
 def unresolved(documents: DataFrame, attempts: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -25,18 +25,23 @@ def _per(rate: str, shift: str) -> Column:
 
 
 def price_events(
-    events: DataFrame, model_rates: DataFrame, unit_rates: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    events: DataFrame, model_rates: DataFrame, unit_rates: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    version: str | None = None,
 ) -> DataFrame:
-    """Cost or unpriced reason of every usage event (CST1-CST4): one row in, one row out."""
+    """Cost or unpriced reason of every usage event (CST1-CST4): one row in, one row out.
+
+    ``version`` names a column of events and rates alike that tells several price lists apart.
+    """
+    listed = [version] if version else []
     models = small_side(
         model_rates.select(
             F.col("service").alias("__ms"), F.col("model").alias("__mm"), "min_exclusive", "max_input_tokens",
-            "input_rate", "output_rate", "cached_rate",
+            "input_rate", "output_rate", "cached_rate", *[F.col(v).alias("__mv") for v in listed],
         ),
         max_broadcast_rows,
     )
     units = small_side(
-        unit_rates.select(F.col("service").alias("__us"), F.col("feature").alias("__uf"), "rate_per_thousand"),
+        unit_rates.select(F.col("service").alias("__us"), F.col("feature").alias("__uf"), "rate_per_thousand", *[F.col(v).alias("__uv") for v in listed]),
         max_broadcast_rows,
     )
     tokens = F.col("input_tokens")
@@ -44,9 +49,11 @@ def price_events(
         F.col("max_input_tokens").isNull() | (tokens <= F.col("max_input_tokens"))
     )
     is_model = F.col("kind") == MODEL_CALL
-    joined = events.join(
-        models, is_model & (F.col("service") == F.col("__ms")) & (F.col("model") == F.col("__mm")) & in_tier, "left"
-    ).join(units, ~is_model & (F.col("service") == F.col("__us")) & (F.col("feature") == F.col("__uf")), "left")
+    of_model = is_model & (F.col("service") == F.col("__ms")) & (F.col("model") == F.col("__mm")) & in_tier
+    of_unit = ~is_model & (F.col("service") == F.col("__us")) & (F.col("feature") == F.col("__uf"))
+    for v in listed:
+        of_model, of_unit = of_model & (F.col(v) == F.col("__mv")), of_unit & (F.col(v) == F.col("__uv"))
+    joined = events.join(models, of_model, "left").join(units, of_unit, "left")
 
     cached = F.coalesce(F.col("cached_input_tokens"), F.lit(0))
     unknown = F.when(

@@ -67,11 +67,15 @@ def extract_mixed(df: DataFrame, text_col: str = "text", as_of: Column | None =
     )
 
 
-def extract_routed(df: DataFrame, text_col: str = "text", as_of: Column | None = None) -> DataFrame:
+def extract_routed(
+    df: DataFrame, text_col: str = "text", as_of: Column | None = None, present: set[str] | None = None
+) -> DataFrame:
     """The rows of ``extract_mixed``, each type on its own rows and rules only (EX12).
 
-    For tables, best partitioned by ``document_type``: each branch reads its own partitions, and its plan holds
-    the rules of one type.  Use ``extract_mixed`` for streams and for inputs that are costly to compute again.
+    For tables partitioned by ``document_type``: each branch reads its own partitions, so all of them read the table
+    once, and its plan holds the rules of one type.  A table that is not partitioned so is read once for each type
+    and once for the rows of no type.  ``present`` names the types that the table holds, where that is known; rules of
+    others are not planned.  Use ``extract_mixed`` for streams and for inputs that are costly to compute again.
     """
     kept = df.columns
     blank = is_blank(F.col(text_col))
@@ -83,6 +87,8 @@ def extract_routed(df: DataFrame, text_col: str = "text", as_of: Column | None =
     mine = F.coalesce(F.col("document_type").isin(*[s.slug for s in parsed]), F.lit(False)) & ~blank
     out = df.filter(~mine).select(*kept, no_record.alias("data"), error.alias("error"))
     for spec in parsed:
+        if present is not None and spec.slug not in present:
+            continue
         rows = df.filter((F.col("document_type") == spec.slug) & ~blank)
         found = extract(rows, spec, text_col, "__record", as_of)
         out = out.unionByName(found.select(*kept, F.to_json("__record", _KEEP_NULLS).alias("data"), no_record.alias("error")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators.cascade import DIGITAL, MIN_CONFIDENCE, PIPELINE, choose_text, unresolved
 from docmill.operators.cost import price_events, summarize_requests
-from docmill.operators.dispatch import extract_mixed, payloads_mixed
+from docmill.operators.dispatch import extract_mixed, extract_routed, payloads_mixed
 from docmill.operators.gates import MAX_BATCH_FILES, gate_batches, gate_files
 from docmill.operators.results import with_status
 from docmill.plans.registry import document_types
@@ -63,6 +63,18 @@ def stage_tables(spark: SparkSession, run: str, fallback_root: str | None = None
     return save
 
 
+def typed_tables(spark: SparkSession, run: str, fallback_root: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """A ``save`` for ``extract_corpus``: a parquet table by document type in the shared folder."""
+    base = f"{shared_root(spark, fallback_root)}/{run}"
+
+    def save(rows: DataFrame, stage: str) -> DataFrame:
+        rows.write.mode("overwrite").partitionBy("document_type").parquet(f"{base}/{stage}")
+        back = spark.read.schema(rows.schema).parquet(f"{base}/{stage}")
+        return back.select(*rows.columns)
+
+    return save
+
+
 def run_stages(
     documents: DataFrame, stages: Sequence[str], save: Callable[[DataFrame, str], DataFrame],
     min_confidence: float = MIN_CONFIDENCE,
@@ -94,23 +106,35 @@ def extract_corpus(
     mode: str = "string",
     as_of: Column | None = None,
     max_files: int = MAX_BATCH_FILES,
+    save: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Gates, choice of text, extraction, cost: one result row per manifest row.
 
     ``manifest`` carries doc_id and request_id, and batch_id where files come in batches.  Rows stopped
-    by a gate, by the batch limit or by an invalid price list skip the costly part.
+    by a gate, by the batch limit or by an invalid price list skip the costly part: their attempts are left out before
+    texts are chosen.  Costs meet the narrow manifest, and texts end with extraction.
+
+    With ``save`` (see ``typed_tables``) the chosen texts are kept as a table by document type, and only the rules of the
+    types that are there are planned, each on its own part; without it all rules run in one pass over the rows.
     """
     valid = rate_violations(model_rates).isEmpty() and unit_violations(unit_rates).isEmpty()
     gated = gate_files(manifest, document_types(manifest.sparkSession), valid_pricing=valid)
     if "batch_id" in manifest.columns:
         gated = gate_batches(gated, max_files)
-    chosen = choose_text(attempts, pipeline, min_confidence).withColumnRenamed("error", "text_error")
-    passed = gated.filter(F.col("status_code").isNull()).join(chosen, "doc_id", "left")
-    analysed = ANALYZERS[mode](passed, as_of=as_of).withColumnRenamed("error", "analysis_error")
+    cost = summarize_requests(price_events(events, model_rates, unit_rates), manifest.select("request_id").distinct(), price_date)
+    gated = gated.join(cost, "request_id", "left")
+    passed = gated.filter(F.col("status_code").isNull())
+    chosen = choose_text(attempts.join(passed.select("doc_id"), "doc_id", "left_semi"), pipeline, min_confidence)
+    passed = passed.join(chosen.withColumnRenamed("error", "text_error"), "doc_id", "left")
+    if save and mode == "string":
+        passed = save(passed, "chosen")
+        present = {r[0] for r in passed.select("document_type").distinct().collect()}  # the gates let registered types through only
+        analysed = extract_routed(passed, as_of=as_of, present=present)
+    else:
+        analysed = ANALYZERS[mode](passed, as_of=as_of)
+    analysed = analysed.withColumnRenamed("error", "analysis_error").drop("text")
     done = analysed.withColumn(
         "error", F.coalesce("text_error", "analysis_error", F.when(F.col("attempts").isNull(), F.lit("No attempts")))
     )
     stopped = gated.filter(F.col("status_code").isNotNull()).withColumn("error", F.col("detail"))
-    rows = with_status(done.unionByName(stopped, allowMissingColumns=True))
-    priced = price_events(events, model_rates, unit_rates)
-    return rows.join(summarize_requests(priced, manifest, price_date), "request_id", "left")
+    return with_status(done.unionByName(stopped, allowMissingColumns=True))

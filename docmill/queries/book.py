@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.queries import common, corpus, costs, masking, pages, records, service  # noqa: F401
+from docmill.queries import common, corpus, costs, masking, pages, records, service, tries  # noqa: F401
 
 
 def queries() -> dict[str, common.Query]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from docmill.operators.cost import plain_decimal
-from docmill.plans.jobs import extract_corpus
+from docmill.plans.jobs import extract_corpus, typed_tables
 from docmill.queries.common import code, query
 from docmill.queries.costs import _EVENTS_SQL, PRICE_DATE, decimal_sql, prices, usage_events
 from docmill.queries.records import AS_OF, mixed_texts
@@ -56,7 +59,7 @@ def corpus_results(spark, sf_dir):
     book = prices(spark)
     rows = extract_corpus(
         manifest, attempts, usage_events(spark, sf_dir), model_rates(book), unit_rates(book), PRICE_DATE,
-        as_of=F.lit(AS_OF),
+        as_of=F.lit(AS_OF), save=typed_tables(spark, f"corpus-results-{uuid.uuid4().hex}", tempfile.gettempdir()),
     )
     names = ["holder_name", "business_name", "account_holder", "holder_full_name"]
     ok = F.col("success")

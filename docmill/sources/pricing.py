@@ -63,8 +63,8 @@ def _bad(*texts: Column) -> Column:
     return out
 
 
-def model_rates(prices: DataFrame) -> DataFrame:
-    """One row per (service, model) and token range.
+def model_rates(prices: DataFrame, dated: bool = False) -> DataFrame:
+    """One row per (service, model) and token range; with ``dated`` also per price list, by its ``effective_date``.
 
     A flat rate has an open range.  The first tier is open below, a tier ends at its own limit, and
     nothing lies above the last one.
@@ -76,11 +76,13 @@ def model_rates(prices: DataFrame) -> DataFrame:
             *[F.col(f"rate.{p}_usd_per_million_tokens") for p in ("input", "output", "cached_input")],
         )
     )
+    by = ["effective_date"] if dated else []
     steps = rates.select(
-        "service", "model", F.posexplode(F.coalesce("rate.tiers", flat)).alias("tier", "r")
+        *by, "service", "model", F.posexplode(F.coalesce("rate.tiers", flat)).alias("tier", "r")
     )
-    below = Window.partitionBy("service", "model").orderBy("tier")
+    below = Window.partitionBy(*by, "service", "model").orderBy("tier")
     return steps.select(
+        *by,
         "service",
         "model",
         "tier",
@@ -91,10 +93,10 @@ def model_rates(prices: DataFrame) -> DataFrame:
     )
 
 
-def unit_rates(prices: DataFrame) -> DataFrame:
+def unit_rates(prices: DataFrame, dated: bool = False) -> DataFrame:
     text = F.col("rate.usd_per_thousand_units")
     return _per_key(prices, "ocr_rates", "feature").select(
-        "service", "feature", _money(text).alias("rate_per_thousand"), _bad(text).alias("invalid")
+        *(["effective_date"] if dated else []), "service", "feature", _money(text).alias("rate_per_thousand"), _bad(text).alias("invalid")
     )
 
 
