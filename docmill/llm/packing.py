@@ -187,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
 
     def packed(base: int, last: bool):
         def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("length", "ascending")])
             bins = Bins(table.column("length").to_pylist(), capacity)
             bins.best_fit()
             bins.improve()
@@ -211,7 +211,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
         left = rest.count()
         groups = max(1, math.ceil(left / group))
         last = groups == 1 or (before is not None and left > 0.9 * before)
-        key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("group")
+        # ids may be missing or repeated, texts too: rows that agree in all are dealt out by their place in the checkpoint
+        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias("group")
         out = rest.groupBy(key).applyInArrow(packed(base, last), schema)
         placed.append(out)
         if last:

@@ -237,3 +237,13 @@ def test_every_training_id_is_fitted_whatever_the_tasks(documents, monkeypatch):
     for _, n, payload in seen[0][0]:
         got.update(np.frombuffer(payload, np.uint16)[1 + n :].tolist())
     assert got == want and {i: int(seen[0][1][i]) for i in got} == want
+
+
+def test_packing_without_ids(spark):
+    """Rows that agree in id and text do not meet in one group."""
+    docs = spark.createDataFrame([(None, f"text {i % 3}") for i in range(600)], "doc_id long, text string")
+    pieces = packing.tokenized_pieces(docs, 64)
+    packed = packing.pack(pieces, 64, 40)
+    assert check_packing(packed.collect(), 64) <= 1.2 * pieces.agg(F.sum("length")).first()[0] / 64
+    groups = packed.withColumn("group", F.shiftright("sequence_id", 24)).groupBy("group").count()
+    assert groups.agg(F.max("count")).first()[0] < 120
