@@ -147,3 +147,29 @@ def test_layout_classes_do_not_drop_the_article():
     assert text(f'<body><main>{"<p>long</p>" * 20}{comment}</main>') == ["long"] * 20
     # name and role still count around an article
     assert H.page_lines(f'<body><aside>{article}</aside><div role="dialog">{article}</div><p>x</p>') == (["x"], [False])
+
+
+def test_tags_like_a_pattern_would_find_them():
+    """The scanner finds the tags of a plain pattern, on quotes of all kinds, and stays linear on quotes that never close."""
+    import re
+    import time
+
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><\"']*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+    rng = random.Random(4)
+    for _ in range(4000):
+        page = "".join(rng.choice(["<a ", "<b", "</p", ">", "'", '"', "x", " ", "<!--", "-->", "<!d", "<", "/>", "=", "<1"]) for _ in range(rng.randrange(25)))
+        want, at = [], 0
+        while m := tag.search(page, at):
+            want.append((m.start(), m.end(), bool(m[1]), (m[2] or "").lower(), m[3] or ""))
+            at = m.end()
+        found, at, dead = [], 0, set()
+        while t := H.next_tag(page, at, dead):
+            found.append(tuple(t))
+            at = t.end
+        assert found == want, page
+    begin = time.process_time()
+    for piece in ("<a '", "<a", "<!", '<a "', "<a '>\""):
+        page, at, dead = piece * (1_000_001 // len(piece)), 0, set()
+        while t := H.next_tag(page, at, dead):
+            at = t.end
+    assert time.process_time() - begin < 5
