@@ -89,6 +89,19 @@ def test_stages_on_empty_tables(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() == 0
 
 
+def test_stages_with_clashing_columns(spark, sf_dir):
+    """The user's columns come through unchanged, also those named like the stages' own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    own = plain.selectExpr("*", *(f"concat(doc_id, '{c}') as {c}" for c in ("_row", "_sha", "_kept_id", "_kept_sha", "key", "score", "__3")), "'x' as doc_ID")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found, want = stage(spark, own, sf_dir), stage(spark, plain, sf_dir)
+        assert found.columns == own.columns
+        rows = [tuple(r) for r in found.collect()]
+        assert Counter(r[0] for r in rows) == Counter(r.doc_id for r in want.collect())
+        assert all(r[5:] == (*(f"{r[0]}{c}" for c in ("_row", "_sha", "_kept_id", "_kept_sha", "key", "score", "__3")), "x") for r in rows)
+
+
 def test_rows_without_id_stay(spark, sf_dir):
     """A clean text without an id stays; one that is equal or near to another, or leaked, goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(0)
