@@ -1,16 +1,34 @@
 """The corpus pipeline: documents to packed sequences, stage by stage.
 
 Each stage takes and returns a table with the columns of ``documents``; the last one returns the packing.  Stages
-only drop rows, and each works on all rows that the one before it kept.
+only drop rows, and each works on all rows that the one before it kept.  Other columns pass through, whatever their
+names; null texts are empty ones, and null or repeated ids are kept apart by their texts.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import arrays, decontaminate, exact, jaccard, language, packing
 
+#: Columns that stages use.
+OWN = ("doc_id", "text", "lang", "source")
+
+
+def _apart(stage):
+    """The stage with all columns but its own under other names, so that none of the user's clashes with a working column."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        inner = [c if c in OWN and c not in names[:i] else f"__{i}" for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*inner), sf_dir).toDF(*names)
+
+    return run
+
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The rows with a column ``_row``: their id, or for rows without one a number above the ids by a hash of the text."""
@@ -18,11 +36,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), other))
 
 
+@_apart
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie too far from all languages, or hold no letter, go."""
     return language.accepted(docs, language.fit(docs))
 
 
+@_apart
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays; of equal texts without any id one row stays."""
     kept = exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
@@ -34,6 +54,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, same, "left_semi").unionByName(without)
 
 
+@_apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shared shingles the one with the smallest id stays; rows without an id come last."""
     rows = _numbered(docs)
@@ -42,6 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
+@_apart
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a leaked benchmark item go, with or without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -53,7 +75,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document's pieces in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, 4096)
+    return packing.pack_documents(docs.select("doc_id", "text"), 4096)
 
 
 STAGES = [
