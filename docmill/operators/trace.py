@@ -10,18 +10,23 @@ HYBRID, STRING = "hybrid_engine", "string_engine"
 
 
 def _stage(n: int, name: str, ok: Column, details: Column) -> Column:
+    """A stage with its details as JSON text."""
     return F.struct(
         F.lit(n).alias("stage"),
         F.lit(name).alias("name"),
         F.when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-        F.to_json(details).alias("details"),
+        details.alias("details"),
     )
 
 
-def _with_null_stage(stage: Column) -> Column:
-    """The cascade stage prints its selected stage even when there is none."""
-    head = r'^(\{"pipeline":\[[^\]]*\],"min_confidence_threshold":[^,]*,)(?="selected_confidence")'
-    return stage.withField("details", F.regexp_replace(stage["details"], head, '$1"selected_stage":null,'))
+def _json(*members: Column | str) -> Column:
+    return F.to_json(F.struct(*members))
+
+
+def _one_object(*parts: Column) -> Column:
+    """The members of several JSON objects as one object."""
+    members = F.filter(F.array(*[F.substring(p, F.lit(2), F.length(p) - 2) for p in parts]), lambda m: m != "")
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
 
 def _trace(engine: str, stages: list[Column]) -> Column:
@@ -29,7 +34,7 @@ def _trace(engine: str, stages: list[Column]) -> Column:
 
 
 def _empty_file(n: Column) -> Column:
-    details = F.struct(F.lit("Empty file provided for extraction").alias("error"))
+    details = F.to_json(F.struct(F.lit("Empty file provided for extraction").alias("error")))
     return F.when(n == 0, _stage(1, "file_check", F.lit(False), details))
 
 
@@ -41,19 +46,15 @@ def hybrid_trace(df: DataFrame, pipeline: list[str], min_confidence: float, mode
     """
     size = F.col("size_bytes") if "size_bytes" in df.columns else F.lit(1)
     picked = F.col("stage").isNotNull()
-    cascade = _stage(
-        1, "extraction_pipeline", picked,
-        F.struct(
-            F.array(*[F.lit(p) for p in pipeline]).alias("pipeline"),
-            F.lit(min_confidence).alias("min_confidence_threshold"),
-            F.col("stage").alias("selected_stage"),
-            F.col("confidence").alias("selected_confidence"),
-            F.col("text").alias("extracted_text"),
-            F.col("attempts"),
-        ),
-    )
+    # the selected stage is printed even when there is none; other members that are null are left out
+    details = _one_object(
+        F.to_json(F.struct(F.array(*[F.lit(p) for p in pipeline]).alias("pipeline"), F.lit(min_confidence).alias("min_confidence_threshold"))),
+        F.to_json(F.struct(F.col("stage").alias("selected_stage")), {"ignoreNullFields": "false"}),
+        F.to_json(F.struct(F.col("confidence").alias("selected_confidence"), F.col("text").alias("extracted_text"), F.col("attempts"))),
+    )
+    cascade = _stage(1, "extraction_pipeline", picked, details)
     analysis = _analysis("text_analysis", F.lit(mode))
-    stages = [_empty_file(size), F.when(size != 0, _with_null_stage(cascade)), F.when((size != 0) & picked, analysis)]
+    stages = [_empty_file(size), F.when(size != 0, cascade), F.when((size != 0) & picked, analysis)]
     return df.withColumn("trace", _trace(HYBRID, stages))
 
 
@@ -61,7 +62,7 @@ def _analysis(name: str, mode: Column | None = None) -> Column:
     ok = F.col("analysis_error").isNull()
     return _stage(
         2, name, ok,
-        F.struct(
+        _json(
             *([mode.alias("analysis_mode")] if mode is not None else []),
             F.when(ok, F.col("document_type")).alias("document_slug"),
             F.when(ok, F.json_object_keys("data")).alias("extracted_fields"),
@@ -76,11 +77,11 @@ def string_trace(df: DataFrame) -> DataFrame:
     size = F.col("size_bytes") if "size_bytes" in df.columns else F.lit(1)
     fallback_failed = F.col("stage").isNull()
     fallback = _stage(
-        1, "ocr_fallback", F.lit(False), F.struct(F.col("error").alias("error"), F.col("fallback_reason"))
+        1, "ocr_fallback", F.lit(False), _json(F.col("error").alias("error"), F.col("fallback_reason"))
     )
     found = _stage(
         1, "text_extraction", F.col("text") != "",
-        F.struct(
+        _json(
             F.col("stage").alias("stage_used"), "confidence", F.length("text").alias("text_length"),
             F.col("text").alias("extracted_text"),
         ),
