@@ -228,8 +228,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: like a checkpoint, but columnar and compressed."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in parts by ``by``, and read it back: like a checkpoint, but columnar and compressed."""
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

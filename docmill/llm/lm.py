@@ -7,9 +7,9 @@ training texts.  Both parts are normalised, so the score is the log10 probabilit
 
 Fitting uses every id of every training text, in the windows that scoring would cut.  Windows are dealt by hash to
 rounds and, within a round, to shards of about ``SHARD`` windows.  In a round every shard starts from the same
-parameters and takes its own Adam steps in some task; their mean, weighted by windows, starts the next round.  Small
-inputs get further passes until ``VISITS`` windows were seen or ``PASSES`` passes made.  The number of shards follows
-from the number of windows alone, so the model does not depend on how many tasks read or fit.
+parameters and takes its own Adam steps in some task; their mean, weighted by windows, starts the next round.  Every
+window is seen ``PASSES`` times, however many there are, and windows are stored by round, so a round reads its own.
+The number of shards follows from the number of windows alone, so the model does not depend on how many tasks read or fit.
 
 Scoring cuts a text into windows that overlap: the first window scores all its ids, each later one those after the
 overlap, so every id is scored once, with at least the overlap as context.  Windows of many texts make one batch.
@@ -39,7 +39,7 @@ from docmill.llm.packing import token_ids, word_ids
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 IDS, START, END = 49_408, 49_406, 49_407
 ROUNDS, SHARD = 8, 4096
-PASSES, VISITS = 3, 60_000
+PASSES = 1
 #: Parts of the parameters that are averaged on their own.
 PARTS = 16
 FREQUENT = 1 << 19
@@ -264,17 +264,15 @@ def fitted(windows: DataFrame, counts: np.ndarray) -> Attention:
     model, n = Attention(), windows.count()
     if not n:
         return model
-    more = min(1.0, max(0.0, (VISITS / n - 1) / (PASSES - 1)))  # share of the windows that a further pass takes
-    visits = n * (1 + more * (PASSES - 1))
+    visits = n * PASSES
     rounds = int(min(ROUNDS, max(1, visits // 256)))
     shards = max(1, round(visits / (rounds * SHARD)))
-    every = windows.withColumn("visit", F.explode(F.array(*map(F.lit, range(PASSES if more else 1)))))
-    every = every.withColumn("rank", F.xxhash64("key", "visit"))
-    every = every.where((F.col("visit") == 0) | (F.pmod(F.xxhash64("rank", F.lit(1)), F.lit(1 << 30)) < int(more * (1 << 30))))
+    every = windows.withColumn("visit", F.explode(F.array(*map(F.lit, range(PASSES))))).withColumn("rank", F.xxhash64("key", "visit"))
     every = every.withColumn("shard", F.pmod(F.xxhash64("rank", F.lit(2)), F.lit(shards)))
+    every = A.stored(every.withColumn("round", F.pmod(F.xxhash64("rank", F.lit(3)), F.lit(rounds)).cast("int")).drop("key", "visit"), "round")
     for k in range(rounds):
         state = context.broadcast((model.p, counts))
-        now = every.where(F.pmod(F.xxhash64("rank", F.lit(3)), F.lit(rounds)) == k).select("shard", "rank", "n", "payload")
+        now = every.where(F.col("round") == k).select("shard", "rank", "n", "payload")
         found = now.groupBy("shard").applyInArrow(_trainer(state, k, rounds), "part int, shard long, n long, payload binary")
         mean = {r.part: np.frombuffer(r.payload, np.float32) for r in found.groupBy("part").applyInArrow(_mean, "part int, payload binary").collect()}
         if mean:

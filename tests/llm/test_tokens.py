@@ -221,7 +221,6 @@ def test_every_training_id_is_fitted_whatever_the_tasks(documents, monkeypatch):
         return fitted(windows, counts)
 
     monkeypatch.setattr(lm, "fitted", watched)
-    monkeypatch.setattr(lm, "VISITS", 1)
     monkeypatch.setattr(lm, "SHARD", 150)
     scores = []
     for parts in (1, 7):
