@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
+#: A task of costly per-row work has about so many rows.
+ROWS_PER_TASK = 250_000
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -19,11 +21,35 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan all cores before costly per-row work.
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """A scan for costly per-row work: on all cores, and in tasks that stay as small however large the table is.
 
-    A file with few row groups is read by few tasks.  Only a scan with fewer partitions than cores is
-    redistributed; a large table has more partitions than cores and is left alone, without a shuffle.
+    A file is cut by bytes but read by row groups, so its number of partitions says little about the rows in them; they
+    are counted per partition, which reads no column.  A scan that already has enough partitions, none of them too
+    large, is left alone, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("__partition")).count().collect()]
+    tasks = max(cores, -(-sum(held) // rows_per_task))
+    if len(held) >= cores and max(held) <= rows_per_task:
+        return df
+    return df.repartition(tasks)
+
+
+def key_tasks(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """Into how many tasks rows that meet by key are dealt: the session's number, more where tasks would get too large.
+
+    For tables that are cheap to count.  Streams keep the session's number.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return usual if df.isStreaming else max(usual, -(-df.count() // rows_per_task))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over ``tasks`` tasks; joins and groups by just those keys keep to it.
+
+    The session's own number is left to Spark, which may also merge small tasks.
+    """
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *keys)
