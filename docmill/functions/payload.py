@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.functions.text import blank_to_null, strip
+from docmill.functions.text import blank_to_null, let, strip
 
 _FENCE_LINE = r"(?m)^[^\S\n]*```[^\n]*(?:\n|\z)"
 
@@ -20,9 +20,12 @@ def json_object(c: Column) -> Column:
     """
     braced = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone & braced.isNotNull() & F.schema_of_variant(first).startswith("OBJECT"), first)
+
+    def sole(w):
+        alone = F.try_variant_get(w, "$[1]", "variant").isNull()
+        return F.when(alone & braced.isNotNull(), F.try_variant_get(w, "$[0]", "variant"))
+
+    return F.when(F.rlike(c, F.lit(r"^[ \t\n\r]*\{")), let(wrapped, sole))
 
 
 def fenced_text(c: Column) -> Column:
@@ -39,8 +42,11 @@ def braced_text(c: Column) -> Column:
 
 def repair_object(c: Column) -> Column:
     """Direct parse, then fenced text, then braced text; null when none is an object."""
-    text = blank_to_null(strip(c))
-    return F.coalesce(json_object(text), json_object(fenced_text(text)), json_object(braced_text(text)))
+
+    def first(text):
+        return F.coalesce(json_object(text), let(fenced_text(text), json_object), let(braced_text(text), json_object))
+
+    return let(blank_to_null(strip(c)), first)
 
 
 def as_text(v: Column, name: str) -> Column:

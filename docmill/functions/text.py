@@ -46,6 +46,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def let(c: Column, use) -> Column:
+    """``use`` of a value that it reads more than once; computed once, also where a filter takes the expression in."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

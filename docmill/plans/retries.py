@@ -26,24 +26,23 @@ def ask(prompts: DataFrame, call: Call, save: Save, tries: int = TRIES) -> tuple
     """Answers and usage rows of prompt rows with request_id, system_prompt, user_prompt and response_schema.
 
     ``call`` adds ``CALL_COLUMNS`` to request rows; it may be costly, so its rows are kept as a table by ``save`` and a lost
-    executor does not ask again.  A reply that holds no JSON object, even after repair, is asked for once more with the
-    schema written out; a call that failed is not.  Each try works on what the one before left open, and the number of
-    tries is fixed, so nothing is collected.
+    executor does not ask again.  What is wrong with a reply is kept with it, so every reply is parsed once for that.  A
+    reply that holds no JSON object, even after repair, is asked for once more with the schema written out; a call that
+    failed is not.  Each try works on what the one before left open, and the number of tries is fixed, so nothing is collected.
 
     Answers: one row per prompt with the payload of the last try made, ``tries`` and ``error`` (null if the payload parses).
     Usage: one row per call made that leaves one, both tries of a request included, with ``try``.
     """
     todo, closed, calls = prompts, [], []
     for n in range(1, tries + 1):
-        made = save(call(request_rows(todo)).withColumn("try", F.lit(n)), f"try-{n}")
-        calls.append(model_usage(made).withColumn("try", F.lit(n)))
         parses = F.coalesce(~F.col("failed"), F.lit(True)) & repair_object(F.col("payload")).isNotNull()
         error = (
             F.when(F.col("failed"), F.lit(FAILED_CALL))
             .when(~parses & is_blank(F.col("payload")), F.lit(EMPTY_PAYLOAD))
             .when(~parses, F.lit(BAD_PAYLOAD))
         )
-        done = made.withColumn("error", error)
+        done = save(call(request_rows(todo)).withColumn("try", F.lit(n)).withColumn("error", error), f"try-{n}")
+        calls.append(model_usage(done).withColumn("try", F.lit(n)))
         again = F.col("error").isNotNull() & ~F.coalesce(F.col("failed"), F.lit(False)) if n < tries else F.lit(False)
         closed.append(done.where(~again).select(*prompts.columns, "payload", F.col("try").alias("tries"), "error"))
         if n < tries:

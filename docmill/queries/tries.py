@@ -16,7 +16,7 @@ from docmill.operators.rate_history import price_by_date
 from docmill.plans import jobs, registry
 from docmill.plans.base import DocSpec, strings
 from docmill.plans.retries import ask
-from docmill.queries.common import code, lines, padded, query, table
+from docmill.queries.common import code, lines, padded, query, spread_table, table
 from docmill.queries.costs import decimal_sql, prices
 from docmill.sources.pricing import PRICE_FILE, model_rates, unit_rates
 
@@ -71,7 +71,7 @@ from c
 """,
 )
 def second_tries(spark, sf_dir):
-    texts = table(spark, sf_dir, "customer").selectExpr(f"{_K} as request_id", "'bank_account' as document_type", "concat('Name : ', c_name) as text")
+    texts = spread_table(spark, sf_dir, "customer", _K, "c_name").selectExpr(f"{_K} as request_id", "'bank_account' as document_type", "concat('Name : ', c_name) as text")
     prompts = render_prompts(texts).select("request_id", "document_type", "system_prompt", "user_prompt", "response_schema")
     answers, usage = ask(prompts, model_call, _tables(spark, "second-tries"))
     book = prices(spark)
@@ -149,7 +149,7 @@ from orders
 def repaired_numbers(spark, sf_dir):
     """Numbers that a reader has spoiled with look-alike letters and signs come back as they were."""
     number = padded("o_orderkey", 16)
-    orders = table(spark, sf_dir, "orders").selectExpr(
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey").selectExpr(
         "o_orderkey",
         f"concat('no. ', translate(translate({number}, '0158', case when o_orderkey % 2 = 0 then 'OlSB' else 'DIsB' end), '6', 'b'), ' .') as spoiled",
         f"concat(' ', translate({number}, '0', case when o_orderkey % 2 = 0 then 'O' else 'o' end), '-/') as printed",
@@ -177,7 +177,7 @@ def licence_payloads(spark, sf_dir):
     payload = (
         f"case when {_K} % 7 = 0 then '{{\"business_number\":\"1\"}}' else concat('{{\"business_fields\":[{{\"field_code\":\"f', {_K}, '\",\"field_licenses\":[', {licence}, ']}}]}}') end as payload"
     )
-    rows = type_payloads(table(spark, sf_dir, "customer").selectExpr(f"{_K} as doc_id", payload), registry.get("business_identification_number"))
+    rows = type_payloads(spread_table(spark, sf_dir, "customer", _K).selectExpr(f"{_K} as doc_id", payload), registry.get("business_identification_number"))
     fields = rows.select("doc_id", F.explode("record.business_fields").alias("f")).select("doc_id", "f.field_code", F.explode("f.field_licenses").alias("l"))
     return fields.select("doc_id", "l.license_type", "l.license_status", "l.license_remarks", "field_code")
 
@@ -196,7 +196,7 @@ def card_fallbacks(spark, sf_dir):
         f"concat('NIK : ', {padded(f'3000000000000000 + {_K}', 16)})", f"case {_K} % 3 when 0 then 'Laki-Laki' when 1 then 'Perempuan' end",
         f"case {_K} % 2 when 0 then 'x ISLAM' else 'KATOLIK' end", f"case when {_K} % 5 = 0 then 'SEUMUR HIDUP' end",
     )
-    rows = table(spark, sf_dir, "customer").selectExpr(f"{_K} as doc_id", "'identity_card' as document_type", f"{text} as text")
+    rows = spread_table(spark, sf_dir, "customer", _K).selectExpr(f"{_K} as doc_id", "'identity_card' as document_type", f"{text} as text")
     found = extract_type(rows, "identity_card").select("doc_id", "record.*")
     return found.select("doc_id", *(F.col(f"holder_{c}").alias(c) for c in ("gender", "religion", "nationality")), F.col("document_expiry_date").alias("expiry"))
 
@@ -219,7 +219,7 @@ def new_types(spark, sf_dir):
         parse=lambda t: [{"subject": F.regexp_extract(t.body, "(?m)^Re: (.*)$", 1)}],
     )
     photo = DocSpec(slug="photo", name="Photo", description="a photo", schema=T.StructType(strings("subject")), normalize=lambda raw: {})
-    rows = table(spark, sf_dir, "customer").selectExpr(
+    rows = spread_table(spark, sf_dir, "customer", _K).selectExpr(
         f"{_K} as doc_id", f"case when {_K} % 2 = 0 then 'memo' else 'photo' end as document_type", f"case when {_K} % 5 = 0 then ' ' else concat('Dear all\\nRe: ', {code(_K)}) end as text"
     )
     for spec in (memo, photo):
