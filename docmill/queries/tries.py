@@ -178,7 +178,9 @@ def licence_payloads(spark, sf_dir):
         f"case when {_K} % 7 = 0 then '{{\"business_number\":\"1\"}}' else concat('{{\"business_fields\":[{{\"field_code\":\"f', {_K}, '\",\"field_licenses\":[', {licence}, ']}}]}}') end as payload"
     )
     rows = type_payloads(spread_table(spark, sf_dir, "customer", _K).selectExpr(f"{_K} as doc_id", payload), registry.get("business_identification_number"))
-    fields = rows.select("doc_id", F.explode("record.business_fields").alias("f")).select("doc_id", "f.field_code", F.explode("f.field_licenses").alias("l"))
+    # an inner explode would be planned with a filter on the list, which computes the record a second time
+    listed = rows.select("doc_id", F.posexplode_outer("record.business_fields").alias("n", "f")).where("n is not null")
+    fields = listed.select("doc_id", "f.field_code", F.posexplode_outer("f.field_licenses").alias("n", "l")).where("n is not null")
     return fields.select("doc_id", "l.license_type", "l.license_status", "l.license_remarks", "field_code")
 
 
