@@ -12,6 +12,7 @@ from docmill.operators.cost import price_events, summarize_requests
 from docmill.operators.dispatch import extract_mixed, extract_routed, payloads_mixed
 from docmill.operators.gates import MAX_BATCH_FILES, gate_batches, gate_files
 from docmill.operators.results import with_status
+from docmill.operators.sizing import key_tasks
 from docmill.plans.registry import document_types
 from docmill.session import shared_root
 from docmill.sources.pricing import rate_violations, unit_violations
@@ -86,8 +87,9 @@ def run_stages(
     once and a lost executor does not make it run again.
     """
     done: DataFrame | None = None
+    tasks = key_tasks(documents)
     for stage in stages:
-        todo = documents if done is None else unresolved(documents, done, min_confidence)
+        todo = documents if done is None else unresolved(documents, done, min_confidence, tasks)
         todo = todo.filter("is_pdf") if stage == DIGITAL else todo
         attempts = save(EXTRACTORS[stage](todo), stage)
         done = attempts if done is None else done.unionByName(attempts)
@@ -124,7 +126,8 @@ def extract_corpus(
     cost = summarize_requests(price_events(events, model_rates, unit_rates), manifest.select("request_id").distinct(), price_date)
     gated = gated.join(cost, "request_id", "left")
     passed = gated.filter(F.col("status_code").isNull())
-    chosen = choose_text(attempts.join(passed.select("doc_id"), "doc_id", "left_semi"), pipeline, min_confidence)
+    tasks = key_tasks(attempts)  # before the join, which is not to run for a count
+    chosen = choose_text(attempts.join(passed.select("doc_id"), "doc_id", "left_semi"), pipeline, min_confidence, tasks)
     passed = passed.join(chosen.withColumnRenamed("error", "text_error"), "doc_id", "left")
     if save and mode == "string":
         passed = save(passed, "chosen")
