@@ -2,8 +2,8 @@
 
 Pages are ordered by host and URL path.  Each page is cut into text lines, one per block, and compared with the page
 whose path is nearest to its own: lines that stand in both, in the same order (longest common subsequence), are
-template and go.  A neighbour that shares half of the lines or more is a copy of the page rather than a page of the
-same template, and the next nearest is taken.
+template and go.  A neighbour that shares all lines, or half of the long ones or more, is a copy of the page rather than
+a page of the same template, and the next nearest is taken.  So short lines, as menus have, may well be most of a page.
 
 Differencing alone gives wrong results on two sides, so structure decides first: menus, adverts and footers can be
 worded anew on every page, and passages of an article can stand in its neighbour.  Elements whose name, role, class
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
 OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/><\"']*)|[!?])")
 SPECIAL = re.compile("[>\"']")
+#: Characters of a line that is more likely prose than a menu entry.
+LONG = 80
 #: No ``>`` comes any more.
 NONE = -1
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -268,15 +270,24 @@ def _nearness(path: str, other: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(path, other)) if x != y), min(len(path), len(other)))  # noqa: B905
 
 
+def is_copy(lines: list[str], shared: list[bool]) -> bool:
+    """Whether a neighbour that shares these lines is a copy: it leaves nothing, or half of the long lines at most."""
+    long = [s for x, s in zip(lines, shared, strict=True) if len(x) >= LONG]
+    return all(shared) or 2 * sum(long) >= len(long) > 0
+
+
 def main_lines(page: tuple, around: list[tuple]) -> list[str]:
-    """The text lines of a page, given its neighbours in order of distance; a page is (host, path, lines, marked)."""
+    """The text lines of a page, given its neighbours in order of distance; a page is (host, path, lines, marked).
+
+    A page that marks its article is settled by that mark alone; differencing settles the others.
+    """
     host, path, lines, marked = page
     if any(marked):
         return [x for x, m in zip(lines, marked, strict=True) if m]
     near = sorted((p for p in around if p[0] == host and p[2]), key=lambda p: -_nearness(path, p[1]))
     for other in near:
         shared = common_lines(lines, other[2])
-        if 2 * sum(shared) < len(lines):
+        if not is_copy(lines, shared):
             return [x for x, s in zip(lines, shared, strict=True) if not s]
     return lines
 

@@ -173,3 +173,13 @@ def test_tags_like_a_pattern_would_find_them():
         while t := H.next_tag(page, at, dead):
             at = t.end
     assert time.process_time() - begin < 5
+
+
+def test_menus_that_are_most_of_a_page_go(spark):
+    menu = "".join(f"<div>entry {i}</div>" for i in range(6))
+    rows = [(k, f"https://h.example/a/{k}", f"{menu}<p>own {k} one</p><p>own {k} two</p>") for k in range(6)]
+    assert extracted(spark, rows) == {k: f"own {k} one\nown {k} two" for k in range(6)}
+    # a near copy shares its long lines and is no template
+    prose = [f"This line is long enough to be taken for prose rather than for a menu entry, as it has number {i}." for i in range(4)]
+    rows = [(k, f"https://h.example/a/{k}", "".join(f"<p>{x}</p>" for x in [*prose, f"copy {k}"])) for k in range(2)]
+    assert extracted(spark, rows) == {k: "\n".join([*prose, f"copy {k}"]) for k in range(2)}
