@@ -365,25 +365,26 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
 
         return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(overlap, "a long, b long")
 
-    def grouped(links: DataFrame) -> DataFrame:
+    def grouped(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Components by the links and by those found before."""
         node = classes.select("key", "rep")
         edges = links.join(node.toDF("a", "u"), "a").join(node.toDF("b", "v"), "b").select("u", "v")
-        return components(edges)
+        return components(edges if before is None else edges.union(before))
 
     # first each class with the pivot it shares most signatures with, then other pivots where that left them apart
     first = hubs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    links = A.checkpointed(linked(pairs.union(first).distinct()))
+    groups = grouped(linked(pairs.union(first).distinct()))
 
-    def labelled(links: DataFrame) -> DataFrame:
-        node = classes.join(group.select("key").distinct(), "key").join(grouped(links), F.col("rep") == F.col("node"), "left")
+    def labelled(groups: DataFrame) -> DataFrame:
+        node = classes.join(group.select("key").distinct(), "key").join(groups, F.col("rep") == F.col("node"), "left")
         return A.stored(node.select("key", F.coalesce("component", "rep").alias("component")))
 
-    ends = labelled(links)
+    ends = labelled(groups)
     apart = hubs.select("a", "b").join(ends.toDF("a", "left"), "a").join(ends.toDF("b", "right"), "b").where("left <> right")
     apart = A.stored(apart.select("a", "b").join(first, ["a", "b"], "left_anti"))
     if not apart.isEmpty():
-        links = A.checkpointed(links.union(linked(apart)))
-        ends = labelled(links)
+        groups = grouped(linked(apart), groups)
+        ends = labelled(groups)
     # Then, in groups that are not one component yet, the pairs across components.  Two classes that are not in a small
     # group together share at least ``spare`` of their signatures held here, so one of the rarest ``held - spare + 1``.
     rarity = group.groupBy("sig").agg(F.count("*").alias("g"))
@@ -416,7 +417,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5) -> DataFrame:
 
     more = met.groupBy("sig", "low", "high").applyInArrow(compare, "a long, b long").distinct()
     more = A.stored(maybe(more.join(pairs, ["a", "b"], "left_anti")))
-    groups = grouped(links if more.isEmpty() else A.checkpointed(links.union(linked(more))))
+    if not more.isEmpty():
+        groups = grouped(linked(more), groups)
     out = sets.join(classes.select("key", "rep"), "key", "left").join(groups, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("rep")).alias("class_id"))

@@ -207,6 +207,39 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 300: 0, 100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("most", [5, 1000])
+def test_components_in_rounds(spark, monkeypatch, most):
+    """Chains, stars and single edges in any order, in many tasks and in one."""
+    monkeypatch.setattr(graph, "EDGES", most)
+    rng = np.random.default_rng(3)
+    names = rng.permutation(1000).tolist()
+    edges = [(names[i], names[i + 1]) for i in range(60)] + [(names[100], names[i]) for i in range(101, 140)] + [(names[i], names[i + 1]) for i in range(200, 240, 2)]
+    want = {names[i]: min(part) for part in (names[:61], names[100:140], *(names[i : i + 2] for i in range(200, 240, 2))) for i in map(names.index, part)}
+    rng.shuffle(edges)
+    assert dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect()) == want
+
+
+def test_few_edges_take_few_tasks(spark):
+    """Rounds over a small table don't grow with the number of shuffle partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-edges", "")
+        assert {r.component for r in graph.components(edges).collect()} == {0}
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks < 61
+
+
 def test_words_and_messages():
     texts = ["a b\tc", "", "  dd", "e", None, "\x0b f\x1cg h"]
     import pyarrow as pa
