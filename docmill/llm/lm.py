@@ -82,28 +82,8 @@ class Attention:
         }
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
-    def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        """All that the gradient needs."""
-        p, length = self.p, x.shape[1]
-        s = {"x": x, "h": p["embed"][x] + p["place"][:length]}
-        s["qh"], s["kh"], s["vh"] = s["h"] @ p["q"], s["h"] @ p["k"], s["h"] @ p["v"]
-        a = s["qh"] @ s["kh"].transpose(0, 2, 1)
-        a *= np.float32(WIDTH**-0.5)
-        a += self.mask[:length, :length]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        s["a"], s["c"] = a, a @ s["vh"]
-        s["h1"] = s["h"] + s["c"] @ p["o"]
-        s["z"] = np.maximum(s["h1"] @ p["in"] + p["in_b"], 0)
-        s["h2"] = s["h1"] + s["z"] @ p["out"]
-        logits = s["h2"] @ p["class"] + p["class_b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        s["logits"] = logits
-        return s
-
     def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of class y at every place: the same sums as ``forward``, in fewer passes."""
+        """Natural log of the probability of class y at every place."""
         p, (n, length) = self.p, x.shape
         h = p["embed"][x]
         h += p["place"][:length]
@@ -130,48 +110,89 @@ class Attention:
         return (at - np.log(logits @ np.ones(logits.shape[1], np.float32))).reshape(n, length)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        p, s = self.p, self.forward(x)
-        d = np.exp(s["logits"])
-        d /= d.sum(axis=2, keepdims=True)
-        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) - 1, 2)
-        d *= (valid / max(1, valid.sum()))[:, :, None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"class": flat(s["h2"]).T @ flat(d), "class_b": d.sum(axis=(0, 1))}
+        """The gradient of the mean loss over valid places: all places are rows of flat products, and large arrays are reused in place."""
+        p, (n, length), w = self.p, x.shape, WIDTH
+        split = lambda m: m.reshape(n, length, -1)
+        root, ones = np.float32(w**-0.5), np.ones(OWN + SHARED, np.float32)
+        h = split(p["embed"][x.ravel()])
+        h += p["place"][:length]
+        h = h.reshape(-1, w)
+        mix = np.concatenate((p["q"], p["k"], p["v"]), axis=1)
+        qkv = split(h @ mix)
+        qh, kh, vh = qkv[:, :, :w], qkv[:, :, w : 2 * w], qkv[:, :, 2 * w :]
+        a = (qh * root) @ kh.transpose(0, 2, 1)
+        a += self.mask[:length, :length]
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a /= (a @ ones[:length])[:, :, None]
+        c = (a @ vh).reshape(-1, w)
+        h1 = c @ p["o"]
+        h1 += h
+        z = h1 @ p["in"]
+        z += p["in_b"]
+        np.maximum(z, 0, out=z)
+        h2 = z @ p["out"]
+        h2 += h1
+        d = h2 @ p["class"]
+        d += p["class_b"]
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        weight = (valid.ravel() / max(1, valid.sum())).astype(np.float32)
+        d *= (weight / (d @ ones))[:, None]
+        d[np.arange(n * length), y.ravel()] -= weight
+        g = {"class": h2.T @ d, "class_b": np.ones(n * length, np.float32) @ d}
         d2 = d @ p["class"].T
-        g["out"] = flat(s["z"]).T @ flat(d2)
-        dz = (d2 @ p["out"].T) * (s["z"] > 0)
-        g["in"], g["in_b"] = flat(s["h1"]).T @ flat(dz), dz.sum(axis=(0, 1))
-        d1 = d2 + dz @ p["in"].T
-        g["o"] = flat(s["c"]).T @ flat(d1)
-        dc = d1 @ p["o"].T
-        dv = s["a"].transpose(0, 2, 1) @ dc
-        da = dc @ s["vh"].transpose(0, 2, 1)
-        da = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = da @ s["kh"], da.transpose(0, 2, 1) @ s["qh"]
-        dh = d1
-        for name, part in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(s["h"]).T @ flat(part)
-            dh = dh + part @ p[name].T
+        g["out"] = z.T @ d2
+        dz = d2 @ p["out"].T
+        dz *= z > 0
+        g["in"], g["in_b"] = h1.T @ dz, dz.sum(axis=0)
+        d2 += dz @ p["in"].T
+        g["o"] = c.T @ d2
+        dc = split(d2 @ p["o"].T)
+        dqkv = np.empty_like(qkv)
+        dqkv[:, :, 2 * w :] = a.transpose(0, 2, 1) @ dc
+        da = dc @ vh.transpose(0, 2, 1)
+        da -= (dc * split(c)).sum(axis=2, keepdims=True)  # the sum of da * a over a row
+        da *= a
+        da *= root
+        dqkv[:, :, :w], dqkv[:, :, w : 2 * w] = da @ kh, da.transpose(0, 2, 1) @ qh
+        dqkv = dqkv.reshape(-1, 3 * w)
+        g["q"], g["k"], g["v"] = np.split(h.T @ dqkv, 3, axis=1)
+        d2 += dqkv @ mix.T
         g["place"] = np.zeros_like(p["place"])
-        g["place"][: x.shape[1]] = dh.sum(axis=0)
+        g["place"][:length] = split(d2).sum(axis=0)
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], x.ravel(), flat(dh))
+        order = np.argsort(x.ravel(), kind="stable")
+        ids = x.ravel()[order]
+        at = A.heads(ids)
+        g["embed"][ids[at]] = np.add.reduceat(d2[order], at, axis=0)
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: float = 3, batch: int = 32, rate: float = 2e-2, seed: int = 11, part: int = 0, parts: int = 1) -> None:
         """Adam over shuffled windows; the rate falls to nothing over ``parts`` calls, of which this is number ``part``."""
         r = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # all parameters in one row, so that a step is a few passes over it
+        flat, at, names = np.concatenate([v.ravel() for v in self.p.values()]), 0, list(self.p)
+        for k in names:
+            size, shape = self.p[k].size, self.p[k].shape
+            self.p[k], at = flat[at : at + size].reshape(shape), at + size
+        m, v2, change, scale = (np.zeros_like(flat) for _ in range(4))
         steps = math.ceil(epochs * len(x) / batch)
         order = np.concatenate([r.permutation(len(x)) for _ in range(int(epochs) + 1)]) if len(x) else np.zeros(0, int)
         for t in range(1, steps + 1):
             at = order[(t - 1) * batch : t * batch]
             step = rate * (1 - (part + (t - 1) / steps) / parts)
-            for k, g in self.gradient(x[at], y[at], valid[at]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v2[k] = 0.98 * v2[k] + 0.02 * g * g
-                self.p[k] -= (step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+            of = self.gradient(x[at], y[at], valid[at])
+            g = np.concatenate([of[k].ravel() for k in names])
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=change)
+            v2 *= 0.98
+            np.multiply(g, g, out=change)
+            v2 += np.multiply(change, 0.02, out=change)
+            np.sqrt(np.divide(v2, 1 - 0.98**t, out=scale), out=scale)
+            scale += 1e-8
+            np.multiply(m, step / (1 - 0.9**t), out=change)
+            flat -= np.divide(change, scale, out=change)
 
 
 def _ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

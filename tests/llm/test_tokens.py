@@ -170,6 +170,23 @@ def test_model_is_a_causal_distribution_and_learns():
     assert np.allclose(np.bincount(classes.of, weights=np.exp(classes.share)), 1)
 
 
+def test_fitting_step_is_adam():
+    """One step over windows with ids that repeat and places that don't count, against the step written out; it runs over one row."""
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 9, (6, lm.WINDOW)).astype(np.int32), rng.integers(0, lm.OWN, (6, lm.WINDOW))
+    valid = (rng.random(x.shape) < 0.7).astype(np.int32)
+    model = lm.Attention()
+    before = {k: v.copy() for k, v in model.p.items()}
+    g = model.gradient(x, y, valid)
+    lone = [model.gradient(x[i : i + 1], y[i : i + 1], valid[i : i + 1]) for i in range(6)]
+    for k, v in g.items():
+        assert np.allclose(v, sum(o[k] * n for o, n in zip(lone, valid.sum(1), strict=True)) / valid.sum(), rtol=1e-3, atol=1e-6), k
+    model.fit(x, y, valid, epochs=1, rate=0.01)
+    assert all(np.shares_memory(v, model.p["embed"].base) for v in model.p.values())
+    for k, v in model.p.items():
+        assert v.dtype == np.float32 and np.allclose(v, before[k] - 0.01 * g[k] / (np.abs(g[k]) + 1e-8), atol=2e-4), k
+
+
 def test_windows_score_each_id_once():
     counts = np.ones(lm.IDS)
     model, classes = lm.Attention(), lm.Classes(counts)
