@@ -7,7 +7,8 @@ each step raises the sum of squared fills, so full bins fill up and the emptiest
 for the group's smallest piece are done; the pieces of the other bins go on to the next round, in fewer groups, and
 the last round is one group.  So no task ever holds more than a few thousand pieces, whatever the input.
 
-Words repeat, so each worker keeps the ids of the words it has seen (at most ``CACHE``; then it starts anew).
+Words repeat, so each worker keeps the ids of the words it has seen (at most ``CACHE``; then it starts anew), and new
+words of Latin letters are encoded many at a time.
 
 Defined cases: a null text is empty, and an empty document is the end token alone; equal lengths are told apart by
 (doc_id, piece), so results do not depend on the order of rows; rows that repeat an id are packed each on their own.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -31,49 +33,75 @@ from pyspark.sql import functions as F
 from docmill.llm import arrays as A
 
 GROUP = 16_384
-CACHE = 500_000
+CACHE = 1_000_000
+#: Words encoded as one text.
+RUN = 64
+LETTERS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+MARK = np.zeros(256, bool)
+MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 END = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _encoded(tokenizer, ends: np.ndarray, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Words and their ids.  A word of Latin letters is one piece of text to the tokenizer, and the last id of such a piece says so.
+
+    So many of those words are encoded as one text, which is cut after every last id; other words are encoded each on their own.
+    """
+    plain, other = [], []
+    for w in words:
+        (plain if LETTERS.fullmatch(w) else other).append(w)
+    runs = [plain[at : at + RUN] for at in range(0, len(plain), RUN)]
+    for run, e in zip(runs, tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(ends[ids]) + 1)).tolist()]
+        if len(cuts) - 1 != len(run) or cuts[-1] != 4 * len(ids):  # a vocabulary without such ids
+            other += run
+            continue
+        raw = ids.tobytes()
+        yield from zip(run, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True)  # noqa: B905
+    for w, e in zip(other, tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+        yield w, array("I", e.ids).tobytes()
+
+
 def word_ids(words: list[bytes], vocabulary: str) -> dict[bytes, bytes]:
     """The ids of words as little-endian 32-bit values; the tokenizer never joins across ASCII white space."""
     known = A.task_cache("ids", vocabulary)
-    missing = [w for w in dict.fromkeys(words) if w not in known]
+    missing = list(set(words).difference(known))
     if missing:
         keep = A.task_cache("ids", "tokenizers")
         if vocabulary not in keep:
             from tokenizers import Tokenizer
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            keep[vocabulary] = Tokenizer.from_file(vocabulary)
+            tokenizer = Tokenizer.from_file(vocabulary)
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+            if suffix:
+                ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+            keep[vocabulary] = tokenizer, ends
         if len(known) + len(missing) > CACHE:
             known.clear()
-            missing = list(dict.fromkeys(words))
+            missing = list(set(words))
         for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            found = keep[vocabulary].encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                known[w] = array("I", e.ids).tobytes()
+            known.update(_encoded(*keep[vocabulary], missing[at : at + 10_000]))
     return known
 
 
 def even_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same ids with fewer different words: ASCII letters in lower case, a full stop or comma after one set apart.
+    """The same ids with fewer different words: ASCII letters in lower case, ASCII marks after a Latin letter set apart.
 
-    The tokenizer lower-cases, and such a mark that ends a word is a piece of its own.  Texts near a special string
+    The tokenizer lower-cases, and a piece of text ends between a letter and such a mark.  Texts near a special string
     are left alone, since those are told apart by case.
     """
     if b"<|" in data.tobytes():
         return data, offsets
     low = A.LOWER[data]
     letter = (low >= 97) & (low <= 122)
-    border = np.append(A.SPACE[low[1:]], True)
-    border[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
-    inside = letter.copy()
-    inside[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False  # the next text's mark is not this one's
-    at = np.flatnonzero(((low[1:] == 46) | (low[1:] == 44)) & inside[:-1] & border[1:]) + 1
+    letter[1:] |= (low[:-1] == 0xC3) & (low[1:] != 0x97) & (low[1:] != 0xB7)  # two bytes, without the signs of times and division
+    letter[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False  # the next text's mark is not this one's
+    at = np.flatnonzero(MARK[low[1:]] & letter[:-1]) + 1
     return np.insert(low, at, 32), offsets + np.searchsorted(at, offsets)
 
 
@@ -83,9 +111,16 @@ def token_ids(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tu
         if len(data):
             data, offsets = even_words(data, offsets)
         raw, at = data.tobytes(), offsets.tolist()
-        texts = [raw[a:b].split() for a, b in zip(at, at[1:])]  # noqa: B905
-        known = word_ids([w for t in texts for w in t], vocabulary)
-        yield rows, [b"".join(map(known.__getitem__, t)) for t in texts]
+        words, ends = [], [0]
+        for a, b in zip(at, at[1:]):  # noqa: B905
+            words += raw[a:b].split()
+            ends.append(len(words))
+        ids = list(map(A.task_cache("ids", vocabulary).get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        known = word_ids([words[i] for i in new], vocabulary)
+        for i in new:
+            ids[i] = known[words[i]]
+        yield rows, [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]  # noqa: B905
 
 
 def tokenized_pieces(docs: DataFrame, length: int = 4096, vocabulary: str = VOCABULARY) -> DataFrame:

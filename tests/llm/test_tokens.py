@@ -263,3 +263,39 @@ def test_packing_without_ids(spark):
     assert check_packing(packed.collect(), 64) <= 1.2 * pieces.agg(F.sum("length")).first()[0] / 64
     groups = packed.withColumn("group", F.shiftright("sequence_id", 24)).groupBy("group").count()
     assert groups.agg(F.max("count")).first()[0] < 120
+
+
+class Watched:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
+def test_new_words_are_encoded_many_at_a_time():
+    rng, library = np.random.default_rng(8), Tokenizer.from_file(packing.VOCABULARY)
+    syllables = "tion un ß é Éan the Über çon ñ ÿe A qu".split()
+    words = sorted({"".join(syllables[k] for k in rng.integers(0, len(syllables), 7)) for _ in range(3000)})
+    ends = np.zeros(library.get_vocab_size(), bool)
+    without = Watched(library)
+    want = {w.encode(): e.ids for w, e in zip(words, library.encode_batch(words, add_special_tokens=False), strict=True)}
+    plain = lambda found: {w: np.frombuffer(x, np.uint32).tolist() for w, x in found}
+    assert plain(packing._encoded(without, ends, list(want))) == want and without.texts > len(words)  # no id that ends a word: each on its own
+    ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+    many = Watched(library)
+    odd = {w.encode(): library.encode(w, add_special_tokens=False).ids for w in "İx ŉa éa a̸ x×y a1b 漢字 don't <|endoftext|>x ªb µ Ǆ".split()}
+    assert plain(packing._encoded(many, ends, [*want, *odd])) == want | odd and many.texts < len(words) / 50 + len(odd)
+
+
+def test_marks_after_letters_are_set_apart():
+    texts = ["ünü%%% Don't a—% x÷% x×! AB###", "'s", "é", "!!", "", "Ã%", "a≠b a̸= ñ.5, ß'll"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got, at = packing.even_words(data, offsets)
+    cut = [got.tobytes()[a:b].decode() for a, b in zip(at, at[1:])]  # noqa: B905
+    assert cut == ["ünü %%% don 't a —% x÷% x×! ab ###".replace("a —", "a—"), "'s", "é", "!!", "", "Ã %", "a ≠b a̸= ñ .5, ß 'll"]
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    assert [e.ids for e in library.encode_batch(cut, add_special_tokens=False)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
