@@ -45,6 +45,8 @@ PARTS = 16
 FREQUENT = 1 << 19
 WINDOW, OVERLAP = 48, 12
 INPUTS, OWN, SHARED, WIDTH, HIDDEN = 4096, 144, 48, 16, 32
+#: Values whose exponentials, and sums of them, stay far within float32.
+SAFE = 60
 
 
 class Classes:
@@ -67,6 +69,11 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
     return np.arange(0, max(1, len(ids) - OVERLAP), WINDOW - OVERLAP)
 
 
+def _longest(m: np.ndarray) -> float:
+    """The greatest length of a row."""
+    return math.sqrt(np.einsum("...i,...i->...", m, m).max(initial=0))
+
+
 class Attention:
     """One causal self-attention layer, a feed-forward layer and class probabilities; float32 throughout."""
 
@@ -82,100 +89,120 @@ class Attention:
         }
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
-    def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of class y at every place."""
-        p, (n, length) = self.p, x.shape
-        h = p["embed"][x]
-        h += p["place"][:length]
-        flat = h.reshape(-1, WIDTH)
-        q = (flat @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(n, length, WIDTH)
-        k = (flat @ p["k"]).reshape(n, length, WIDTH)
-        v = np.ones((n, length, WIDTH + 1), np.float32)  # the last column adds up the weights
-        v[:, :, :WIDTH] = (flat @ p["v"]).reshape(n, length, WIDTH)
+    def _weights(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Attention of the last places ``q`` to all places ``k``, each row up to a factor."""
         a = q @ k.transpose(0, 2, 1)
-        a += self.mask[:length, :length]
-        a -= a.max(axis=2, keepdims=True)
+        mask = self.mask[k.shape[1] - q.shape[1] : k.shape[1], : k.shape[1]]
+        if _longest(q) * _longest(k) > SAFE:
+            a += mask
+            a -= a.max(axis=2, keepdims=True)
+            return np.exp(a, out=a)
         np.exp(a, out=a)
-        c = a @ v
-        flat += (c[:, :, :WIDTH] / c[:, :, WIDTH:]).reshape(-1, WIDTH) @ p["o"]
-        z = flat @ p["in"]
+        a *= mask == 0
+        return a
+
+    def _logits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``h`` with a column of ones, and the class logits of each row, up to a shift."""
+        m = np.concatenate((self.p["class"], self.p["class_b"][None]))
+        h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)
+        d = h @ m
+        if _longest(h) * _longest(m.T) > SAFE:
+            d -= d.max(axis=1, keepdims=True)
+        return h, d
+
+    def log_probability(self, x: np.ndarray, y: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Natural log of the probability of class y at every place from ``skip`` on."""
+        p, (n, length), w = self.p, x.shape, WIDTH
+        h = p["embed"][x]
+        h += p["place"][:length]
+        kv = (h.reshape(-1, w) @ np.concatenate((p["k"], p["v"]), axis=1)).reshape(n, length, 2 * w)
+        h = np.ascontiguousarray(h[:, skip:]).reshape(-1, w)
+        a = self._weights((h @ (p["q"] * np.float32(w**-0.5))).reshape(n, length - skip, w), kv[:, :, :w])
+        c = (a @ kv[:, :, w:]).reshape(-1, w)
+        c /= (a @ np.ones(length, np.float32)).reshape(-1, 1)
+        h += c @ p["o"]
+        z = h @ p["in"]
         z += p["in_b"]
         np.maximum(z, 0, out=z)
-        flat += z @ p["out"]
-        logits = flat @ p["class"]
-        logits += p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        at = logits[np.arange(n * length), y.ravel()]
+        h += z @ p["out"]
+        _, logits = self._logits(h)
+        at = logits[np.arange(len(h)), y[:, skip:].ravel()]
         np.exp(logits, out=logits)
-        return (at - np.log(logits @ np.ones(logits.shape[1], np.float32))).reshape(n, length)
+        return (at - np.log(logits @ np.ones(logits.shape[1], np.float32))).reshape(n, length - skip)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        """The gradient of the mean loss over valid places: all places are rows of flat products, and large arrays are reused in place."""
+        """The gradient of the mean loss over valid places.
+
+        All places are rows of flat products.  What follows the attention is computed for valid places only, and rows of
+        softmax are scaled where they are narrow, in the products on both sides of them.
+        """
         p, (n, length), w = self.p, x.shape, WIDTH
         split = lambda m: m.reshape(n, length, -1)
-        root, ones = np.float32(w**-0.5), np.ones(OWN + SHARED, np.float32)
+        root, rows = np.float32(w**-0.5), np.flatnonzero(valid)
         h = split(p["embed"][x.ravel()])
         h += p["place"][:length]
         h = h.reshape(-1, w)
-        mix = np.concatenate((p["q"], p["k"], p["v"]), axis=1)
+        mix = np.concatenate((p["q"] * root, p["k"], p["v"]), axis=1)
         qkv = split(h @ mix)
         qh, kh, vh = qkv[:, :, :w], qkv[:, :, w : 2 * w], qkv[:, :, 2 * w :]
-        a = (qh * root) @ kh.transpose(0, 2, 1)
-        a += self.mask[:length, :length]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= (a @ ones[:length])[:, :, None]
-        c = (a @ vh).reshape(-1, w)
-        h1 = c @ p["o"]
-        h1 += h
+        a = self._weights(qh, kh)
+        total = (a @ np.ones(length, np.float32))[:, :, None]
+        c = a @ vh
+        c /= total
+        own = c.reshape(-1, w)[rows]
+        h1 = own @ p["o"]
+        h1 += h[rows]
         z = h1 @ p["in"]
         z += p["in_b"]
         np.maximum(z, 0, out=z)
         h2 = z @ p["out"]
         h2 += h1
-        d = h2 @ p["class"]
-        d += p["class_b"]
-        d -= d.max(axis=1, keepdims=True)
+        h2, d = self._logits(h2)
         np.exp(d, out=d)
-        weight = (valid.ravel() / max(1, valid.sum())).astype(np.float32)
-        d *= (weight / (d @ ones))[:, None]
-        d[np.arange(n * length), y.ravel()] -= weight
-        g = {"class": h2.T @ d, "class_b": np.ones(n * length, np.float32) @ d}
-        d2 = d @ p["class"].T
+        per = d @ np.ones(OWN + SHARED, np.float32)
+        d[np.arange(len(rows)), y.ravel()[rows]] -= per
+        scale = (np.float32(1 / max(1, len(rows))) / per)[:, None]
+        h2 *= scale
+        of = (d.T @ h2).T
+        g = {"class": of[:w], "class_b": of[w]}
+        d2 = d @ np.ascontiguousarray(p["class"].T)
+        d2 *= scale
         g["out"] = z.T @ d2
         dz = d2 @ p["out"].T
         dz *= z > 0
-        g["in"], g["in_b"] = h1.T @ dz, dz.sum(axis=0)
+        g["in"], g["in_b"] = h1.T @ dz, np.ones(len(rows), np.float32) @ dz
         d2 += dz @ p["in"].T
-        g["o"] = c.T @ d2
-        dc = split(d2 @ p["o"].T)
+        g["o"] = own.T @ d2
+        dc = np.zeros_like(h)
+        dc[rows] = d2 @ p["o"].T
+        dc = split(dc)
+        dc /= total
         dqkv = np.empty_like(qkv)
-        dqkv[:, :, 2 * w :] = a.transpose(0, 2, 1) @ dc
+        np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[:, :, 2 * w :])
         da = dc @ vh.transpose(0, 2, 1)
-        da -= (dc * split(c)).sum(axis=2, keepdims=True)  # the sum of da * a over a row
+        da -= np.einsum("ijk,ijk->ij", dc, c)[:, :, None]  # the sum of da * a over a row
         da *= a
-        da *= root
-        dqkv[:, :, :w], dqkv[:, :, w : 2 * w] = da @ kh, da.transpose(0, 2, 1) @ qh
+        np.matmul(da, kh, out=dqkv[:, :, :w])
+        np.matmul(da.transpose(0, 2, 1), qh, out=dqkv[:, :, w : 2 * w])
         dqkv = dqkv.reshape(-1, 3 * w)
-        g["q"], g["k"], g["v"] = np.split(h.T @ dqkv, 3, axis=1)
-        d2 += dqkv @ mix.T
+        g["q"], g["k"], g["v"] = np.split((dqkv.T @ h).T, 3, axis=1)
+        g["q"] = g["q"] * root
+        dh = dqkv @ mix.T
+        dh[rows] += d2
         g["place"] = np.zeros_like(p["place"])
-        g["place"][:length] = split(d2).sum(axis=0)
-        g["embed"] = np.zeros_like(p["embed"])
-        order = np.argsort(x.ravel(), kind="stable")
-        ids = x.ravel()[order]
-        at = A.heads(ids)
-        g["embed"][ids[at]] = np.add.reduceat(d2[order], at, axis=0)
+        g["place"][:length] = split(dh).sum(axis=0)
+        cells = (x.reshape(-1, 1) * w + np.arange(w)).ravel()
+        g["embed"] = np.bincount(cells, weights=dh.ravel(), minlength=p["embed"].size).astype(np.float32).reshape(-1, w)
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: float = 3, batch: int = 32, rate: float = 2e-2, seed: int = 11, part: int = 0, parts: int = 1) -> None:
         """Adam over shuffled windows; the rate falls to nothing over ``parts`` calls, of which this is number ``part``."""
-        r = np.random.default_rng(seed)
-        # all parameters in one row, so that a step is a few passes over it
-        flat, at, names = np.concatenate([v.ravel() for v in self.p.values()]), 0, list(self.p)
-        for k in names:
-            size, shape = self.p[k].size, self.p[k].shape
-            self.p[k], at = flat[at : at + size].reshape(shape), at + size
+        r, embed = np.random.default_rng(seed), self.p["embed"]
+        # inputs that do not occur have no gradient and stay as they are; all other parameters are in one row, so that a step is a few passes over it
+        used, x = np.unique(x, return_inverse=True)
+        x = x.reshape(y.shape)
+        self.p["embed"] = embed[used]
+        flat = self._in_a_row()
         m, v2, change, scale = (np.zeros_like(flat) for _ in range(4))
         steps = math.ceil(epochs * len(x) / batch)
         order = np.concatenate([r.permutation(len(x)) for _ in range(int(epochs) + 1)]) if len(x) else np.zeros(0, int)
@@ -183,16 +210,28 @@ class Attention:
             at = order[(t - 1) * batch : t * batch]
             step = rate * (1 - (part + (t - 1) / steps) / parts)
             of = self.gradient(x[at], y[at], valid[at])
-            g = np.concatenate([of[k].ravel() for k in names])
+            g = np.concatenate([of[k].ravel() for k in self.p])
+            # m and v2 are sums, a tenth and a fiftieth of which are the means
             m *= 0.9
-            m += np.multiply(g, 0.1, out=change)
+            m += g
             v2 *= 0.98
-            np.multiply(g, g, out=change)
-            v2 += np.multiply(change, 0.02, out=change)
-            np.sqrt(np.divide(v2, 1 - 0.98**t, out=scale), out=scale)
-            scale += 1e-8
-            np.multiply(m, step / (1 - 0.9**t), out=change)
+            v2 += np.multiply(g, g, out=g)
+            root = math.sqrt(0.02 / (1 - 0.98**t))
+            np.sqrt(v2, out=scale)
+            scale += 1e-8 / root
+            np.multiply(m, 0.1 * step / (1 - 0.9**t) / root, out=change)
             flat -= np.divide(change, scale, out=change)
+        embed = embed.copy()
+        embed[used] = self.p["embed"]
+        self.p["embed"] = embed
+        self._in_a_row()
+
+    def _in_a_row(self) -> np.ndarray:
+        """All parameters in one row; from now on they are parts of it."""
+        flat, at = np.concatenate([v.ravel() for v in self.p.values()]), 0
+        for k, v in self.p.items():
+            self.p[k], at = flat[at : at + v.size].reshape(v.shape), at + v.size
+        return flat
 
 
 def _ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +246,7 @@ class Scorer:
     def __init__(self, model: Attention, classes: Classes):
         self.model, self.classes = model, classes
 
-    def scores(self, ids: np.ndarray, at: np.ndarray, batch: int = 64) -> np.ndarray:
+    def scores(self, ids: np.ndarray, at: np.ndarray, batch: int = 128) -> np.ndarray:
         """Log10 probability of every text of a row of ids."""
         starts, ends, of = [], [], []
         for i in range(len(at) - 1):
@@ -220,15 +259,16 @@ class Scorer:
         before[at[:-1]] = START
         x, y = self.classes.input[before], self.classes.of[ids]
         total = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), weights=self.classes.share[ids], minlength=len(at) - 1)
-        lengths = np.minimum(WINDOW, ends - starts)
-        order = np.argsort(lengths, kind="stable")  # windows of like length make a batch
-        for k in range(0, len(order), batch):
-            w = order[k : k + batch]
-            length = int(lengths[w].max())
-            place = np.minimum(starts[w][:, None] + np.arange(length), len(ids) - 1)
-            score = self.model.log_probability(x[place], y[place])
-            own = (np.arange(length) < lengths[w][:, None]) & ((np.arange(length) >= OVERLAP) | (starts[w] == at[of[w]])[:, None])
-            total += np.bincount(of[w], weights=(score * own).sum(axis=1), minlength=len(at) - 1)
+        lengths, first = np.minimum(WINDOW, ends - starts), starts == at[of]
+        for skip, these in ((0, np.flatnonzero(first)), (OVERLAP, np.flatnonzero(~first))):
+            these = these[np.argsort(lengths[these], kind="stable")]  # windows of like length make a batch
+            for k in range(0, len(these), batch):
+                w = these[k : k + batch]
+                length = int(lengths[w].max())
+                place = np.minimum(starts[w][:, None] + np.arange(length), len(ids) - 1)
+                score = self.model.log_probability(x[place], y[place], skip)
+                score *= np.arange(skip, length) < lengths[w][:, None]
+                total += np.bincount(of[w], weights=score.sum(axis=1), minlength=len(at) - 1)
         return total / np.log(10)
 
 
@@ -267,11 +307,13 @@ def _trainer(state, k: int, rounds: int):
         own, classes = Attention(), Classes(all_counts)
         own.p = {name: v.copy() for name, v in parameters.items()}
         table = table.sort_by([("rank", "ascending"), ("payload", "ascending")])
-        x, y, valid = (np.zeros((table.num_rows, WINDOW), np.int32) for _ in range(3))
-        for i, (payload, skip) in enumerate(zip(table.column("payload").to_pylist(), table.column("n").to_pylist(), strict=True)):
-            ids = np.frombuffer(payload, np.uint16)
-            m = len(ids) - 1
-            x[i, :m], y[i, :m], valid[i, skip:m] = classes.input[ids[:-1]], classes.of[ids[1:]], 1
+        data, at = A.text_buffers(table.column("payload"))
+        ids, first, size = data.view(np.uint16), at[:-1] // 2, np.diff(at) // 2 - 1
+        place = np.arange(WINDOW)
+        inside = place < size[:, None]
+        place = np.where(inside, first[:, None] + place, 0)
+        x, y = (np.where(inside, of[ids[place + k]], 0) for k, of in enumerate((classes.input, classes.of)))
+        valid = inside & (np.arange(WINDOW) >= table.column("n").to_numpy()[:, None])
         own.fit(x, y.astype(np.int64), valid, epochs=1, part=k, parts=rounds)
         flat = np.array_split(np.concatenate([own.p[name].ravel() for name in own.p]), PARTS)
         return pa.table({"part": pa.array(range(PARTS), pa.int32()), "shard": [table.column("shard")[0].as_py()] * PARTS, "n": [table.num_rows] * PARTS, "payload": [v.tobytes() for v in flat]})

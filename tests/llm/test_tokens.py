@@ -299,3 +299,50 @@ def test_marks_after_letters_are_set_apart():
     assert cut == ["ünü %%% don 't a —% x÷% x×! ab ###".replace("a —", "a—"), "'s", "é", "!!", "", "Ã %", "a ≠b a̸= ñ .5, ß 'll"]
     library = Tokenizer.from_file(packing.VOCABULARY)
     assert [e.ids for e in library.encode_batch(cut, add_special_tokens=False)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_context_places_are_left_out_and_the_rest_agrees(monkeypatch):
+    """Scores from a place on are those of the whole window; sums with and without the greatest value taken off agree."""
+    rng = np.random.default_rng(15)
+    model = lm.Attention()
+    x, y = rng.integers(0, 50, (5, lm.WINDOW)), rng.integers(0, lm.OWN + lm.SHARED, (5, lm.WINDOW))
+    valid = np.arange(lm.WINDOW) >= np.array([0, 12, 12, 40, 48])[:, None]
+    whole, g = model.log_probability(x, y), model.gradient(x, y, valid)
+    assert whole.shape == x.shape
+    assert np.allclose(model.log_probability(x, y, lm.OVERLAP), whole[:, lm.OVERLAP :], rtol=1e-4, atol=1e-5)
+    assert np.allclose(model.log_probability(x[:, :20], y[:, :20], 12), whole[:, 12:20], rtol=1e-4, atol=1e-5)
+    monkeypatch.setattr(lm, "SAFE", -1)
+    assert np.allclose(model.log_probability(x, y, 12), whole[:, 12:], rtol=1e-4, atol=1e-5)
+    for k, v in model.gradient(x, y, valid).items():
+        assert v.dtype == np.float32 and np.allclose(v, g[k], rtol=1e-3, atol=1e-6), k
+    none = model.gradient(x, y, np.zeros(x.shape, bool))
+    assert all((v == 0).all() for v in none.values())
+
+
+def test_fitting_leaves_inputs_alone_that_do_not_occur(monkeypatch):
+    rng = np.random.default_rng(16)
+    x, y = rng.integers(5, 9, (40, lm.WINDOW)).astype(np.int32), rng.integers(0, lm.OWN, (40, lm.WINDOW))
+    model, before, rows = lm.Attention(), lm.Attention().p["embed"], []
+    step = lm.Attention.gradient
+    monkeypatch.setattr(lm.Attention, "gradient", lambda self, *a: rows.append(len(self.p["embed"])) or step(self, *a))
+    model.fit(x, y, np.ones(x.shape, bool), epochs=1)
+    assert set(rows) == {4} and model.p["embed"].shape == before.shape  # a step is over what occurs
+    changed = np.flatnonzero((model.p["embed"] != before).any(axis=1))
+    assert changed.tolist() == [5, 6, 7, 8]
+
+
+def test_windows_reach_the_fitting_whole(monkeypatch):
+    ids = [np.array([lm.START, 7, 8, 9], np.uint16), np.arange(100, 101 + lm.WINDOW, dtype=np.uint16), np.array([3, lm.END], np.uint16)]
+    seen = []
+    monkeypatch.setattr(lm.Attention, "fit", lambda self, *a, **k: seen.extend(a))
+    counts = np.arange(lm.IDS)[::-1].astype(float)
+    classes = lm.Classes(counts)
+    state = type("State", (), {"value": (lm.Attention().p, counts)})
+    table = pa.table({"shard": [0] * 3, "rank": [2, 1, 3], "n": [0, 12, 0], "payload": [v.tobytes() for v in ids]})
+    lm._trainer(state, 0, 1)(table.slice(0, 3))
+    x, y, valid = seen
+    assert x.shape == y.shape == valid.shape == (3, lm.WINDOW) and valid.sum(1).tolist() == [lm.WINDOW - 12, 3, 1]
+    for row, k in zip((1, 0, 2), range(3), strict=True):
+        n = len(ids[row]) - 1
+        assert x[k, :n].tolist() == classes.input[ids[row][:-1]].tolist() and y[k, :n].tolist() == classes.of[ids[row][1:]].tolist()
+        assert not x[k, n:].any() and not valid[k, n:].any()
