@@ -8,14 +8,16 @@ training texts.  Both parts are normalised, so the score is the log10 probabilit
 Fitting uses every id of every training text, in the windows that scoring would cut.  Windows are dealt by hash to
 rounds and, within a round, to shards of about ``SHARD`` windows.  In a round every shard starts from the same
 parameters and takes its own Adam steps in some task; their mean, weighted by windows, starts the next round.  Every
-window is seen ``PASSES`` times, however many there are, and windows are stored by round, so a round reads its own.
+window is seen ``PASSES`` times, however many there are.  Windows are stored once, where they are cut, by the round
+that sees them first, so a round reads its own; tables too small for all rounds read their few windows in each.
 The number of shards follows from the number of windows alone, so the model does not depend on how many tasks read or fit.
 
 Scoring cuts a text into windows that overlap: the first window scores all its ids, each later one those after the
 overlap, so every id is scored once, with at least the overlap as context.  Windows of many texts make one batch.
 
 The word model needs the count of every word of every text.  The most frequent words (at most ``FREQUENT``) go to
-the tasks; texts send their other words through a shuffle to the table of counts, one row per text and word.
+the tasks; texts send their other words through a shuffle to the table of counts, one row per text and word.  Each text
+is read once for both scores, and its row is kept with those words.
 
 Defined cases: a null or empty text is its end token alone; rows that repeat are scored alike; rows with null id are
 left out; without training texts all scores come from an untrained model and n_known is 0.  Words are counted by a
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -69,9 +72,9 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
     return np.arange(0, max(1, len(ids) - OVERLAP), WINDOW - OVERLAP)
 
 
-def _longest(m: np.ndarray) -> float:
-    """The greatest length of a row."""
-    return math.sqrt(np.einsum("...i,...i->...", m, m).max(initial=0))
+def _safe(m: np.ndarray) -> bool:
+    """No value's exponential needs the greatest value taken off first."""
+    return m.max(initial=0) <= SAFE and m.min(initial=0) >= -SAFE
 
 
 class Attention:
@@ -87,18 +90,18 @@ class Attention:
             "in": init(WIDTH, HIDDEN), "in_b": np.zeros(HIDDEN, np.float32), "out": init(HIDDEN, WIDTH) * np.float32(0.5),
             "class": init(WIDTH, n) * np.float32(0.5), "class_b": np.zeros(n, np.float32),
         }
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.seen = np.tri(WINDOW, dtype=np.float32)
 
     def _weights(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Attention of the last places ``q`` to all places ``k``, each row up to a factor."""
         a = q @ k.transpose(0, 2, 1)
-        mask = self.mask[k.shape[1] - q.shape[1] : k.shape[1], : k.shape[1]]
-        if _longest(q) * _longest(k) > SAFE:
-            a += mask
+        seen = self.seen[k.shape[1] - q.shape[1] : k.shape[1], : k.shape[1]]
+        if not _safe(a):
+            a += (seen - 1) * np.float32(1e9)
             a -= a.max(axis=2, keepdims=True)
             return np.exp(a, out=a)
         np.exp(a, out=a)
-        a *= mask == 0
+        a *= seen
         return a
 
     def _logits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +109,7 @@ class Attention:
         m = np.concatenate((self.p["class"], self.p["class_b"][None]))
         h = np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)
         d = h @ m
-        if _longest(h) * _longest(m.T) > SAFE:
+        if not _safe(d):
             d -= d.max(axis=1, keepdims=True)
         return h, d
 
@@ -199,8 +202,9 @@ class Attention:
         """Adam over shuffled windows; the rate falls to nothing over ``parts`` calls, of which this is number ``part``."""
         r, embed = np.random.default_rng(seed), self.p["embed"]
         # inputs that do not occur have no gradient and stay as they are; all other parameters are in one row, so that a step is a few passes over it
-        used, x = np.unique(x, return_inverse=True)
-        x = x.reshape(y.shape)
+        occurs = np.zeros(len(embed), bool)
+        occurs[x.ravel()] = True
+        used, x = np.flatnonzero(occurs), (np.cumsum(occurs) - 1)[x]
         self.p["embed"] = embed[used]
         flat = self._in_a_row()
         m, v2, change, scale = (np.zeros_like(flat) for _ in range(4))
@@ -301,10 +305,13 @@ def _windows(stream: np.ndarray, at: np.ndarray, doc_ids: np.ndarray) -> pa.Reco
 
 def _trainer(state, k: int, rounds: int):
     """One shard's steps in round ``k``: the parameters after them, in parts."""
+    kept = []  # the classes, for all shards of a task
 
     def train(table: pa.Table) -> pa.Table:
         parameters, all_counts = state.value
-        own, classes = Attention(), Classes(all_counts)
+        if not kept:
+            kept.append(Classes(all_counts))
+        own, classes = Attention(), kept[0]
         own.p = {name: v.copy() for name, v in parameters.items()}
         table = table.sort_by([("rank", "ascending"), ("payload", "ascending")])
         data, at = A.text_buffers(table.column("payload"))
@@ -321,8 +328,16 @@ def _trainer(state, k: int, rounds: int):
     return train
 
 
+def _round(key, rounds: int):
+    """The round that sees a window first."""
+    return F.pmod(F.xxhash64(F.xxhash64(key, F.lit(0)), F.lit(3)), F.lit(rounds)).cast("int")
+
+
 def fitted(windows: DataFrame, counts: np.ndarray) -> Attention:
-    """The model after all rounds over ``windows``: a key, the number of ids that are context only, and the ids."""
+    """The model after all rounds over ``windows``: a key, the number of ids that are context only, the ids, and ``_round(key, ROUNDS)``.
+
+    The table should be stored in parts by that round.
+    """
     context = windows.sparkSession.sparkContext
     model, n = Attention(), windows.count()
     if not n:
@@ -330,12 +345,11 @@ def fitted(windows: DataFrame, counts: np.ndarray) -> Attention:
     visits = n * PASSES
     rounds = int(min(ROUNDS, max(1, visits // 256)))
     shards = max(1, round(visits / (rounds * SHARD)))
-    every = windows.withColumn("visit", F.explode(F.array(*map(F.lit, range(PASSES))))).withColumn("rank", F.xxhash64("key", "visit"))
-    every = every.withColumn("shard", F.pmod(F.xxhash64("rank", F.lit(2)), F.lit(shards)))
-    every = A.stored(every.withColumn("round", F.pmod(F.xxhash64("rank", F.lit(3)), F.lit(rounds)).cast("int")).drop("key", "visit"), "round")
+    first = F.col("round") if rounds == ROUNDS else _round(F.col("key"), rounds)
     for k in range(rounds):
         state = context.broadcast((model.p, counts))
-        now = every.where(F.col("round") == k).select("shard", "rank", "n", "payload")
+        visits = [windows.where(first == (k - v) % rounds).withColumn("rank", F.xxhash64("key", F.lit(v))) for v in range(PASSES)]
+        now = reduce(DataFrame.unionAll, visits).withColumn("shard", F.pmod(F.xxhash64("rank", F.lit(2)), F.lit(shards))).select("shard", "rank", "n", "payload")
         found = now.groupBy("shard").applyInArrow(_trainer(state, k, rounds), "part int, shard long, n long, payload binary")
         mean = {r.part: np.frombuffer(r.payload, np.float32) for r in found.groupBy("part").applyInArrow(_mean, "part int, payload binary").collect()}
         if mean:
@@ -386,17 +400,18 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
         at = np.flatnonzero(counts)
         yield _rows(1, at, counts[at].astype(np.int64))
 
-    found = A.stored(train.mapInArrow(gather, "kind int, key long, n long, payload binary"))
-    words = A.stored(found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
+    found = train.mapInArrow(gather, "kind int, key long, n long, payload binary")
+    found = A.stored(found.withColumn("round", F.when(F.col("kind") == 2, _round(F.col("key"), ROUNDS)).otherwise(-1)), "round")
+    words = A.stored(found.where("round = -1 and kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
     n_docs = train.count()
     totals = words.agg(F.sum("n"), F.count("*")).first()
     n_train, distinct = (totals[0] or 0) + n_docs, totals[1] + (1 if n_docs else 0)
     base = n_train + 0.5 * (distinct + 1)
 
     counts = np.zeros(IDS)
-    for r in found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for r in found.where("round = -1 and kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
         counts[r.key] = r.n
-    model = fitted(found.where("kind = 2").select("key", "n", "payload"), counts)
+    model = fitted(found.where("round >= 0").select("key", "n", "payload", "round"), counts)
 
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     top = top.sort_by("key")
@@ -427,29 +442,22 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out) -> DataFrame:
             part = np.bincount(doc[known], weights=np.log10((n[known] + 0.5) / base), minlength=size).astype(np.float64)
             n_known = np.bincount(doc[known], minlength=size)
             scores = [judge.scores(*_ids(texts)) for _, texts in token_ids([rows], VOCABULARY)]
-            yield pa.record_batch(
-                [rows.column("doc_id"), rows.column("key"), pa.array(n_words + 1), pa.array(n_known), pa.array(part), pa.array(np.concatenate(scores))],
-                names=["doc_id", "key", "n_tokens", "n_known", "part", "score"],
-            )
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in A.slices(batches):
-            starts, ends, doc = A.words(data, offsets)
-            h = A.word_hashes(data, starts, ends, lower=True).astype(np.int64)
-            other = ~looked_up(h)[0]
-            order = np.lexsort((h[other], doc[other]))
-            h, doc = h[other][order], doc[other][order]
+            order = np.lexsort((h[~known], doc[~known]))
+            h, doc = h[~known][order], doc[~known][order]
             at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)])
+            first = pa.array(np.searchsorted(doc[at], np.arange(size + 1)).astype(np.int32))
+            others = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (h[at], np.diff(np.append(at, len(h))))]
             yield pa.record_batch(
-                [pa.array(h[at]), pa.array(rows.column("key").to_numpy()[doc[at]]), pa.array(np.diff(np.append(at, len(h))))], names=["word", "key", "k"]
+                [rows.column("doc_id"), rows.column("key"), pa.array(n_words + 1), pa.array(n_known), pa.array(part), pa.array(np.concatenate(scores)), *others],
+                names=["doc_id", "key", "n_tokens", "n_known", "part", "score", "word", "k"],
             )
 
     keyed = docs.withColumn("key", row_key)
-    scored = keyed.mapInArrow(score, "doc_id long, key long, n_tokens long, n_known long, part double, score double")
-    others = keyed.select("key", "text").mapInArrow(rare, "word long, key long, k long").join(words.toDF("word", "n"), "word")
+    scored = A.stored(keyed.mapInArrow(score, "doc_id long, key long, n_tokens long, n_known long, part double, score double, word array<long>, k array<long>"))
+    others = scored.select("key", F.explode(F.arrays_zip("word", "k")).alias("other")).select("key", "other.*").join(words.toDF("word", "n"), "word")
     others = others.groupBy("word", "key", "k", "n").count()  # rows that repeat
     more = others.groupBy("key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10((F.col("n") + 0.5) / base)).alias("more_part"))
-    out = scored.join(more, "key", "left")
+    out = scored.drop("word", "k").join(more, "key", "left")
     n_known = F.col("n_known") + F.coalesce("more", F.lit(0)) + (1 if n_docs else 0)
     known_part = F.col("part") + F.coalesce("more_part", F.lit(0.0)) + (end_part if n_docs else 0.0)
     unknown = (F.col("n_tokens") - n_known) * float(np.log10(0.5 / base))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -346,3 +347,50 @@ def test_windows_reach_the_fitting_whole(monkeypatch):
         n = len(ids[row]) - 1
         assert x[k, :n].tolist() == classes.input[ids[row][:-1]].tolist() and y[k, :n].tolist() == classes.of[ids[row][1:]].tolist()
         assert not x[k, n:].any() and not valid[k, n:].any()
+
+
+def test_windows_are_stored_once(spark, documents):
+    """Of all tables written, one alone holds ids, in parts by the round that sees them."""
+    _, df = documents
+    fold, folder = language.held_out(F.col("doc_id"), 5, 1), Path(lm.A._shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    lm.score_texts(df, df.where(~fold), fold)
+    tables = {p: spark.read.parquet(str(p)) for p in set(folder.iterdir()) - before}
+    (at, windows), *other = [t for t in tables.items() if "payload" in t[1].columns]
+    assert not other and all(p.name.startswith("round=") for p in at.iterdir() if p.is_dir())
+    assert windows.where(F.when(F.col("kind") == 2, lm._round(F.col("key"), lm.ROUNDS)).otherwise(-1) != F.col("round")).count() == 0
+
+
+@pytest.mark.parametrize("n, passes", [(1200, 2), (1200, 1), (600, 1)])
+def test_rounds_see_every_window_once_a_pass(spark, tmp_path, monkeypatch, n, passes):
+    def noting(state, k, of):
+        def train(table):
+            (tmp_path / f"{k}-{table.column('shard')[0]}").write_text(" ".join(map(str, table.column("rank").to_pylist())))
+            flat = np.array_split(np.concatenate([v.ravel() for v in state.value[0].values()]), 16)
+            return pa.table({"part": pa.array(range(16), pa.int32()), "shard": [table.column("shard")[0].as_py()] * 16, "n": [table.num_rows] * 16, "payload": [v.tobytes() for v in flat]})
+
+        return train
+
+    for name, value in (("_trainer", noting), ("ROUNDS", 3), ("PASSES", passes), ("SHARD", 100)):
+        monkeypatch.setattr(lm, name, value)
+    keys = spark.range(n).select(F.xxhash64("id").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(b"1234").alias("payload"))
+    windows = lm.A.stored(keys.withColumn("round", lm._round(F.col("key"), 3)), "round")
+    rounds = min(3, n * passes // 256)
+    model = lm.fitted(windows, np.ones(lm.IDS))
+    assert all(np.allclose(v, lm.Attention().p[k], atol=1e-6) for k, v in model.p.items())
+    seen = sorted((int(f.name.split("-")[0]), int(r)) for f in tmp_path.iterdir() for r in f.read_text().split())
+    first = lm._round(F.col("key"), rounds)
+    want = [keys.select(F.pmod(first + v, F.lit(rounds)), F.xxhash64("key", F.lit(v))).collect() for v in range(passes)]
+    assert seen == sorted(tuple(r) for part in want for r in part)
+
+
+def test_texts_are_read_once_for_both_scores(spark, documents, monkeypatch):
+    """What is left to run reads stored rows only; texts in several rows, empty ones and words no training text has are kept apart."""
+    rows = [(1, "a b b new new only"), (1, "a b b new new only"), (2, "a only2"), (3, None), (6, "b c"), (6, "b d"), (7, "A B C"), (8, "")]
+    df, fold = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1
+    whole = lm.score_texts(df, df.where(~fold), fold)
+    monkeypatch.setattr(lm, "FREQUENT", 1)
+    apart = lm.score_texts(df, df.where(~fold), fold)
+    plain = lambda found: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in found.collect())
+    assert plain(whole) == plain(apart) and [x[:3] for x in plain(apart)] == [(1, 7, 4), (1, 7, 4), (2, 3, 3), (3, 1, 1), (6, 3, 3), (6, 3, 3), (7, 4, 4), (8, 1, 1)]
+    assert "MapInArrow" not in apart._jdf.queryExecution().toString()
